@@ -7,8 +7,8 @@ that distance share a key. A pair of similarity 0.75 fails in a chunk with proba
 
 Equal shingle sets are one class. Classes that share a key are first linked to the key's smallest member
 (linear in the group), confirmed links are contracted, and then only pairs of different components that still
-share a key are compared: their signatures in the task that holds the key, and those within the distance by
-their whole sets. So no link between components is lost, and groups of copies never give all their pairs.
+share a key are compared, in tasks that hold tiles of the key's members: their signatures first, and then the whole
+sets of those members that have a pair within the distance. So no link between components is lost, and groups of copies never give all their pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SYMBOLS = 4 * CHUNKS
 #: of similarity 0.75 is beyond DISTANCE once in 10^11.
 DISTANCE = 36
 #: Members of a key that are compared in one task; larger groups are dealt out as pairs of such tiles.
-TILE = 1024
+TILE = 256
 #: Members that are confirmed against one copy of a hub's text.
 PER_HUB = 500
 
@@ -117,39 +117,74 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within a (key, tile pair) of different components, near enough by size and signature, at their first shared key."""
+def _owned(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a (key, tile pair) that are of different components, near enough by size and signature, and
+    share no earlier key."""
+    group, own, rep, comp, size, number = (table.column(i).to_numpy() for i in range(6))
+    sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(len(rep), CHUNKS, 4)
+    step, left = 1, np.arange(len(rep))
+    while True:
+        left = left[left + step < len(rep)]
+        left = left[group[left] == group[left + step]]
+        if not len(left):
+            return
+        right = left + step
+        # of a tile pair, only pairs across; of a tile with itself, all
+        ok = (comp[left] != comp[right]) & ((own[left] != own[right]) | (own[left] < 0))
+        small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+        ok &= DENOMINATOR * small >= NUMERATOR * large
+        i, j = left[ok], right[ok]
+        for s in range(0, len(i), 20_000):
+            x, y = i[s : s + 20_000], j[s : s + 20_000]
+            wrong = (sig[x] != sig[y]).sum(axis=2)
+            near = wrong.sum(axis=1) <= DISTANCE
+            first = np.argmax(wrong <= 1, axis=1)
+            same = wrong[np.arange(len(x)), first] == 0
+            miss = np.argmax(sig[x, first] != sig[y, first], axis=1)
+            mine = near & (wrong.min(axis=1, initial=9) <= 1) & (first * 4 + np.where(same, 0, miss) == number[x])
+            if mine.any():
+                yield x[mine], y[mine]
+        step += 1
+
+
+MEMBER = "grp bigint, own int, rep bigint, comp bigint, n_shingles bigint, number bigint, sig binary"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a key that have a pair to confirm there; the pairs themselves are never rows."""
     for table in _runs(batches, 0):
-        group, own, rep, comp, size = (table.column(i).to_numpy() for i in range(5))
-        number = table.column(5).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(len(rep), CHUNKS, 4)
-        out_a, out_b = [], []
-        step = 1
-        left = np.arange(len(rep))
-        while True:
-            left = left[left + step < len(rep)]
-            left = left[group[left] == group[left + step]]
-            if not len(left):
-                break
-            right = left + step
-            # of a tile pair, only pairs across; of a tile with itself, all
-            ok = (comp[left] != comp[right]) & ((own[left] != own[right]) | (own[left] < 0))
-            small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-            ok &= DENOMINATOR * small >= NUMERATOR * large
-            i, j = left[ok], right[ok]
-            for s in range(0, len(i), 20_000):
-                x, y = i[s : s + 20_000], j[s : s + 20_000]
-                wrong = (sig[x] != sig[y]).sum(axis=2)
-                near = wrong.sum(axis=1) <= DISTANCE
-                first = np.argmax(wrong <= 1, axis=1)
-                same = wrong[np.arange(len(x)), first] == 0
-                miss = np.argmax(sig[x, first] != sig[y, first], axis=1)
-                mine = near & (wrong.min(axis=1, initial=9) <= 1) & (first * 4 + np.where(same, 0, miss) == number[x])
-                out_a.append(rep[x[mine]])
-                out_b.append(rep[y[mine]])
-            step += 1
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
+        found = [i for pair in _owned(table) for i in pair]
+        if found:
+            yield from table.take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a key's members by their whole sets: of the pairs that are already joined here, none is repeated."""
+    for table in _runs(batches, 0):
+        sets: list[np.ndarray] = []
+        for _, _, words in chunks(table.column(7), lower=True):
+            sets += shingle_sets(words)
+        rep, root = table.column(2).to_numpy(), list(range(table.num_rows))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        a, b = [], []
+        for xs, ys in _owned(table):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                u, v = find(x), find(y)
+                if u == v:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if DENOMINATOR * both >= NUMERATOR * (len(sets[x]) + len(sets[y]) - both):
+                    root[u] = v
+                    a.append(rep[x])
+                    b.append(rep[y])
+        if a:
+            a, b = np.array(a), np.array(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
@@ -184,7 +219,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     own = parts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(
         "node", F.struct(F.col("node").alias("hub"), "part", F.lit(0).alias("role")).alias("t"))
     sent = spread.unionByName(own)
-    rows = texts.join(sent, "node").select("t.hub", "t.part", "t.role", "node", "text")
+    # the same plan at every size: both sides are shuffled
+    rows = texts.join(sent.hint("merge"), "node").select("t.hub", "t.part", "t.role", "node", "text")
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "node").mapInArrow(_confirm, "a bigint, b bigint")
 
 
@@ -219,8 +255,9 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), "rep", "comp",
         F.shiftrightunsigned("key", 48).alias("number"),
     ).join(ready, "rep").select("grp", "own", "rep", "comp", "n_shingles", "number", "sig")
-    late = dealt.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_pairs, "a bigint, b bigint")
-    second = stored(confirm(late, texts), "links")
+    waiting = stored(dealt.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_open, MEMBER), "waiting")
+    texted = waiting.hint("merge").join(texts.withColumnRenamed("node", "rep"), "rep").select(*waiting.columns, "text")
+    second = stored(texted.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_verify, "a bigint, b bigint"), "links")
     links = first.unionByName(second)
     reps = classes.select("n_shingles", "h1", "h2", "rep")
     return described.select("doc_id", "n_shingles", "h1", "h2").join(reps, ["n_shingles", "h1", "h2"], "left"), links
