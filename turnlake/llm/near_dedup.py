@@ -28,7 +28,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 CHUNKS = 14
 SYMBOLS = 4 * CHUNKS
 #: Differing symbols up to which a pair is looked at; pairs up to 2 * CHUNKS - 1 are sure to share a key, and a pair
-#: of similarity 0.75 is beyond DISTANCE once in 10^11.
+#: of similarity 0.75 is beyond DISTANCE once in 10^10.
 DISTANCE = 36
 #: Members of a key that are compared in one task; larger groups are dealt out as pairs of such tiles.
 TILE = 256
