@@ -23,10 +23,11 @@ from turnlake.llm.lexicon import Lexicon, compile_lexicon
 
 #: Pre-tokens of the byte-level vocabularies (fixed by their published pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most frequent space-separated pieces whose pre-tokens make the lexicon, and what the counting sketch tracks.
-FREQUENT, TRACKED = 40_000, 400_000
-#: Encoded pieces that a worker remembers.
-REMEMBERED = 400_000
+#: Space-separated pieces are counted in so many groups by hash; each gives its most frequent ones to the lexicon,
+#: from a sketch that tracks so many.
+GROUPS, FREQUENT, TRACKED = 32, 1000, 2048
+#: Encoded pieces, and words, that a worker remembers: some 20 MB each.
+REMEMBERED = 100_000
 #: Longer words are merged with a heap.
 LONG = 64
 OUT_BYTES = 1 << 23
@@ -168,15 +169,15 @@ def worker_encoder(shared) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, frequent: int = FREQUENT, tracked: int = TRACKED) -> list[str]:
-    """Pre-tokens of the most frequent space-separated pieces, counted over all texts in a mergeable sketch."""
+    """Pre-tokens of the most frequent space-separated pieces, counted over all texts in mergeable sketches, one a group."""
     pieces = docs.select(F.explode(F.split(whole_text(), " ")).alias("piece")).filter("length(piece) BETWEEN 1 AND 40")
-    top = pieces.selectExpr(f"approx_top_k(piece, {frequent}, {tracked}) AS top").first()["top"] or []
+    grouped = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(GROUPS)).alias("g")).agg(F.expr(f"approx_top_k(piece, {frequent}, {tracked})").alias("top"))
     word = regex.compile(PATTERN)
-    return sorted({w for t in top for w in word.findall(" " + t["item"])})
+    return sorted({w for row in grouped.select("top.item").collect() for piece in row["item"] for w in word.findall(" " + piece)})
 
 
 def build(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[dict, bytes]:
-    """(vocabulary, lexicon block) for a corpus: at most `frequent` pieces reach the driver."""
+    """(vocabulary, lexicon block) for a corpus: at most GROUPS * `frequent` pieces reach the driver."""
     vocabulary = load_vocabulary(path)
     words = {w.encode("utf-8", "replace"): tuple(merge(w.encode("utf-8", "replace"), vocabulary)) for w in frequent_words(docs, frequent)}
     return vocabulary, compile_lexicon(words)
