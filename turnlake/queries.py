@@ -380,6 +380,34 @@ def x19_slug(spark, d):
     return V.table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit("! "), "p_type")).alias("slug"))
 
 
+@query("""SELECT query_id, v.id, round(greatest(-1, least(1, 1 - round(list_distance(embedding, query), 6) ** 2 / 2)), 6) AS similarity FROM v_vectors v, v_queries WHERE query_id = 0""")
+def f7_l2_to_cosine(spark, d):
+    one = V.vector_queries(spark, d).filter("query_id = 0")
+    both = V.vectors(spark, d).crossJoin(F.broadcast(one))
+    return both.select("query_id", "id", F.round(T.l2_to_cosine(F.round(S.l2_distance(F.col("embedding"), F.col("query")), 6)), 6).alias("similarity"))
+
+
+@query(f"""SELECT DISTINCT 'session' AS tier, project, start_ts AS period_start FROM (SELECT project, session_id, min(ts_raw) AS start_ts FROM v_exchanges GROUP BY 1, 2)
+  WHERE (project, start_ts) NOT IN (SELECT project, period_start FROM ({DIGEST}))""")
+def e10_insert_digest(spark, d):
+    new = A.session_rollup(V.exchanges(spark, d)).select(F.lit("session").alias("tier"), "project", F.col("start_ts").alias("period_start"))
+    return A.insert_new(digest(spark, d), new, ["tier", "project", "period_start"])
+
+
+@query("""SELECT doc_id, trim(regexp_extract('a <summary> ' || source || chr(10) || lang || ' </summary> b', '<summary>(.*?)</summary>', 1, 's')) AS summary FROM documents""")
+def x18_extract_summary(spark, d):
+    x = F.concat(F.lit("a <summary> "), "source", F.lit("\n"), "lang", F.lit(" </summary> b"))
+    return V.table(spark, d, "documents").select("doc_id", T.extract_summary(x).alias("summary"))
+
+
+@query("""SELECT doc_id, a, b FROM (SELECT doc_id, CASE length(t) WHEN 4 THEN t || '-01-01' WHEN 7 THEN t || '-01' ELSE t END AS a, CASE length(t) WHEN 4 THEN t || '-12-31' WHEN 7 THEN t || '-31' ELSE t END AS b
+  FROM (SELECT doc_id, substr('2023-0' || (doc_id % 9 + 1) || '-15', 1, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 10 END) AS t FROM documents)) WHERE a <= '2023-08-31' AND b >= '2023-05-16'""")
+def t6_topic_timeline(spark, d):
+    time = F.substring(F.concat(F.lit("2023-0"), F.col("doc_id") % 9 + 1, F.lit("-15")), F.lit(1), F.when(F.col("doc_id") % 3 == 0, 4).when(F.col("doc_id") % 3 == 1, 7).otherwise(10))
+    rows = V.table(spark, d, "documents").select("doc_id", T.start_of(time).alias("a"), T.end_of(time).alias("b"))
+    return rows.filter("a <= '2023-08-31' AND b >= '2023-05-16'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
