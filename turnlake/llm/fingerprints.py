@@ -4,8 +4,8 @@ A text is cut into paragraphs, each paragraph is a 64-bit digest, and each diges
 each of three groups of a table: a cell holds a count, the XOR of its digests and the XOR of their checks.
 The table of one version subtracted from that of another holds only the digests that differ, which peeling
 recovers: a cell with one digest gives it up and it leaves its other cells. When the small table that is
-the fingerprint doesn't peel, a larger one with at least 16 cells a digest in each group is built from both
-digest sets, as rows of the cells that are touched; should that fail too, still larger ones are tried.
+the fingerprint doesn't peel, a larger one with 1,024 cells a digest in each group is built from both
+digest sets, as rows of the cells that are touched; should that fail too, other tables are tried.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from turnlake.llm.common import documents, whole_text
 #: Cells in each of the three groups: of the fingerprint, and of the last tables.
 BASE, LAST = 5, (1 << 6, 1 << 9)
 #: Cells a group of the larger table: so many for each digest, and so many at least.
-SPREAD, LEAST = 16, 1024
+SPREAD, LEAST = 1024, 1024
 ROUNDS = 6
 #: Texts below so many code points are cut at every white space, then at line ends and sentence ends; longer
 #: ones at line ends and at sentence ends behind certain letters, so that their paragraphs are longer.
@@ -118,39 +118,6 @@ def last_difference(a: Column, b: Column, sizes: tuple[int, ...] = LAST) -> Colu
     return bound(tried, lambda r: F.when(r["ok"], r).otherwise(last_difference(a, b, sizes[1:])))
 
 
-def peel_rows(cells: Column) -> Column:
-    """struct(ok, gone, come) for the touched cells (g, i, c, k, h) of a large, sparse difference table.
-
-    Nearly all cells hold one digest and give it up at once; what is left is a handful of cells, which the
-    digests found so far are taken out of, round by round.
-    """
-    pure = lambda c: (F.abs(c["c"]) == 1) & (check_of(c["k"]) == c["h"])
-    key = lambda c: F.struct(c["k"].alias("k"), c["c"].alias("c"), c["h"].alias("h"))
-    given = lambda cs: F.array_distinct(F.transform(F.filter(cs, pure), key))
-
-    def without(cs: Column, found: Column, size: Column) -> Column:
-        return F.filter(F.transform(cs, lambda c: F.aggregate(
-            F.filter(found, lambda x: spot(x["k"], c["g"], size) == c["i"]),
-            F.struct(c["g"].alias("g"), c["i"].alias("i"), c["n"].alias("n"), c["c"].alias("c"), c["k"].alias("k"), c["h"].alias("h")),
-            lambda s, x: F.struct(s["g"].alias("g"), s["i"].alias("i"), s["n"].alias("n"), (s["c"] - x["c"]).alias("c"),
-                                  s["k"].bitwiseXOR(x["k"]).alias("k"), s["h"].bitwiseXOR(x["h"]).alias("h")),
-        )), lambda c: (c["c"] != 0) | (c["k"] != 0) | (c["h"] != 0))
-
-    def again(s: Column, _: Column) -> Column:
-        return F.when(F.size(s["t"]) == 0, s).otherwise(bound(given(s["t"]), lambda p: F.struct(
-            without(s["t"], p, F.get(s["t"], F.lit(0))["n"]).alias("t"), F.concat(s["found"], p).alias("found"))))
-
-    def result(s: Column) -> Column:
-        keys = lambda sign: F.transform(F.filter(s["found"], lambda x: x["c"] == sign), lambda x: x["k"])
-        return F.struct((F.size(s["t"]) == 0).alias("ok"), keys(1).alias("gone"), keys(-1).alias("come"))
-
-    mixed = F.filter(cells, lambda c: ~pure(c))
-    return bound(given(cells), lambda p: F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)),
-        F.struct(F.when(F.size(mixed) == 0, mixed).otherwise(without(mixed, p, F.get(mixed, F.lit(0))["n"])).alias("t"), p.alias("found")),
-        again, result))
-
-
 def spot(key: Column, group: Column, size: Column) -> Column:
     """The cell of a digest in a group of a large table."""
     return F.pmod(F.xxhash64(key, group), size)
@@ -158,24 +125,33 @@ def spot(key: Column, group: Column, size: Column) -> Column:
 
 def larger_difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, gone, come (counts) for rows (keys, a, b) of digest sets; keys[0] is what the rows are partitioned by.
-    Pairs whose larger table doesn't peel either are left out.
+    Pairs whose larger table doesn't peel in one round are left out.
 
     A row for each digest and group goes into aggregates that need no shuffle, since rows of one pair are
-    in one partition already; digests on both sides cancel there.
+    in one partition already; digests on both sides cancel there. A digest alone in any of its cells is found;
+    all are found when the found ones add up to the cells of the first group, which hold every digest once.
     """
-    size = F.greatest(F.lit(LEAST), SPREAD * (F.size("a") + F.size("b"))).cast("long")
+    size = F.greatest(F.lit(LEAST), SPREAD * (F.size("a") + F.size("b")).cast("long"))
     signed = F.concat(_signed("a", 1), _signed("b", -1))
     each = pairs.select(*keys, size.alias("n"), F.explode(signed).alias("x")).select(
         *keys, "n", F.col("x.k").alias("k"), F.col("x.c").alias("c"), check_of(F.col("x.k")).alias("h"),
         F.explode(F.array(*[F.lit(g) for g in range(3)])).alias("g"),
     )
-    cells = each.groupBy(*keys, "n", "g", spot(F.col("k"), F.col("g"), F.col("n")).alias("i")).agg(
+    cells = each.groupBy(*keys, "g", spot(F.col("k"), F.col("g"), F.col("n")).alias("i")).agg(
         F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"),
     )
-    touched = F.when((F.col("c") != 0) | (F.col("k") != 0) | (F.col("h") != 0), F.struct("g", "i", "n", "c", "k", "h"))
-    tables = cells.groupBy(*keys).agg(F.collect_list(touched).alias("cells"))
-    found = tables.select(*keys, peel_rows(F.col("cells")).alias("r")).filter("r.ok")
-    return found.select(*keys, F.size("r.gone").alias("gone"), F.size("r.come").alias("come"))
+    pure, first = (F.abs("c") == 1) & (check_of(F.col("k")) == F.col("h")), F.col("g") == 0
+    # mixed and emptied cells share the null key; a digest found in several groups is one row
+    found = cells.groupBy(*keys, F.when(pure, F.col("k")).alias("key"), F.when(pure, F.col("c")).alias("sign")).agg(
+        F.sum(F.when(first, F.col("c"))).alias("c0"), F.bit_xor(F.when(first, F.col("k"))).alias("k0"), F.bit_xor(F.when(first, F.col("h"))).alias("h0"))
+    zero = F.lit(0).cast("long")
+    whole = lambda agg, col: F.coalesce(agg(col), zero)
+    sums = found.groupBy(*keys).agg(
+        F.count_if(F.col("sign") == 1).alias("gone"), F.count_if(F.col("sign") == -1).alias("come"),
+        *[whole(agg, col).alias(name) for name, agg, col in (
+            ("c0", F.sum, "c0"), ("k0", F.bit_xor, "k0"), ("h0", F.bit_xor, "h0"), ("k1", F.bit_xor, "key"))],
+        whole(F.bit_xor, F.when(F.col("key").isNotNull(), check_of(F.col("key")))).alias("h1"))
+    return sums.filter("c0 = gone - come AND k0 = k1 AND h0 = h1").select(*keys, F.col("gone").cast("int").alias("gone"), F.col("come").cast("int").alias("come"))
 
 
 def _signed(name: str, sign: int) -> Column:
@@ -194,15 +170,16 @@ def written(table: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """block, row, doc_id, text, next_text: the text of the next doc_id, of the first one for the last.
+    """block, kind, row, doc_id, text, next_text: the text of the next doc_id, of the first one for the last.
 
     Ids are cut into blocks of BLOCK; the first document of each block is also a guest at the end of the
     block before, so texts are shuffled once and no task gets more than a block and a guest.
     Rows that repeat a doc_id follow one another in the order of their texts, each the next of the one before.
     """
-    rows = docs.select("doc_id", whole_text().alias("text")).filter("doc_id IS NOT NULL").withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    block = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 20))).otherwise(F.floor(F.col("doc_id") / BLOCK))
+    rows = docs.select("doc_id", whole_text().alias("text"), F.when(F.col("doc_id").isNull(), "null").otherwise("id").alias("kind"), block.alias("block"))
     # block firsts in two levels: the window without a key sees one row for BLOCK * BLOCK ids
-    firsts = rows.groupBy("block").agg(F.min("doc_id").alias("first_id")).withColumn("super", F.floor(F.col("block") / BLOCK))
+    firsts = rows.filter("doc_id IS NOT NULL").groupBy("block").agg(F.min("doc_id").alias("first_id")).withColumn("super", F.floor(F.col("block") / BLOCK))
     tops = firsts.groupBy("super").agg(F.max("block").alias("last_block")).withColumn(
         "before_super", F.lag("last_block").over(Window.orderBy("super")))
     last = tops.agg(F.max("last_block").alias("end"))
@@ -211,11 +188,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     few = guests.count() <= BROADCAST_IDS
     guests = F.broadcast(guests) if few else guests
     visiting = rows.join(guests, rows["doc_id"] == guests["first_id"]).select(
-        F.col("home").alias("block"), F.lit(1).alias("guest"), "doc_id", "text")
-    both = rows.select("block", F.lit(0).alias("guest"), "doc_id", "text").unionByName(visiting)
-    order = Window.partitionBy("block").orderBy("guest", "doc_id", "text")
-    return both.withColumns({"next_text": F.lead("text").over(order), "row": F.row_number().over(order)}).filter("guest = 0").select(
-        "block", "row", "doc_id", "text", "next_text")
+        F.col("home").alias("block"), "kind", F.lit(1).alias("guest"), "doc_id", "text")
+    both = rows.select("block", "kind", F.lit(0).alias("guest"), "doc_id", "text").unionByName(visiting)
+    order = Window.partitionBy("block", "kind").orderBy("guest", "doc_id", "text")
+    following = F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order)).otherwise("")
+    return both.withColumns({"next_text": following, "row": F.row_number().over(order)}).filter("guest = 0").select(
+        "block", "kind", "row", "doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -231,12 +209,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null texts are empty; rows with a null doc_id have no place in the order and are compared with an empty
     text; an empty text has the empty table as its fingerprint; equal texts have equal fingerprints.
     """
-    orphans = docs.filter("doc_id IS NULL").select(
-        (-1 - F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias("block"), F.monotonically_increasing_id().alias("row"),
-        "doc_id", whole_text().alias("text"), F.lit("").alias("next_text"))
-    pairs = with_next(docs).withColumn("row", F.col("row").cast("long")).unionByName(orphans)
-    texts = pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
-        "block", "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+    texts = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text"))).select(
+        "block", "kind", "row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("new"),
         paragraph_digests(F.col("next_text")).alias("following"),
     )
@@ -245,14 +219,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     tried = tables.select("*", peeled("new").alias("to_edited"), peeled("following").alias("to_next"))
     # two rows for the comparisons of a document; those whose fingerprints don't peel go on
     each = tried.select(
-        "block", "row", F.posexplode(F.array(
+        "block", "kind", "row", F.posexplode(F.array(
             F.struct("to_edited.ok", F.col("own").alias("a"), F.col("new").alias("b")),
             F.struct("to_next.ok", F.col("own").alias("a"), F.col("following").alias("b")),
-        )).alias("pair", "x")).filter("NOT x.ok").select("block", "row", "pair", "x.a", "x.b")
-    larger = larger_difference(each, ["block", "row", "pair"])
+        )).alias("pair", "x")).filter("NOT x.ok").select("block", "kind", "row", "pair", "x.a", "x.b")
+    larger = larger_difference(each, ["block", "kind", "row", "pair"])
     none = F.lit(None).cast("int")
     main = tried.select(
-        "block", "row", none.alias("pair"), none.alias("gone"), none.alias("come"), F.struct(
+        "block", "kind", "row", none.alias("pair"), none.alias("gone"), none.alias("come"), F.struct(
             "doc_id", "n_chars", "edited_sha256", written(F.col("own_table")).alias("fingerprint"),
             written(F.col("new_table")).alias("edited_fingerprint"),
             (F.size("own") + F.size("new")).alias("size_edited"), (F.size("own") + F.size("following")).alias("size_next"),
@@ -260,9 +234,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             F.col("to_edited.ok").alias("ok_edited"), F.col("to_next.ok").alias("ok_next"),
             *[F.size(f"to_{p}.{k}").alias(f"{k}_{p}") for p in ("edited", "next") for k in ("gone", "come")],
         ).alias("m"))
-    late = larger.select("block", "row", "pair", "gone", "come", F.lit(None).cast(main.schema["m"].dataType).alias("m"))
+    late = larger.select("block", "kind", "row", "pair", "gone", "come", F.lit(None).cast(main.schema["m"].dataType).alias("m"))
     pick = lambda i, c: F.max(F.when(F.col("pair") == i, F.col(c))).alias(f"late_{c}_{i}")
-    both = main.unionByName(late).groupBy("block", "row").agg(
+    both = main.unionByName(late).groupBy("block", "kind", "row").agg(
         F.first("m", True).alias("m"), *[pick(i, c) for i in (0, 1) for c in ("gone", "come")])
     def counts(i: int, name: str, other: str) -> Column:
         first = F.struct(F.col(f"m.gone_{name}").alias("gone"), F.col(f"m.come_{name}").alias("come"))
