@@ -29,7 +29,8 @@ def main_thread(df: DataFrame) -> DataFrame:
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Q1: the first k rows of each group; plans WindowGroupLimit, so a task passes on k rows a group at most."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k).withColumn(
+        "rank", F.col("rank").cast("long"))
 
 
 def l2_distance(a: Column, b: Column) -> Column:

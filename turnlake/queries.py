@@ -409,8 +409,11 @@ def t6_topic_timeline(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from turnlake import review_queries  # noqa: F401  registers its queries here
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return SQL
