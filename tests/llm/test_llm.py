@@ -116,6 +116,23 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(empty).count() == 0
 
 
+def test_larger_tables_count_the_difference(spark):
+    """Sets far beyond the small table, overlapping ones, equal ones and empty ones, against array_except."""
+    sets = spark.range(12).select("id", F.expr("transform(sequence(1, id * id * 40 + 1), x -> xxhash64(x))").alias("a"),
+                                  F.expr("transform(sequence(id * 30 + 1, id * id * 41 + 40 * id + 1), x -> xxhash64(x))").alias("b"))
+    sets = sets.unionByName(spark.range(50, 52).selectExpr("id", "array(xxhash64(1), xxhash64(2)) AS a", "if(id = 50, array(xxhash64(1), xxhash64(2)), array()) AS b"))
+    got = {r["id"]: (r["gone"], r["come"]) for r in fingerprints.larger_difference(sets, ["id"]).collect()}
+    want = {r["id"]: (r["g"], r["c"]) for r in sets.selectExpr("id", "size(array_except(a, b)) AS g", "size(array_except(b, a)) AS c").collect()}
+    assert got == want
+
+
+def test_null_ids_are_compared_with_an_empty_text(spark):
+    docs = spark.createDataFrame([(None, "some words here"), (None, "some words here"), (None, None), (1, "more words")], "doc_id long, text string")
+    got = fingerprints.fingerprints(docs).collect()
+    assert len(got) == 4 and sorted(r["n_chars"] for r in got) == [0, 10, 15, 15]
+    assert all(r["near_next"] == (0.0 if r["n_chars"] else 1.0) for r in got if r["doc_id"] is None)
+
+
 def test_peeling_gives_the_difference(spark):
     a, b = list(range(1, 40)), list(range(20, 61))
     df = spark.createDataFrame([(a, b), (a, a), ([], [5])], "a array<bigint>, b array<bigint>")
