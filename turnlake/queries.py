@@ -409,7 +409,7 @@ def t6_topic_timeline(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from turnlake import review_queries, source_queries  # noqa: F401  register their queries here
+    from turnlake import learning_queries, review_queries, source_queries  # noqa: F401  register their queries here
 
     return QUERIES
 
