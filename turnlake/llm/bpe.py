@@ -28,6 +28,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 GROUPS, FREQUENT, TRACKED = 32, 1000, 2048
 #: Encoded pieces, and words, that a worker remembers: some 20 MB each.
 REMEMBERED = 100_000
+#: Behind every (rank, id) of a merge.
+NO_MERGE = (1 << 62, 0)
 #: Longer words are merged with a heap.
 LONG = 64
 OUT_BYTES = 1 << 23
@@ -68,21 +70,16 @@ def merge(word: bytes, vocabulary: dict) -> list[int]:
     if len(ids) > LONG:
         return _merge_long(ids, merges)
     get = merges.get
-    while len(ids) > 1:
-        found = [m for m in map(get, pairwise(ids)) if m]
-        if not found:
-            break
-        best = min(found)
-        rank = best[0]
-        out, i, n = [], 0, len(ids)
-        while i < n:
-            if i + 1 < n and (m := get((ids[i], ids[i + 1]))) and m[0] == rank:
-                out.append(m[1])
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
+    found = [get(pair, NO_MERGE) for pair in pairwise(ids)]
+    while found and (best := min(found)) is not NO_MERGE:
+        i = found.index(best)
+        ids[i : i + 2] = [best[1]]
+        # the pair is gone; its neighbours have a new one
+        del found[i]
+        if i:
+            found[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
+        if i < len(found):
+            found[i] = get((ids[i], ids[i + 1]), NO_MERGE)
     return ids
 
 
