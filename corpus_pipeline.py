@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.bpe import digested
-from turnlake.llm.common import stored
+from turnlake.llm.common import stored, whole_text
 from turnlake.llm.exact_dedup import exact_dedup, keep_first
 from turnlake.llm.mixing import mix
 from turnlake.llm.near_dedup import near_dedup
-from turnlake.llm.quality import classify
+from turnlake.llm.quality import good_rows
 
 #: Passes over any source that the mixture may ask for; with the covering budget no document is lost.
 MAX_REPEATS = 1.5
@@ -29,8 +29,7 @@ def _of(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (operator 9) predicts to be good."""
-    rejected = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 0").select(F.col("doc_id").alias("_id"))
-    return _of(docs, rejected, "left_anti")
+    return good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +38,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (operator 10)."""
-    dropped = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return _of(docs, dropped, "left_anti")
+    """One document of each group of near copies (operator 10); an id that several rows have is judged by each row's text."""
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"))
+    if several.isEmpty():
+        dropped = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
+        return _of(docs, dropped, "left_anti")
+    # such rows go by 62 bits of a hash, above usual ids, so that those stay before them
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", whole_text()), 2) + F.lit(1 << 62)
+    rows = stored(docs.join(several, docs["doc_id"] == F.col("_id"), "left").withColumn(
+        "_key", F.when(F.col("_id").isNull(), F.col("doc_id")).otherwise(own)).drop("_id"), "near-rows")
+    dropped = near_dedup(rows.select(F.col("_key").alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    return rows.join(dropped, F.col("_key") == F.col("_id"), "left_anti").drop("_key")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

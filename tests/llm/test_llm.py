@@ -166,3 +166,19 @@ def test_quality(spark, docs, empty):
     got = {r["doc_id"]: r for r in quality.classify(table, labels).collect()}
     assert all(got[i]["predicted"] == q for i, _, q in good + bad if got[i]["held_out"])
     assert quality.classify(docs, labels).count() == len(rows()) and quality.classify(empty, labels.limit(0)).count() == 0
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null ids with several texts, bad ones among them, and an id with several texts, against brute force."""
+    import corpus_pipeline
+
+    prose = lambda: " ".join(rnd.choice("alpha beta gamma delta the of and".split()) + str(rnd.randint(0, 999)) for _ in range(80))
+    good, bad = [(i, prose()) for i in range(60)], [(100 + i, "BUY!! NOW!! FREE!! " * (18 + i % 5)) for i in range(60)]
+    near = good[5][1].rsplit(" ", 1)[0] + " changed"
+    clean = [*good, *[(None, prose()) for _ in range(4)], *[(7, prose()) for _ in range(2)], (90, prose()), (90, prose())]
+    gone = [*bad, (None, bad[0][1]), (None, "BUY!! NOW!! FREE!! " * 30), (7, near), (90, good[3][1].replace(" ", "  ")), (None, good[4][1]), good[6], (7, "BUY!! NOW!! FREE!! " * 25)]
+    spark.createDataFrame([(i, t, None, f"s{len(t) % 2}", len(t), "d", "r") for i, t in clean + gone], SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 1, 0) for i, _ in good if i != 7] + [(i, 0, 0) for i, _ in bad]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in clean}

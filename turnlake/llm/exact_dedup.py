@@ -95,14 +95,18 @@ def exact_dedup(docs: DataFrame, table: str | None = None, batches: int = 2) ->
 
 
 def keep_first(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that the decisions keep; of a repeated row one copy stays."""
-    kept = decisions.groupBy("doc_id").agg(
+    """The rows of `docs`, all columns, that the decisions keep; of a repeated row one copy stays.
+
+    Decisions are found by doc_id and digest, so rows that share an id, or have none, but differ in text are told apart.
+    """
+    kept = decisions.groupBy("doc_id", "text_sha256").agg(
         F.max(F.col("kept").cast("int")).alias("_stays"), F.count(F.lit(1)).alias("_rows")
-    ).filter("_stays = 1").withColumnRenamed("doc_id", "_kept_id")
-    same = docs["doc_id"].eqNullSafe(kept["_kept_id"])
-    once = docs.join(kept.filter("_rows = 1"), same, "left_semi")
-    more = docs.join(kept.filter("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    ).filter("_stays = 1").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), "_rows")
+    own = docs.withColumn("_sha", F.sha2(normalised(), 256))
+    same = own["doc_id"].eqNullSafe(kept["_kept_id"]) & (own["_sha"] == kept["_kept_sha"])
+    once = own.join(kept.filter("_rows = 1"), same, "left_semi")
+    more = own.join(kept.filter("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return once.unionByName(more).drop("_sha")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from turnlake.llm.common import documents, whole_text
 
@@ -151,21 +152,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     return [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), q) for i, v, q in found]
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score for every row of `docs` (doc_id, text, n_chars; others ignored)."""
+def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`columns` and _score for every row of `docs` (text, n_chars; others ignored)."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*shared.value)
         for batch in batches:
+            text, recorded = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             out = np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, 64):
-                got = [features(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()) for i in range(at, min(at + 64, batch.num_rows))]
+                got = [features(text[i].as_py(), recorded[i].as_py()) for i in range(at, min(at + 64, batch.num_rows))]
                 begin = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
                 out[at : at + 64] = own.scores(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), begin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out)], names=[*columns, "_score"])
 
-    return docs.select("doc_id", whole_text().alias("text"), F.col("n_chars").cast("double").alias("n")).mapInArrow(run, "doc_id bigint, score double")
+    sent = docs.select(*columns, whole_text().alias("_text"), F.col("n_chars").cast("double").alias("_n"))
+    return sent.mapInArrow(run, StructType([*sent.schema.fields[:-2], StructField("_score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,7 +179,13 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, thre
     """
     machine = fit(training_rows(docs, labels, limit))
     return score(docs, machine).select(
-        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, that are predicted to be good, each by its own text."""
+    machine = fit(training_rows(docs, labels, limit))
+    return score(docs, machine, tuple(docs.columns)).filter(F.col("_score") >= threshold).drop("_score")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
