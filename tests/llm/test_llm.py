@@ -182,3 +182,29 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = {(r["doc_id"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in clean}
+
+
+def test_passages_behind_boilerplate(spark):
+    """Passages that end or begin in words that many documents have, against all windows of 50 words."""
+    words = lambda n: [f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(n)]
+    plate, texts = words(40), {}
+    for i in range(150):
+        own = words(20)
+        for copy in (i, 500 + i):
+            texts[copy] = words(30 + i % 9) + (own + plate if i % 2 else plate + own) + words(40)
+    for i in range(1000, 1150):
+        texts[i] = words(35) + plate + words(35)
+    texts[2000] = texts[3][:200] + texts[8]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string").repartition(5)
+    held = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 49):
+            held.setdefault(tuple(t[k : k + 50]), set()).add(i)
+
+    def covered(i, use):
+        at = [k for k in range(len(texts[i]) - 49) if use(held[tuple(texts[i][k : k + 50])])]
+        return sorted({x for k in at for x in range(k, k + 50)})
+
+    got = {r["doc_id"]: [[x for s in r[c] for x in range(s["start"], s["stop"])] for c in ("spans", "later_spans")] for r in passages.repeated_passages(table).collect()}
+    want = {i: [covered(i, lambda d: len(d) > 1), covered(i, lambda d: min(d) < i)] for i in texts}
+    assert got == {i: w for i, w in want.items() if w[0]} and len(got) == 301

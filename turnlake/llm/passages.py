@@ -1,9 +1,8 @@
-"""Repeated passages by sparse suffix sorting (operator 2).
+"""Repeated passages by windows of words that documents share (operator 2).
 
-Suffixes are kept where a run of SEED words is the least of WINDOW consecutive runs by hash, which depends on the
-text alone: any passage of LEAST words has such a place, the same in all its copies. Suffixes are sorted by their
-first words (hashes of the first 25, 50, 100 and 200), compared with the nearest suffixes of other documents on
-both sides, and matches are extended left and right word by word.
+Seeds are kept where a run of SEED words is the least of WINDOW consecutive runs by hash, which depends on the text
+alone: any passage of LEAST words has such a place, the same in all its copies. Only around seeds that two documents
+share are all windows of LEAST words hashed, and windows that two documents share make the spans.
 """
 
 from __future__ import annotations
@@ -12,16 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import documents, stored, whole_text
+from turnlake.llm.common import documents, lookup, stored, whole_text
 from turnlake.llm.words import Words, chunks, long_array, mixed
 
 LEAST, SEED = 50, 25
 WINDOW = LEAST - SEED + 1
-LEVELS = (50, 100, 200)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -71,203 +68,89 @@ def minimisers(words: Words, seeds: np.ndarray) -> np.ndarray:
     return np.flatnonzero((_sliding(padded, WINDOW, np.maximum) == v) & (seeds != 0))
 
 
-SUFFIX = "seed bigint, l0 bigint, l1 bigint, l2 bigint, doc_id bigint, pos int"
+SEEDS = "seed bigint, doc_id bigint, pos int"
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for at, _, words in chunks(batch.column(1)):
-            seeds, *levels = runs_of_words(words, (SEED, *LEVELS))
+            seeds, = runs_of_words(words, (SEED,))
             picked = minimisers(words, seeds)
             text = np.searchsorted(words.first, picked, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [long_array(x[picked]) for x in (seeds, *levels)] + [pa.array(ids[at + text]), pa.array((picked - words.first[text]).astype(np.int32))],
-                names=["seed", "l0", "l1", "l2", "doc_id", "pos"])
+                [long_array(seeds[picked]), pa.array(ids[at + text]), pa.array((picked - words.first[text]).astype(np.int32))],
+                names=["seed", "doc_id", "pos"])
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text")).mapInArrow(_suffixes, SUFFIX)
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """key, low, high, n: the keys that rows of two documents or more have, with their least and greatest doc_id."""
+    groups = rows.groupBy(key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    return stored(groups.filter("low <> high"), f"shared-{key}")
 
 
-NEIGHBOUR = "part int, side int, seed bigint, a bigint, b bigint, at int, there int, places array<int>"
+PLACES = "win bigint, doc_id bigint, pos int"
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """side 0: suffixes of two documents next to each other; sides 1 and 2: the first and last run of one document and seed."""
-    part, first, held = TaskContext.get().partitionId(), True, None
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows of LEAST words that hold one of the given seeds."""
+    for batch in batches:
+        ids, wanted = batch.column(0).to_numpy(), batch.column(2)
+        for at, to, words in chunks(batch.column(1)):
+            windows, = runs_of_words(words, (LEAST,))
+            lists = wanted.slice(at, to - at)
+            seeds = np.repeat(words.first[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
+            near = np.zeros(len(windows) + 1, np.int64)
+            # rows that repeat a doc_id can have different texts, and then places of the other one
+            seeds = seeds[seeds < len(windows)]
+            np.add.at(near, np.maximum(seeds - (WINDOW - 1), 0), 1)
+            np.add.at(near, seeds + 1, -1)
+            picked = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (windows != 0))
+            text = np.searchsorted(words.first, picked, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [long_array(windows[picked]), pa.array(ids[at + text]), pa.array((picked - words.first[text]).astype(np.int32))],
+                names=["win", "doc_id", "pos"])
 
-    def edge(side: int, seed: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        one = lambda x, t: pa.array([x], t)
-        return pa.RecordBatch.from_arrays([
-            one(part, pa.int32()), one(side, pa.int32()), one(int(seed[0]), pa.int64()), one(int(doc[0]), pa.int64()), one(None, pa.int64()),
-            one(None, pa.int32()), one(None, pa.int32()), pa.array([pos.tolist()], pa.list_(pa.int32()))], names=names)
 
-    names = [c.split()[0] for c in NEIGHBOUR.split(", ")]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        seed, doc, pos = (batch.column(i).to_numpy() for i in (0, 4, 5))
-        if held is not None:
-            seed, doc, pos = (np.concatenate([h, x]) for h, x in zip(held, (seed, doc, pos)))
-        new = np.ones(len(seed), bool)
-        new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(seed))
-        if first and len(begin) > 1:
-            yield edge(1, seed[: end[0]], doc[: end[0]], pos[: end[0]])
-            first = False
-        # every suffix of a run with the last one of the run before, and of the run after with this one's first
-        run = np.cumsum(new) - 1
-        known = np.flatnonzero(run > 0)
-        before = begin[run[known]] - 1
-        same = seed[known] == seed[before]
-        x, y = known[same], before[same]
-        ahead = np.flatnonzero(run < len(begin) - 1)
-        after = end[run[ahead]]
-        same = seed[ahead] == seed[after]
-        x, y = np.concatenate([x, ahead[same]]), np.concatenate([y, after[same]])
-        # the last run's partners ahead come with the next batch; what it has behind is told once
-        fresh = np.ones(len(x), bool) if held is None else (x >= len(held[0])) | (y >= len(held[0]))
-        x, y = x[fresh], y[fresh]
-        if len(x):
-            k = len(x)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(k, part, np.int32)), pa.array(np.zeros(k, np.int32)), pa.array(seed[x]), pa.array(doc[x]), pa.array(doc[y]),
-                pa.array(pos[x]), pa.array(pos[y]), pa.nulls(k, pa.list_(pa.int32()))], names=names)
-        # of what was told, the last run and the row before it are carried over
-        lead = max(0, begin[-1] - 1)
-        held = tuple(v[lead:].copy() for v in (seed, doc, pos))
-    if held is not None:
-        seed, doc, pos = held
-        last = (seed == seed[-1]) & (doc == doc[-1])
-        if first:
-            yield edge(1, seed[last], doc[last], pos[last])
-        yield edge(2, seed[last], doc[last], pos[last])
-
-
-def neighbours(found: DataFrame) -> DataFrame:
-    """a, b, at, there: a suffix of document a and its nearest one of another document in sorted order."""
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["seed", "l0", "l1", "l2", "doc_id", "pos"]
-    # ranges of the whole sort key: a seed that is everywhere is spread over many tasks
-    rows = stored(found.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, NEIGHBOUR), "neighbours")
-    edges = rows.filter("side > 0")
-    order = Window.orderBy("part", "side")
-    met = edges.withColumns({f"n_{c}": F.lead(c).over(order) for c in ("seed", "a", "side", "places")}).filter(
-        "side = 2 AND n_side = 1 AND seed = n_seed AND a <> n_a")
-    across = met.select(F.col("a").alias("a"), F.col("n_a").alias("b"), F.explode("places").alias("at"), F.get("n_places", F.lit(0)).alias("there")).unionByName(
-        met.select(F.col("n_a").alias("a"), F.col("a").alias("b"), F.explode("n_places").alias("at"), F.element_at("places", -1).alias("there")))
-    return rows.filter("side = 0").select("a", "b", "at", "there").unionByName(across)
-
-
-def matches(pairs: DataFrame) -> DataFrame:
-    """id, a, b, start, stop, delta with a < b: words start..stop of a are words start - delta.. of b, from chained seeds."""
-    swap = F.col("a") > F.col("b")
-    one = pairs.select(
-        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-        F.when(swap, F.col("there")).otherwise(F.col("at")).alias("at"),
-        F.when(swap, F.col("at") - F.col("there")).otherwise(F.col("there") - F.col("at")).alias("shift"),
-    ).distinct()
-    w = Window.partitionBy("a", "b", "shift").orderBy("at")
-    new = F.when(F.col("at") - F.lag("at").over(w) <= SEED, 0).otherwise(1)
-    runs = one.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("a", "b", "shift", "run").agg(
-        F.min("at").alias("start"), (F.max("at") + SEED).alias("stop"))
-    return runs.select(F.monotonically_increasing_id().alias("id"), "a", "b", "start", "stop", "shift")
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each wanted place, the hashes of WINDOW words before it (nearest first) and behind it."""
-    for batch in batches:
-        wanted = batch.column(1)
-        for at, to, words in chunks(batch.column(0)):
-            out = []
-            for i, list_ in zip(range(len(words.bounds) - 1), wanted.slice(at, to - at).to_pylist()):
-                low, high = words.first[i], words.first[i + 1]
-                for x in list_:
-                    start, stop = low + x["start"], low + x["stop"]
-                    out.append((x["id"], x["side"], words.hash[max(low, start - WINDOW) : start][::-1].tobytes(), words.hash[stop : min(high, stop + WINDOW)].tobytes()))
-            if out:
-                ids, sides, left, right = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                                                 names=["id", "side", "before", "behind"])
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ends = []
-        for i in (1, 3):
-            n = []
-            for x, y in zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist()):
-                k = min(len(x), len(y)) // 8
-                differ = np.frombuffer(x, np.uint64, k) != np.frombuffer(y, np.uint64, k)
-                n.append(int(differ.argmax()) if differ.any() else k)
-            ends.append(pa.array(n, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *ends], names=["id", "before", "behind"])
-
-
-def extended(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, start, stop, shift with start and stop moved out as far as the words agree."""
-    asked = runs.select("id", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("a").alias("doc"), "start", "stop"),
-        F.struct(F.lit(1).alias("side"), F.col("b").alias("doc"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop")),
-    )).alias("x")).select(F.col("x.doc").alias("doc"), F.struct("id", "x.side", "x.start", "x.stop").alias("x"))
-    lists = asked.groupBy("doc").agg(F.collect_list("x").alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("doc"), whole_text().alias("text"))
-    shown = texts.join(lists, "doc").select("text", "wanted").mapInArrow(_contexts, "id bigint, side int, before binary, behind binary")
-    pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}")
-    both = shown.groupBy("id").agg(pick("before", 0), pick("before", 1), pick("behind", 0), pick("behind", 1))
-    far = both.mapInArrow(_extend, "id bigint, before int, behind int")
-    return runs.join(far, "id").select(
-        "a", "b", (F.col("start") - F.col("before")).alias("start"), (F.col("stop") + F.col("behind")).alias("stop"), "shift")
-
-
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, t in sorted((x["start"], x["stop"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], t)
-        else:
-            out.append([s, t])
-    return [(s, t) for s, t in out if t - s >= LEAST]
+def windows(docs: DataFrame) -> DataFrame:
+    """win, doc_id, pos: the windows of LEAST words of which another document has the least seed too."""
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"))
+    found = stored(texts.mapInArrow(_seeds, SEEDS), "seeds")
+    lists = lookup(found, shared(found, "seed"), "seed", "n").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("wanted"))
+    return texts.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_windows, PLACES)
+
+
+def _merged(starts: np.ndarray) -> list[dict]:
+    """Spans that the windows from `starts`, in order, cover; those that touch are one."""
+    if not len(starts):
+        return []
+    cut = np.flatnonzero(np.diff(starts) > LEAST)
+    return [{"start": int(s), "stop": int(t) + LEAST} for s, t in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)])]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for batch in batches:
-        ids, spans, later, partners = [], [], [], []
-        for row in batch.to_pylist():
-            merged = _merged(row["spans"])
-            if merged:
-                ids.append(row["doc_id"])
-                spans.append([{"start": s, "stop": t} for s, t in merged])
-                later.append([{"start": s, "stop": t} for s, t in _merged([x for x in row["spans"] if x["later"]])])
-                partners.append(sorted({x["other"] for x in row["spans"]}))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind), pa.array(later, kind), pa.array(partners, pa.list_(pa.int64()))],
-                                             names=["doc_id", "spans", "later_spans", "partners"])
+        all_, later = ([_merged(np.unique(np.array(x, np.int64))) for x in batch.column(i).to_pylist()] for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_, kind), pa.array(later, kind), batch.column(3)],
+                                         names=["doc_id", "spans", "later_spans", "partners"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, spans, later_spans, partners for every document that shares a passage of LEAST words or more with another.
 
-    Spans count words from 0, the end excluded; later_spans have a copy in a document of smaller doc_id and can go;
-    partners are the documents that the suffixes were compared with. Spans that touch are one. Words are runs without
-    ASCII white space, case kept. A passage is a match of at least SEED words with a neighbour in sorted order; matches of
-    one document that touch make one span, of LEAST words at least. Where documents share different parts of a passage,
-    the neighbour that agrees longest to the right may agree less to the left, so that a span can start up to
-    WINDOW - 1 words late. Null doc_ids and texts, and texts of fewer than LEAST words, have no spans; rows that repeat
-    a doc_id are one document.
+    Spans count words from 0, the end excluded; later_spans have a copy in a document of smaller doc_id and can go. A word
+    is in a span exactly when a window of LEAST words around it is in another document. Spans that touch are one.
+    partners are, for each window, the first document that has it, or for the first one the last. Words are runs without
+    ASCII white space, case kept. Null doc_ids and texts, and texts of fewer than LEAST words, have no spans; rows that
+    repeat a doc_id are one document.
     """
-    found = stored(suffixes(docs), "suffixes")
-    runs = stored(matches(neighbours(found)), "matches")
-    far = stored(extended(runs, docs).distinct(), "extended")
-    each = far.select(F.explode(F.array(
-        F.struct(F.col("a").alias("doc_id"), "start", "stop", F.col("b").alias("other"), F.lit(False).alias("later")),
-        F.struct(F.col("b").alias("doc_id"), (F.col("start") + F.col("shift")).alias("start"), (F.col("stop") + F.col("shift")).alias("stop"),
-                 F.col("a").alias("other"), F.lit(True).alias("later")),
-    )).alias("x"))
-    lists = each.groupBy("x.doc_id").agg(F.collect_list(F.struct("x.start", "x.stop", "x.other", "x.later")).alias("spans"))
+    found = stored(windows(docs), "windows")
+    met = lookup(found, shared(found, "win"), "win", "n")
+    later = F.col("low") < F.col("doc_id")
+    lists = met.groupBy("doc_id").agg(
+        F.collect_list("pos").alias("spans"), F.collect_list(F.when(later, F.col("pos"))).alias("later_spans"),
+        F.array_sort(F.collect_set(F.when(later, F.col("low")).otherwise(F.col("high")))).alias("partners"))
     kind = "array<struct<start:int,stop:int>>"
     return lists.mapInArrow(_spans, f"doc_id bigint, spans {kind}, later_spans {kind}, partners array<bigint>")
 
