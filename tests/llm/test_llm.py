@@ -208,3 +208,20 @@ def test_passages_behind_boilerplate(spark):
     got = {r["doc_id"]: [[x for s in r[c] for x in range(s["start"], s["stop"])] for c in ("spans", "later_spans")] for r in passages.repeated_passages(table).collect()}
     want = {i: [covered(i, lambda d: len(d) > 1), covered(i, lambda d: min(d) < i)] for i in texts}
     assert got == {i: w for i, w in want.items() if w[0]} and len(got) == 301
+
+
+def test_fingerprints_do_not_depend_on_the_length(spark):
+    """Near copies, and edited texts, on both sides of 400 and 1,200 code points."""
+    def prose(n):
+        text = ""
+        while len(text) < n:
+            text += rnd.choice("alpha beta gamma delta the of and".split()) + str(rnd.randint(0, 999)) + rnd.choice(["", "", "", "", "."]) + " "
+        return text[: n - 1] + "x"
+
+    rows = []
+    for i, n in enumerate((395, 1190)):
+        own = prose(n)
+        rows += [(4 * i, own), (4 * i + 1, own + " and more" + "y" * 10), (4 * i + 2, prose(n + 55)), (4 * i + 3, "a text of 20 letters")]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (0, 4):
+        assert got[i]["near_next"] > 0.7 and got[i + 2]["near_edited"] > 0.5, (i, got[i], got[i + 2])

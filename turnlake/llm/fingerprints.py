@@ -20,21 +20,23 @@ BASE, LAST = 5, (1 << 6, 1 << 9)
 #: Cells a group of the larger table: so many for each digest, and so many at least.
 SPREAD, LEAST = 1024, 1024
 ROUNDS = 6
-#: Texts below so many code points are cut at every white space, then at line ends and sentence ends; longer
-#: ones at line ends and at sentence ends behind certain letters, so that their paragraphs are longer.
-SHORT, MIDDLE = 400, 1200
+#: Paragraphs end at line ends and behind each word whose hash is 0 by this modulus, in texts of any length.
+EACH = 6
+WHITE, END = " \t\n\x0b\f\r", "\0"
 #: Guests of blocks are broadcast up to this count (16 bytes each).
 BROADCAST_IDS = 100_000
 BLOCK = 128
 
 
 def paragraphs(text: Column) -> Column:
-    n = F.char_length(text)
-    return (
-        F.when(n < SHORT, F.split(text, r"\s+"))
-        .when(n < MIDDLE, F.split(text, r"\n+|(?<=[.!?])\s+"))
-        .otherwise(F.split(text, r"\n+|(?<=[aet][.!?])\s+"))
-    )
+    """Where a paragraph ends depends on its last word and the white space behind it alone, not on the text's length."""
+    def ended(word: Column) -> Column:
+        own = F.rtrim(word, F.lit(WHITE))
+        return F.when(F.contains(word, F.lit("\n")) | (F.pmod(F.xxhash64(own), F.lit(EACH)) == 0), F.concat(own, F.lit(END))).otherwise(word)
+
+    # each word with the white space behind it
+    words = F.split(F.btrim(text, F.lit(WHITE)), r"(?<=\s)(?=\S)")
+    return F.split(F.array_join(F.transform(words, ended), ""), END)
 
 
 def paragraph_digests(text: Column) -> Column:
