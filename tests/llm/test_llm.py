@@ -69,15 +69,27 @@ def test_bpe(docs, empty):
 def test_bpe_odd_texts():
     tok = Tokenizer.from_file(bpe.tokenizer_path())
     vocabulary = bpe.load_vocabulary(bpe.tokenizer_path())
-    words = {w.encode(): tuple(bpe.merge(w.encode(), vocabulary)) for w in (" the", "the", " and", "ing", " a", "ab", "abc", " hello")}
+    frequent = [w.encode() for w in (" the", "the", " and", "ing", " a", "ab", "abc", " hello")]
+    words = {w: tuple(memoryview(ids).cast("I")) for w, ids in zip(frequent, bpe.merge_all(frequent, vocabulary))}
     block = lexicon.compile_lexicon(words)
     held = lexicon.Lexicon(block)
     assert all(held.get(w) == bpe.id_bytes(ids) for w, ids in words.items()) and held.get(b"th") is None and lexicon.Lexicon(lexicon.compile_lexicon({})).get(b"a") is None
     encoder = bpe.Encoder(vocabulary, block)
     parts = ["a", "'s", "'re", " ", "  ", "\n", "\t", "\r\n", "é", "1", "!", "...", "\x1c", "\x85", "\xa0", " ", "​", "日本", "<|endoftext|>", "<|", "😀", "'", "ll", "\x00", "﻿", "the"]
-    for _ in range(1500):
-        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
-        assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == tok.encode(text, add_special_tokens=False).ids
+    parts += ["½", "Ⅷ", "٣", "e\u0301", ",", '"', "-", "_", "x" * 70]
+    for _ in range(30):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(100)]
+        for text, ids in zip(texts, encoder.encode_all(texts)):
+            assert list(memoryview(ids).cast("I")) == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_forgets_pieces_and_keeps_their_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "TOGETHER", 3)
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    encoder = bpe.Encoder(bpe.load_vocabulary(bpe.tokenizer_path()), lexicon.compile_lexicon({}))
+    for text in [*PROSE, *PROSE[::-1], "", "a<|endoftext|>b"]:
+        assert list(memoryview(encoder.encode(text)).cast("I")) == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(spark, docs):
@@ -87,7 +99,51 @@ def test_token_counts(spark, docs):
     edits = spark.createDataFrame([(i, s, a, b, by) for i in range(12) for s, a, b, by in ((2, 3, 9, "'re new\n"), (1, 200, 260, None), (3, 0, 0, "  ok "), (4, 10**6, 10**6, " end"))],
                                   "doc_id bigint, seq int, start long, stop long, by string")
     for r in token_counts.apply_edits(token_counts.build_trees(docs, shared), edits, shared).collect():
-        assert r["tokens_after"] == count(r["text"]) and sum(r["leaf_chars"]) == len(r["text"])
+        assert r["tokens_after"] == count(r["text"]) and r["node_chars"][1] == len(r["text"])
+    assert token_counts.build_trees(docs.limit(0), shared).count() == 0
+
+
+def test_edits_meet_the_whole_count():
+    """Many random edits, after each of which the trees' sums equal a new count; most of a long text isn't encoded again."""
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    encoder = bpe.Encoder(bpe.load_vocabulary(bpe.tokenizer_path()), lexicon.compile_lexicon({}))
+    parts = ["alpha", " ", " beta", "\n", "  ", "'s", "12", "...", "\t", "x" * 300, "é", "<|endoftext|>", "\x1c"]
+    text = lambda n: "".join(rnd.choice(parts) for _ in range(n))
+    texts = ["", " ", text(3), text(400), text(4000)]
+    trees = []
+    for t in texts:
+        pieces = token_counts.cut(t)
+        trees.append(token_counts.Tree.over([len(p) for p in pieces], [len(x) // 4 for x in encoder.encode_all(pieces)]))
+    for _ in range(60):
+        edits = []
+        for t in texts:
+            at = rnd.randint(-2, len(t) + 3)
+            edits.append([{"start": at, "stop": at + rnd.choice([0, 0, 1, 5, 700]), "by": text(rnd.choice([0, 0, 1, 4, 90]))}])
+        texts, encoded = token_counts.edit_all(texts, trees, edits, encoder)
+        for t, tree, n in zip(texts, trees, encoded):
+            assert tree.chars[1] == len(t) and tree.tokens[1] == len(tok.encode(t, add_special_tokens=False).ids)
+            assert sum(tree.tokens[tree.size :]) == tree.tokens[1]
+        assert encoded[-1] < len(texts[-1]) / 2
+
+
+def test_token_counts_query(spark, tmp_path):
+    """The query's own edits against a new count of the edited text; under half of longer texts is encoded again."""
+    tok = Tokenizer.from_file(bpe.tokenizer_path())
+    long = " ".join(PROSE * 4)
+    spark.createDataFrame([*rows(), (99, long, None, None, None, None, None)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = token_counts.op3_token_counts(spark, str(tmp_path)).collect()
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] != 99:
+            continue
+        t = long if r["doc_id"] == 99 else None
+        if t:
+            n = len(t)
+            t = t[: n // 2] + t[n // 2 + 17 :]
+            at = min(n * 9 // 10, len(t))
+            t = "Now " + t[:at] + long[:23] + t[at:]
+            assert r["tokens_after"] == len(tok.encode(t, add_special_tokens=False).ids) and r["edited_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+            assert r["reencoded_chars"] < len(t) / 2
+    assert len(got) == len(rows()) + 1
 
 
 def test_line_dedup(docs, empty):

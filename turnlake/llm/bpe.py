@@ -10,10 +10,11 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,14 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Space-separated pieces are counted in so many groups by hash; each gives its most frequent ones to the lexicon,
 #: from a sketch that tracks so many.
 GROUPS, FREQUENT, TRACKED = 32, 1000, 2048
-#: Encoded pieces, and words, that a worker remembers: some 20 MB each.
+#: Encoded pieces that a worker remembers, and as many older ones: some 20 MB each.
 REMEMBERED = 100_000
-#: Behind every (rank, id) of a merge.
-NO_MERGE = (1 << 62, 0)
-#: Longer words are merged with a heap.
-LONG = 64
-OUT_BYTES = 1 << 23
+#: Behind every rank of a merge.
+NO_MERGE = (1 << 31) - 1
+#: Longer words are merged with a heap; of the others so many at once, those of like lengths together.
+LONG, TOGETHER = 64, 1 << 13
+#: Text that is encoded at once, and decoded text that is given back at once.
+TOGETHER_BYTES, OUT_BYTES = 1 << 20, 1 << 23
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -60,27 +62,76 @@ def load_vocabulary(path: str) -> dict:
     for rank, pair in enumerate(model["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
         merges[(vocab[a], vocab[b])] = (rank, vocab[a + b])
-    return {"tokens": tokens, "bytes": [vocab[byte_alphabet()[b]] for b in range(256)], "merges": merges, "special": special}
-
-
-def merge(word: bytes, vocabulary: dict) -> list[int]:
-    """Token ids of one pre-token: always the pair of the lowest rank, the leftmost first."""
-    first, merges = vocabulary["bytes"], vocabulary["merges"]
-    ids = [first[b] for b in word]
-    if len(ids) > LONG:
-        return _merge_long(ids, merges)
-    get = merges.get
-    found = [get(pair, NO_MERGE) for pair in pairwise(ids)]
-    while found and (best := min(found)) is not NO_MERGE:
-        i = found.index(best)
-        ids[i : i + 2] = [best[1]]
-        # the pair is gone; its neighbours have a new one
-        del found[i]
-        if i:
-            found[i - 1] = get((ids[i - 1], ids[i]), NO_MERGE)
-        if i < len(found):
-            found[i] = get((ids[i], ids[i + 1]), NO_MERGE)
-    return ids
+    first = [vocab[byte_alphabet()[b]] for b in range(256)]
+    order = sorted(merges)
+    return {
+        "tokens": tokens, "bytes": first, "merges": merges, "special": special, "byte_ids": np.array(first, np.int32),
+        # the same merges for look-ups of many pairs at once: sorted pairs, their ranks, and what each rank gives
+        "pairs": np.array([(a << 32) | b for a, b in order], np.int64), "ranks": np.array([merges[p][0] for p in order], np.int32),
+        "merged": np.array([i for _, i in sorted(merges.values())], np.int32),
+    }
+
+
+def merge_all(words: list[bytes], vocabulary: dict) -> list[bytes]:
+    """Id bytes of pre-tokens: in each always the pair of the lowest rank, the leftmost first; all words at once."""
+    found: list = [b""] * len(words)
+    order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
+    while order and len(words[order[-1]]) > LONG:
+        i = order.pop()
+        found[i] = id_bytes(_merge_long([vocabulary["bytes"][b] for b in words[i]], vocabulary["merges"]))
+    for at in range(0, len(order), TOGETHER):
+        own = order[at : at + TOGETHER]
+        ids = _merge_rows(byte_matrix([words[i] for i in own]), vocabulary)
+        sizes, width, raw = (ids >= 0).sum(axis=1).tolist(), 4 * ids.shape[1], ids.astype("<i4").tobytes()
+        for row, (i, n) in enumerate(zip(own, sizes)):
+            found[i] = raw[row * width : row * width + 4 * n]
+    return found
+
+
+def byte_matrix(words: list[bytes]) -> np.ndarray:
+    """A row of bytes for each word, -1 behind its end."""
+    sizes = np.array([len(w) for w in words])
+    out = np.full((len(words), int(sizes.max(initial=1))), -1, np.int32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    return out
+
+
+def _ranks(left: np.ndarray, right: np.ndarray, vocabulary: dict) -> np.ndarray:
+    """Ranks of pairs of ids, NO_MERGE for those that don't merge."""
+    pairs, ranks = vocabulary["pairs"], vocabulary["ranks"]
+    wanted = (left.astype(np.int64) << 32) | right
+    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+    return np.where((pairs[at] == wanted) & (right >= 0), ranks[at], NO_MERGE).astype(np.int32)
+
+
+def _merge_rows(raw: np.ndarray, vocabulary: dict) -> np.ndarray:
+    ids = np.where(raw < 0, -1, vocabulary["byte_ids"][raw])
+    out, rows, merged = ids.copy(), np.arange(len(ids)), vocabulary["merged"]
+    # the last column never has a pair
+    rank = np.full(ids.shape, NO_MERGE, np.int32)
+    rank[:, :-1] = _ranks(ids[:, :-1], ids[:, 1:], vocabulary) if len(vocabulary["pairs"]) else NO_MERGE
+    while True:
+        best = rank.argmin(axis=1)
+        least = rank[np.arange(len(ids)), best]
+        going = least < NO_MERGE
+        if not going.all():
+            out[rows[~going]] = ids[~going]
+            ids, rank, rows, best, least = ids[going], rank[going], rows[going], best[going], least[going]
+        if not len(ids):
+            return out
+        every, width = np.arange(len(ids)), ids.shape[1]
+        # what stands behind the pair moves up
+        place = np.arange(width)[None, :]
+        source = np.minimum(place + (place > best[:, None]), width - 1)
+        ended = ids[:, -1].copy()
+        ids = np.take_along_axis(ids, source, axis=1)
+        ids[:, -1] = np.where(best == width - 1, ended, -1)
+        ids[every, best] = merged[least]
+        rank = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width - 1), axis=1)
+        behind = np.minimum(best + 1, width - 1)
+        rank[every, best] = np.where(best + 1 < width, _ranks(ids[every, best], ids[every, behind], vocabulary), NO_MERGE)
+        some = np.flatnonzero(best)
+        rank[some, best[some] - 1] = _ranks(ids[some, best[some] - 1], ids[some, best[some]], vocabulary)
 
 
 def _merge_long(ids: list[int], merges: dict) -> list[int]:
@@ -111,46 +162,82 @@ def id_bytes(ids: list[int]) -> bytes:
     return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
-class Encoder(dict):
-    """Pieces to id bytes. A piece is white space followed by the rest up to the next white space: pre-tokens
-    never cross from a character that isn't white space to one that is, so pieces are encoded on their own."""
+class Encoder:
+    """Pieces to id bytes. A piece is a word of letters, with a space before it or none, up to white space or a common
+    mark, or else white space followed by the rest up to the next white space: pre-tokens cross neither border and
+    don't depend on what is before them, so pieces are encoded on their own.
 
-    piece = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+    New pieces of many texts are encoded together: their pre-tokens walk the lexicon, and those that it lacks are
+    merged. Pieces that were not met since REMEMBERED others came are forgotten.
+    """
+
+    piece = re.compile(r""" ?[^\W\d_]++(?=[ \n,.;:!?"'()-]|\Z)|[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+""")
     word = regex.compile(PATTERN)
 
     def __init__(self, vocabulary: dict, block: bytes):
-        super().__init__()
-        self.vocabulary, self.lexicon, self.words = vocabulary, Lexicon(block), {}
+        self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
         special = sorted(vocabulary["special"], key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.fixed = {s: i.to_bytes(4, "little") for s, i in vocabulary["special"].items()}
+        self.known, self.older = dict(self.fixed), {}
 
-    def __missing__(self, piece: str) -> bytes:
-        out = []
-        for word in self.word.findall(piece):
-            ids = self.words.get(word)
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text; special strings in it are pieces of their own."""
+        if self.special is None or not self.special.search(text):
+            return self.piece.findall(text)
+        return [p for part in self.special.split(text) if part for p in ([part] if part in self.fixed else self.piece.findall(part))]
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Id bytes of all `pieces`, and of others."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = dict(self.fixed), self.known
+        known, older = self.known, self.older
+        new = []
+        for p in pieces.difference(known):
+            ids = older.get(p)
             if ids is None:
-                raw = word.encode("utf-8", "replace")
-                ids = self.lexicon.get(raw)
-                if ids is None:
-                    ids = id_bytes(merge(raw, self.vocabulary))
-                self.words[word] = ids
-            out.append(ids)
-        ids = self[piece] = b"".join(out)
-        return ids
-
-    def plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.piece.findall(text)))
+                new.append(p)
+            else:
+                known[p] = ids
+        if new:
+            # letters alone, behind a space or not, are one pre-token
+            plain, parts = [], []
+            for p in new:
+                if (p[1:] if p[0] == " " else p).isalpha():
+                    plain.append(p)
+                else:
+                    parts.append((p, self.word.findall(p)))
+            words = list({*plain, *(w for _, ws in parts for w in ws if w not in known)})
+            raw = [w.encode("utf-8", "replace") for w in words]
+            held = self.lexicon.get_all(raw)
+            unseen = [i for i, ids in enumerate(held) if ids is None]
+            for i, ids in zip(unseen, merge_all([raw[i] for i in unseen], self.vocabulary)):
+                held[i] = ids
+            known.update(zip(words, held))
+            for p, ws in parts:
+                known[p] = b"".join([known[w] for w in ws])
+        return known
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Id bytes of whole texts."""
+        cut = [self.cut(t) for t in texts]
+        known = self.learn(set().union(*cut))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def encode(self, text: str) -> bytes:
-        """Id bytes of a whole text; special strings in it are their own tokens."""
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if self.special is None or not self.special.search(text):
-            return self.plain(text)
-        special = self.vocabulary["special"]
-        return b"".join(special[p].to_bytes(4, "little") if p in special else self.plain(p) for p in self.special.split(text) if p)
+        return self.encode_all([text])[0]
+
+
+def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of `most` characters in sum or little more; a longer row is alone."""
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -176,8 +263,9 @@ def frequent_words(docs: DataFrame, frequent: int = FREQUENT, tracked: int = TRA
 def build(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[dict, bytes]:
     """(vocabulary, lexicon block) for a corpus: at most GROUPS * `frequent` pieces reach the driver."""
     vocabulary = load_vocabulary(path)
-    words = {w.encode("utf-8", "replace"): tuple(merge(w.encode("utf-8", "replace"), vocabulary)) for w in frequent_words(docs, frequent)}
-    return vocabulary, compile_lexicon(words)
+    words = [w.encode("utf-8", "replace") for w in frequent_words(docs, frequent)]
+    ids = [tuple(memoryview(x).cast("I")) for x in merge_all(words, vocabulary)]
+    return vocabulary, compile_lexicon(dict(zip(words, ids)))
 
 
 def encode(docs: DataFrame, shared) -> DataFrame:
@@ -189,15 +277,11 @@ def encode(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
         for batch in batches:
-            texts, at, out, held = batch.column(1), 0, [], 0
-            for i in range(batch.num_rows):
-                out.append(encoder.encode(texts[i].as_py()))
-                held += len(out[-1])
-                if held > OUT_BYTES or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(at, len(out)), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
-                        names=["doc_id", "n_tokens", "ids"])
-                    at, out, held = i + 1, [], 0
+            for at, to in groups(pc.binary_length(batch.column(1)).to_pylist(), TOGETHER_BYTES):
+                out = encoder.encode_all(batch.column(1).slice(at, to - at).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, to - at), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 import mmap
 import tempfile
 from array import array
+from itertools import pairwise
+
+import numpy as np
 
 
 class _State:
@@ -110,27 +113,48 @@ class Lexicon:
             self.map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         head = memoryview(self.map)[:20].cast("I")
         self.root, states, arcs, pool, flat = head
-        numbers, at = memoryview(self.map), 20
-        parts = []
+        at, parts = 20, []
         for n in (states + 1, states, arcs, arcs, pool + 1, flat):
-            parts.append(numbers[at : at + 4 * n].cast("I"))
+            parts.append(np.frombuffer(self.map, np.uint32, n, at))
             at += 4 * n
-        self.first, self.tails, self.targets, self.outs, self.starts, self.flat = parts
-        self.labels = at
+        first, self.tails, self.targets, self.outs, starts, ids = parts
+        # arcs lie in the order of (state, label)
+        self.arcs = (np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8) | np.frombuffer(self.map, np.uint8, arcs, at)
+        raw = ids.tobytes()
+        self.pool = [raw[4 * a : 4 * b] for a, b in pairwise(starts.tolist())]
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers; None when the word isn't held."""
-        s, found = self.root, b""
-        first, labels, find = self.first, self.labels, self.map.find
-        for i in range(len(word)):
-            a = find(word[i : i + 1], labels + first[s], labels + first[s + 1]) - labels
-            if a < 0:
-                return None
-            o = self.outs[a]
-            if o:
-                found += self.flat[self.starts[o] : self.starts[o + 1]].tobytes()
-            s = self.targets[a]
-        tail = self.tails[s]
-        if not tail:
-            return None
-        return found + self.flat[self.starts[tail - 1] : self.starts[tail]].tobytes()
+        return self.get_all([word])[0]
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """The same for many words, which walk the automaton together, a byte a step."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        text, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        state, left = np.full(len(words), self.root, np.int64), np.arange(len(words))
+        given: list[tuple[np.ndarray, np.ndarray]] = []
+        ended: list[np.ndarray] = []
+        step = 0
+        while len(left):
+            over = sizes[left] == step
+            ended.append(left[over])
+            left = left[~over]
+            wanted = (state[left] << 8) | text[begin[left] + step]
+            arc = np.searchsorted(self.arcs, wanted)
+            held = arc < len(self.arcs)
+            held[held] = self.arcs[arc[held]] == wanted[held]
+            left, arc = left[held], arc[held]
+            state[left] = self.targets[arc]
+            some = self.outs[arc] > 0
+            given.append((left[some], self.outs[arc][some]))
+            step += 1
+        found: list[bytes | None] = [None] * len(words)
+        whole = np.concatenate([*ended, np.zeros(0, np.int64)])
+        tails = self.tails[state[whole]]
+        for i in whole[tails > 0].tolist():
+            found[i] = b""
+        for at, outs in [*given, (whole[tails > 0], tails[tails > 0] - 1)]:
+            for i, o in zip(at.tolist(), outs.tolist()):
+                if o and found[i] is not None:
+                    found[i] += self.pool[o]
+        return found
