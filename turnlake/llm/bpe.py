@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -268,13 +268,12 @@ def build(docs: DataFrame, path: str, frequent: int = FREQUENT) -> tuple[dict, b
     return vocabulary, compile_lexicon(dict(zip(words, ids)))
 
 
-def encode(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian 32-bit) for each row; `shared` broadcasts what build() gives.
+ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+Batches = Iterator[pa.RecordBatch]
 
-    A null text is empty and has no tokens; nothing is truncated or padded; repeated rows are encoded alike.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoding(shared) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         encoder = worker_encoder(shared)
         for batch in batches:
             for at, to in groups(pc.binary_length(batch.column(1)).to_pylist(), TOGETHER_BYTES):
@@ -283,13 +282,11 @@ def encode(docs: DataFrame, shared) -> DataFrame:
                     [batch.column(0).slice(at, to - at), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, shared) -> DataFrame:
-    """The rows of `encoded` (doc_id, n_tokens, ids) with their text as `decoded`; bad UTF-8 becomes U+FFFD."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoding(shared) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         tokens = shared.value[0]["tokens"]
         for batch in batches:
             ids, at, out, held = batch.column(2), 0, [], 0
@@ -302,7 +299,20 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
                                                      names=["doc_id", "n_tokens", "ids", "decoded"])
                     at, out, held = i + 1, [], 0
 
-    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+    return run
+
+
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian 32-bit) for each row; `shared` broadcasts what build() gives.
+
+    A null text is empty and has no tokens; nothing is truncated or padded; repeated rows are encoded alike.
+    """
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(_encoding(shared), ENCODED)
+
+
+def decode(encoded: DataFrame, shared) -> DataFrame:
+    """The rows of `encoded` (doc_id, n_tokens, ids) with their text as `decoded`; bad UTF-8 becomes U+FFFD."""
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoding(shared), ENCODED + ", decoded string")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -314,7 +324,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, decoded for all of `docs` with a lexicon of its own frequent words."""
     shared = docs.sparkSession.sparkContext.broadcast(build(docs, path or tokenizer_path()))
-    return decode(encode(docs, shared), shared)
+    first, second = _encoding(shared), _decoding(shared)
+    # one worker does both
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(lambda batches: second(first(batches)), ENCODED + ", decoded string")
 
 
 def digested(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,10 +5,12 @@ symbols. By the pigeonhole principle two signatures that differ in at most 2 * C
 with at most one error, so for each chunk its four ways to leave one symbol out are the keys: all pairs under
 that distance share a key. A pair of similarity 0.75 fails in a chunk with probability 0.26, in all of them with 7e-9.
 
-Equal shingle sets are one class. Classes that share a key are first linked to the key's smallest member
-(linear in the group), confirmed links are contracted, and then only pairs of different components that still
-share a key are compared, in tasks that hold tiles of the key's members: their signatures first, and then the whole
-sets of those members that have a pair within the distance. So no link between components is lost, and groups of copies never give all their pairs.
+Equal shingle sets are one class. Classes that share a key are first linked to the key's smallest member, its hub
+(linear in the group), and confirmed links are contracted. Keys whose members are still of several components are
+gathered into families by their hub, so that a member of many such keys is one row, with a bit for each key. Only pairs
+of different components that share a key of the family are compared, in tasks that hold tiles of a family: their
+signatures first, and then the whole sets of those members that have a pair within the distance. So no link between
+components is lost, pairs are never rows, and rows grow with the members.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ SYMBOLS = 4 * CHUNKS
 #: Differing symbols up to which a pair is looked at; pairs up to 2 * CHUNKS - 1 are sure to share a key, and a pair
 #: of similarity 0.75 is beyond DISTANCE once in 10^10.
 DISTANCE = 36
-#: Members of a key that are compared in one task; larger groups are dealt out as pairs of such tiles.
-TILE = 256
+#: Members of a family, and shingles of theirs, that are compared in one group; larger families are dealt out as pairs of such tiles.
+TILE, TILE_SHINGLES = 1 << 12, 1 << 20
 #: Members that are confirmed against one copy of a hub's text.
 PER_HUB = 500
 
@@ -118,69 +120,75 @@ def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
 
 
 def _owned(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of a (key, tile pair) that are of different components, near enough by size and signature, and
-    share no earlier key."""
-    group, own, rep, comp, size, number = (table.column(i).to_numpy() for i in range(6))
+    """Places of pairs of a (family, tile pair) that are of different components, near enough by size and signature, and
+    whose first shared key is one of the family's."""
+    own, rep, comp, size, mask = (table.column(i).to_numpy() for i in range(1, 6))
     sig = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(len(rep), CHUNKS, 4)
-    step, left = 1, np.arange(len(rep))
-    while True:
-        left = left[left + step < len(rep)]
-        left = left[group[left] == group[left + step]]
-        if not len(left):
-            return
-        right = left + step
+    family = table.column(0).to_numpy()
+    order, ends = np.arange(len(rep)), np.flatnonzero(np.append(family[1:] != family[:-1], True)) + 1
+    for x, end in enumerate(np.repeat(ends, np.diff(ends, prepend=0)).tolist()):
         # of a tile pair, only pairs across; of a tile with itself, all
-        ok = (comp[left] != comp[right]) & ((own[left] != own[right]) | (own[left] < 0))
-        small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-        ok &= DENOMINATOR * small >= NUMERATOR * large
-        i, j = left[ok], right[ok]
-        for s in range(0, len(i), 20_000):
-            x, y = i[s : s + 20_000], j[s : s + 20_000]
-            wrong = (sig[x] != sig[y]).sum(axis=2)
-            near = wrong.sum(axis=1) <= DISTANCE
-            first = np.argmax(wrong <= 1, axis=1)
-            same = wrong[np.arange(len(x)), first] == 0
-            miss = np.argmax(sig[x, first] != sig[y, first], axis=1)
-            mine = near & (wrong.min(axis=1, initial=9) <= 1) & (first * 4 + np.where(same, 0, miss) == number[x])
-            if mine.any():
-                yield x[mine], y[mine]
-        step += 1
-
-
-MEMBER = "grp bigint, own int, rep bigint, comp bigint, n_shingles bigint, number bigint, sig binary"
+        other = order[x + 1 : end]
+        other = other[comp[other] != comp[x]]
+        if own[x] >= 0:
+            other = other[own[other] != own[x]]
+        small, large = np.minimum(size[other], size[x]), np.maximum(size[other], size[x])
+        other = other[DENOMINATOR * small >= NUMERATOR * large]
+        if not len(other):
+            continue
+        wrong = (sig[other] != sig[x]).sum(axis=2, dtype=np.uint8)
+        near = (wrong.sum(axis=1) <= DISTANCE) & (wrong.min(axis=1) <= 1)
+        other, wrong = other[near], wrong[near]
+        if not len(other):
+            continue
+        first = np.argmax(wrong <= 1, axis=1)
+        unlike = sig[other, first] != sig[x, first]
+        number = first * 4 + np.argmax(unlike, axis=1)
+        mine = (mask[x] >> number) & 1 == 1
+        if mine.any():
+            yield x, other[mine]
+
+
+MEMBER = "grp bigint, own int, rep bigint, comp bigint, n_shingles bigint, mask bigint, sig binary"
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of a key that have a pair to confirm there; the pairs themselves are never rows."""
+    """The members of a family that have a pair to confirm there; the pairs themselves are never rows."""
     for table in _runs(batches, 0):
-        found = [i for pair in _owned(table) for i in pair]
-        if found:
-            yield from table.take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()
+        met = np.zeros(table.num_rows, bool)
+        for x, others in _owned(table):
+            met[x] = True
+            met[others] = True
+        if met.any():
+            yield from table.filter(pa.array(met)).combine_chunks().to_batches()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a key's members by their whole sets: of the pairs that are already joined here, none is repeated."""
+    """Links of a family's members by their whole sets: of the pairs that are already joined here, none is repeated."""
     for table in _runs(batches, 0):
         sets: list[np.ndarray] = []
         for _, _, words in chunks(table.column(7), lower=True):
             sets += shingle_sets(words)
-        rep, root = table.column(2).to_numpy(), list(range(table.num_rows))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        sizes = np.array([len(s) for s in sets])
+        begin = np.cumsum(sizes) - sizes
+        # shingles are numbered, so that one member's are marked and those of many others counted at once
+        numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marked = np.zeros(len(numbers), bool)
+        rep, group = table.column(2).to_numpy(), table.column(3).to_numpy().copy()
         a, b = [], []
-        for xs, ys in _owned(table):
-            for x, y in zip(xs.tolist(), ys.tolist()):
-                u, v = find(x), find(y)
-                if u == v:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (len(sets[x]) + len(sets[y]) - both):
-                    root[u] = v
+        for x, others in _owned(table):
+            others = others[group[others] != group[x]]
+            if not len(others):
+                continue
+            own = numbers[begin[x] : begin[x] + sizes[x]]
+            marked[own] = True
+            ends = np.cumsum(sizes[others])
+            places = np.arange(ends[-1]) + np.repeat(begin[others] - ends + sizes[others], sizes[others])
+            both = np.add.reduceat(marked[numbers[places]], ends - sizes[others], dtype=np.int64)
+            marked[own] = False
+            for y in others[DENOMINATOR * both >= NUMERATOR * (sizes[x] + sizes[others] - both)].tolist():
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
                     a.append(rep[x])
                     b.append(rep[y])
         if a:
@@ -240,21 +248,22 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         f"{DENOMINATOR} * least(n_shingles, hub_shingles) >= {NUMERATOR} * greatest(n_shingles, hub_shingles)")
     first = stored(confirm(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts), "links")
     joined = components(first)
-    located = members.select("key", "rep", "members").join(
+    located = members.select("key", "hub", "rep").join(
         joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    located = stored(located.select("key", "rep", "members", "comp"), "located")
+    located = stored(located.select("key", "hub", "rep", "comp"), "located")
     mixed_keys = located.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("key", "n")
     open_ = lookup(located, stored(mixed_keys, "open-keys"), "key", "n")
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    dealt = open_.select("key", "rep", "comp", tiles.alias("tiles"), own.alias("own")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    ).select(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
+    # keys of one hub mostly have the same members: they are one family, in which a member is one row
+    families = stored(open_.groupBy("hub", "rep").agg(
+        F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(key, 48) AS int)))").alias("mask"), F.first("comp").alias("comp")
+    ).join(ready, "rep"), "families")
+    sizes = families.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).filter("n > 1")
+    tiled = lookup(families, stored(sizes.withColumn("tiles", F.ceil(F.greatest(F.col("n") / TILE, F.col("weight") / TILE_SHINGLES)).cast("int")), "family-sizes"), "hub", "n")
+    own = F.pmod(F.xxhash64("rep"), "tiles").cast("int")
+    dealt = tiled.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")).alias("grp"),
         # within one tile every pair counts
-        F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), "rep", "comp",
-        F.shiftrightunsigned("key", 48).alias("number"),
-    ).join(ready, "rep").select("grp", "own", "rep", "comp", "n_shingles", "number", "sig")
+        F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"), "rep", "comp", "n_shingles", "mask", "sig")
     waiting = stored(dealt.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_open, MEMBER), "waiting")
     texted = waiting.hint("merge").join(texts.withColumnRenamed("node", "rep"), "rep").select(*waiting.columns, "text")
     second = stored(texted.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_verify, "a bigint, b bigint"), "links")
