@@ -1,13 +1,15 @@
 """Line deduplication by an exact set-similarity join (operator 5).
 
 A line's tokens are its distinct words. Lines with equal token sets are one class; classes are joined: tokens are
-ordered by rarity, lines share a token of their prefixes if they are similar enough, and the positions of that token
-and the set sizes bound the overlap before the sets are compared. A line goes when an earlier line is similar.
+ordered by rarity, and similar lines share a token of their prefixes. Prefix tokens are dealt out by hash in packed
+columns; where they meet, set sizes, the token's positions and 128-bit parity sketches bound the overlap. Each class
+keeps its few likeliest earlier partners of a token; whole sets are compared with the likeliest first, then with the
+others, and a class that had more partners than it kept and is still undecided meets all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import documents, lookup, stored, whole_text
-from turnlake.llm.words import chunks, long_array, mixed
+from turnlake.llm.words import chunks, list_array, long_array, mixed
 
 NUMERATOR, DENOMINATOR = 75, 100
-#: Rarity is counted in so many buckets of token hashes: 4 bytes each, whatever the corpus.
-BUCKETS = 1 << 21
+#: Hashes are counted in so many buckets, 4 bytes each, whatever the corpus; they are added up in ranges.
+BUCKETS, RANGE = 1 << 21, 1 << 15
+#: Partners of a token that a class keeps at first.
+KEPT = 4
+#: A token that about so many classes have or more is dealt out as pairs of tiles of them.
+HOT = 20_000
+#: Packed tokens that a task holds before it deals them out.
+HELD = 1 << 20
+#: Sets that are compared with one copy of an earlier one.
+PER_HUB = 500
 
 
 def _lines(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,30 +44,67 @@ def _lines(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text[first], line[first] - before[text[first]], first
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for _, _, words in chunks(batch.column(0)):
-            total += np.bincount((words.hash % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+def counted(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many of the hashes that `hashes` finds in batches of `rows` fall into each of BUCKETS buckets, up to 2^31 - 1."""
+    most = 2**31 - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for h in hashes(batch):
+                total += np.bincount(bucket_of(h), minlength=BUCKETS)
+        parts = [k for k in range(BUCKETS // RANGE) if total[k * RANGE : (k + 1) * RANGE].any()]
+        for k in parts:
+            yield packed(k, total[k * RANGE : (k + 1) * RANGE])
+
+    def packed(part: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([np.minimum(counts, most).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = np.frombuffer(raw, np.int32) + sums.get(part, np.int64(0))
+        for part, counts in sums.items():
+            yield packed(part, counts)
+
+    kind = "part int, counts binary"
+    got = rows.mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).toArrow()
+    out = np.zeros(BUCKETS, np.int32)
+    for part, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        out[part * RANGE : (part + 1) * RANGE] = np.frombuffer(raw, np.int32)
+    return out
+
+
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _word_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, _, words in chunks(batch.column(0)):
+        yield words.hash
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Words in each bucket of hashes, over all texts: BUCKETS numbers."""
-    got = docs.select(whole_text().alias("text")).mapInArrow(_bucket_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out
+    """Words in each bucket of hashes, over all texts."""
+    return counted(docs.select(whole_text().alias("text")), _word_hashes)
+
+
+def sketches(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 parities for each run of token hashes: two sets differ in at least as many tokens as their parities differ."""
+    bit = mixed(h) >> np.uint64(57)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    return tuple(np.bitwise_xor.reduceat(np.where((bit < 64) == low, one, np.uint64(0)), begin) for low in (True, False))
 
 
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, line (from 0), size, h1, h2, skipped, prefix for each line with words.
+    """doc_id, line (from 0), size, h1, h2, s1, s2, skipped, prefix for each line with words.
 
-    h1 and h2 are hashes of its token set; prefix has the rarest tokens that a similar line must share one of, but
-    for the first `skipped` ones, which occur once in the corpus.
+    h1 and h2 are hashes of its token set, s1 and s2 its parity sketch; prefix has 32 bits of the rarest tokens that a
+    similar line must share one of, but for the first `skipped` ones, which occur once in the corpus.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -68,7 +115,7 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 if not len(first):
                     continue
                 owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.hash))))
-                rare = counts[(words.hash % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int64)
+                rare = counts[bucket_of(words.hash)]
                 order = np.lexsort((words.hash, rare, owner))
                 h, o, r = words.hash[order], owner[order], rare[order]
                 keep = np.ones(len(h), bool)
@@ -81,58 +128,228 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 in_prefix = (place < size[o] - -(-NUMERATOR * size[o] // DENOMINATOR) + 1) & (size[o] > 2)
                 alone = in_prefix & (r <= 1)
                 used = in_prefix & ~alone
-                cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(used, begin[:-1]))]).astype(np.int32)
+                cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(used, begin[:-1], dtype=np.int64))])
+                s1, s2 = sketches(h, begin[:-1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[at + text]), pa.array(line.astype(np.int32)), pa.array(size.astype(np.int32)),
-                    long_array(mixed(np.add.reduceat(h, begin[:-1]))), long_array(np.bitwise_xor.reduceat(mixed(h), begin[:-1])),
-                    pa.array(np.add.reduceat(alone, begin[:-1]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), long_array(h[used]))],
-                    names=["doc_id", "line", "size", "h1", "h2", "skipped", "prefix"])
+                    long_array(mixed(np.add.reduceat(h, begin[:-1]))), long_array(np.bitwise_xor.reduceat(mixed(h), begin[:-1])), long_array(s1), long_array(s2),
+                    pa.array(np.add.reduceat(alone, begin[:-1], dtype=np.int64).astype(np.int32)), list_array(pa.array(h[used].astype(np.uint32).view(np.int32)), cuts)],
+                    names=["doc_id", "line", "size", "h1", "h2", "s1", "s2", "skipped", "prefix"])
 
     return docs.filter("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text")).mapInArrow(
-        run, "doc_id bigint, line int, size int, h1 bigint, h2 bigint, skipped int, prefix array<bigint>")
+        run, "doc_id bigint, line int, size int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, skipped int, prefix array<int>")
+
+
+#: What of a class goes with each of its tokens, packed by columns: token, class, set size, the token's place in the
+#: order, tile (-1 where all pairs of a group count), whether the class looks for partners, and its sketch.
+PACKED = (("key", np.uint32), ("doc", np.int64), ("line", np.int32), ("size", np.int32), ("pos", np.int32), ("tile", np.int16), ("open", np.uint8), ("s1", np.uint64), ("s2", np.uint64))
+
+
+def _tiled(rows: dict[str, np.ndarray], counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Rows of hot tokens once for each pair of tiles that theirs is in."""
+    tiles = -(-counts.astype(np.int64) // HOT)
+    if not (tiles > 1).any():
+        return rows
+    at = np.repeat(np.arange(len(tiles)), tiles)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+    out = {k: v[at] for k, v in rows.items()}
+    many = tiles[at] > 1
+    own = (mixed(out["doc"].view(np.uint64) * np.uint64(31) + out["line"].astype(np.uint64)) % tiles[at].astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(own, other).astype(np.uint64) << np.uint64(20)) | np.maximum(own, other).astype(np.uint64)
+    out["key"] = np.where(many, mixed((out["key"].astype(np.uint64) << np.uint64(32)) ^ (pair + np.uint64(1))).astype(np.uint32), out["key"])
+    out["tile"] = np.where(many & (own != other), own, -1).astype(np.int16)
+    return out
 
 
-def line_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, line, tokens: the token hashes of the lines in `wanted` (doc_id, line)."""
-    lists = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+def token_hits(classes: DataFrame, kept: int | None = KEPT, wanted: np.ndarray | None = None) -> DataFrame:
+    """doc_id, line, other_doc, other_line, apart, more: earlier partners, by the filters, of classes (with `open`).
+
+    For each token a class keeps its `kept` partners of the least distance between sketches (None: all) and has `more`
+    set where there were others. wanted: tokens by bucket that take part.
+    """
+    spark = classes.sparkSession
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = counted(classes.select("prefix"), lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint32).astype(np.uint64)])
+    shared = spark.sparkContext.broadcast((counts, None if wanted is None else wanted > 0))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, some = shared.value
+        held: list[dict[str, np.ndarray]] = []
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            rows = {k: np.concatenate([h[k] for h in held]) for k, _ in PACKED}
+            bucket = (mixed(rows["key"].astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                own = order[cuts[k] : cuts[k + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), *(pa.array([rows[c][own].tobytes()], pa.binary()) for c, _ in PACKED)], names=["bucket", *(c for c, _ in PACKED)])
+
+        for batch in batches:
+            doc, line, size, s1, s2, skipped, open_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            lists = batch.column(7)
+            sizes = np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            token = lists.flatten().to_numpy().view(np.uint32)
+            pos = skipped[owner] + np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            count = counts[bucket_of(token.astype(np.uint64))]
+            keep = count > 1
+            if some is not None:
+                keep &= some[bucket_of(token.astype(np.uint64))]
+            o = owner[keep]
+            rows = {"key": token[keep], "doc": doc[o], "line": line[o], "size": size[o], "pos": pos[keep], "tile": np.full(len(o), -1), "open": open_[o],
+                    "s1": s1.view(np.uint64)[o], "s2": s2.view(np.uint64)[o]}
+            held.append({k: np.asarray(v).astype(kind) for (k, kind), v in zip(PACKED, (_tiled(rows, count[keep])[k] for k, _ in PACKED))})
+            if sum(len(h["key"]) for h in held) >= HELD:
+                yield from deal()
+                held = []
+        if held:
+            yield from deal()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for batch in batches:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if parts and bucket != now:
+                    yield from _partners(parts, kept)
+                    parts = []
+                now = bucket
+                parts.append([np.frombuffer(batch.column(1 + j)[i].as_buffer(), kind) for j, (_, kind) in enumerate(PACKED)])
+        if parts:
+            yield from _partners(parts, kept)
+
+    columns = classes.select("at.doc_id", "at.line", "size", "s1", "s2", "skipped", F.col("open").cast("tinyint").alias("open"), "prefix")
+    packed = columns.mapInArrow(pack, "bucket int, " + ", ".join(f"{c} binary" for c, _ in PACKED))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        meet, "doc_id bigint, line int, other_doc bigint, other_line int, apart int, more boolean")
+
+
+def _partners(parts: list[list[np.ndarray]], kept: int | None) -> Iterator[pa.RecordBatch]:
+    """Partners within one bucket of tokens: places k apart in the order of (token, class) are compared at once."""
+    rows = {c: np.concatenate([p[j] for p in parts]) for j, (c, _) in enumerate(PACKED)}
+    order = np.lexsort((rows["line"], rows["doc"], rows["key"]))
+    key, doc, line, size, pos, tile, open_, s1, s2 = (rows[c][order] for c, _ in PACKED)
+    n = len(key)
+    wide = kept or 1
+    best, apart, met = np.zeros((n, wide), np.int64), np.full((n, wide), 1 << 30, np.int32), np.zeros(n, np.int64)
+
+    def given(y: np.ndarray, x: np.ndarray, d: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc[y]), pa.array(line[y]), pa.array(doc[x]), pa.array(line[x]), pa.array(d.astype(np.int32)), pa.array(more)],
+                                          names=["doc_id", "line", "other_doc", "other_line", "apart", "more"])
+
+    step, left = 1, np.arange(n)
+    while True:
+        left = left[left + step < n]
+        left = left[key[left] == key[left + step]]
+        if not len(left):
+            break
+        x, y = left, left + step
+        both = size[x] + size[y]
+        ahead = np.minimum(size[x] - pos[x], size[y] - pos[y])
+        ok = (open_[y] > 0) & (DENOMINATOR * np.minimum(size[x], size[y]) >= NUMERATOR * np.maximum(size[x], size[y]))
+        ok &= (ahead * (DENOMINATOR + NUMERATOR) >= NUMERATOR * both) & ((tile[x] < 0) | (tile[x] != tile[y])) & ((doc[x] != doc[y]) | (line[x] != line[y]))
+        x, y, both = x[ok], y[ok], both[ok]
+        d = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int32) + np.bitwise_count(s2[x] ^ s2[y])
+        ok = d * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * both
+        x, y, d = x[ok], y[ok], d[ok]
+        met[y] += 1
+        if kept is None:
+            if len(x):
+                yield given(y, x, d, np.zeros(len(x), bool))
+        else:
+            slot = np.where(met[y] <= kept, np.minimum(met[y], kept) - 1, apart[y].argmax(axis=1))
+            nearer = d < apart[y, slot]
+            best[y[nearer], slot[nearer]], apart[y[nearer], slot[nearer]] = x[nearer], d[nearer]
+        step += 1
+    if kept is not None:
+        y, slot = np.nonzero(apart < 1 << 30)
+        for at in range(0, len(y), 50_000):
+            own, place = y[at : at + 50_000], slot[at : at + 50_000]
+            yield given(own, best[own, place], apart[own, place], met[own] > kept)
+
+
+def _place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mixed(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
+def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, line, tokens (binary): sorted token hashes of the lines in `wanted` (doc_id, line), and of some others.
+
+    Wanted lines are told by buckets of a hash, so that no text is shuffled; the more there are, the more others come.
+    """
+    of = lambda batch: [_place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())]
+    shared = docs.sparkSession.sparkContext.broadcast(counted(wanted.select("doc_id", "line"), of) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, _, words in chunks(batch.column(1), lines=True):
                 text, line, first = _lines(words)
                 if not len(first):
                     continue
-                ends = np.append(first[1:], len(words.hash))
-                own = [set(x) for x in batch.column(2).slice(at, len(words.bounds) - 1).to_pylist()]
-                rows = [i for i in range(len(first)) if line[i] in own[text[i]]]
-                flat = [np.unique(words.hash[first[i] : ends[i]]) for i in rows]
-                if rows:
-                    begin = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids[at + text[rows]]), pa.array(line[rows].astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), long_array(np.concatenate(flat)))],
-                        names=["doc_id", "line", "tokens"])
-
-    texts = docs.select("doc_id", whole_text().alias("text"))
-    return texts.join(lists, "doc_id").mapInArrow(run, "doc_id bigint, line int, tokens array<bigint>").dropDuplicates(["doc_id", "line"])
-
-
-def near(pairs: DataFrame) -> DataFrame:
-    """Pairs that the length and positional filters leave: of sizes, and of what can still be shared behind the token."""
-    least = F.least(F.col("size"), F.col("other_size"))
-    most = F.greatest(F.col("size"), F.col("other_size"))
-    ahead = 1 + F.least(F.col("size") - F.col("pos") - 1, F.col("other_size") - F.col("other_pos") - 1)
-    return pairs.filter(DENOMINATOR * least >= NUMERATOR * most).filter(
-        ahead * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("size") + F.col("other_size")))
-
-
-def similar(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The classes `at` of pairs (at, other) whose whole token sets are similar enough."""
-    sets = tokens.select(F.struct("doc_id", "line").alias("at"), "tokens")
-    both = pairs.select("at", "other").distinct().join(sets, "at").join(sets.select(F.col("at").alias("other"), F.col("tokens").alias("others")), "other")
-    shared = F.size(F.array_intersect("tokens", "others"))
-    return both.filter(DENOMINATOR * shared >= NUMERATOR * (F.size("tokens") + F.size("others") - shared)).select("at").distinct()
+                doc, ends = ids[at + text], np.append(first[1:], len(words.hash))
+                rows = np.flatnonzero(some[bucket_of(_place_hash(doc, line))])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(doc[rows]), pa.array(line[rows].astype(np.int32)),
+                    pa.array([np.unique(words.hash[first[i] : ends[i]]).tobytes() for i in rows], pa.binary())], names=["doc_id", "line", "tokens"])
+
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"))
+    return texts.mapInArrow(run, "doc_id bigint, line int, tokens binary").groupBy("doc_id", "line").agg(F.min("tokens").alias("tokens"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (hub, part, role): the earlier line's tokens come first, then those of its partners."""
+    hub, hub_set = None, None
+    for batch in batches:
+        hubs, roles, tokens = list(zip(*(batch.column(i).to_pylist() for i in range(3)))), batch.column(3).to_pylist(), batch.column(6)
+        found = []
+        for i, own in enumerate(hubs):
+            own_set = np.frombuffer(tokens[i].as_buffer(), np.uint64)
+            if roles[i] == 0:
+                hub, hub_set = own, own_set
+            elif hub == own:
+                both = len(np.intersect1d(hub_set, own_set, assume_unique=True))
+                if DENOMINATOR * both >= NUMERATOR * (len(own_set) + len(hub_set) - both):
+                    found.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(found, pa.int64())), batch.column(5).take(pa.array(found, pa.int64()))], names=["doc_id", "line"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, line of the pairs (doc_id, line, other_doc, other_line) whose whole token sets are similar enough.
+
+    A set goes once to each partner; an earlier line's set goes to every PER_HUB of its partners.
+    """
+    parts = pairs.groupBy("other_doc", "other_line").agg(F.ceil(F.count(F.lit(1)) / PER_HUB).alias("parts"))
+    hub = ["other_doc", "other_line"]
+    spread = pairs.join(parts, hub).select(*hub, F.pmod(F.xxhash64("doc_id", "line"), "parts").alias("part"), F.lit(1).alias("role"), "doc_id", "line")
+    own = parts.select(*hub, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role")).select(
+        *hub, "part", "role", F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))
+    rows = sets.join(spread.unionByName(own).hint("merge"), ["doc_id", "line"]).select(*hub, "part", "role", "doc_id", "line", "tokens")
+    key = [*hub, "part"]
+    return rows.repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(_compare, "doc_id bigint, line int").distinct()
+
+
+def later_copies(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, line of the `classes` whose token sets are similar to that of an earlier one."""
+    at, other = ["doc_id", "line"], ["other_doc", "other_line"]
+    places = lambda pairs: pairs.select(*at).unionByName(pairs.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
+    hits = token_hits(classes.withColumn("open", F.lit(True)))
+    pairs = stored(hits.groupBy(*at, *other).agg(F.min("apart").alias("apart"), F.max("more").alias("more")), "line-pairs")
+    sets = stored(line_sets(docs, places(pairs)), "line-sets")
+    likeliest = pairs.groupBy(*at).agg(F.min_by(F.struct(*other), F.struct("apart", *other)).alias("o")).select(*at, "o.*")
+    gone = stored(similar(likeliest, sets), "lines-gone")
+    rest = pairs.join(gone, at, "left_anti").join(likeliest, [*at, *other], "left_anti")
+    gone = stored(gone.unionByName(similar(rest.select(*at, *other), sets)), "lines-gone")
+    undecided = stored(pairs.filter("more").select(*at).distinct().join(gone, at, "left_anti"), "lines-undecided")
+    if undecided.isEmpty():
+        return gone
+    marked = classes.withColumns({c: F.col(f"at.{c}") for c in at}).join(undecided.withColumn("_open", F.lit(True)), at, "left").withColumn("open", F.coalesce("_open", F.lit(False)))
+    marked = stored(marked.drop("_open", *at), "lines-marked")
+    tokens = counted(marked.filter("open").select("prefix"), lambda batch: [batch.column(0).flatten().to_numpy().view(np.uint32).astype(np.uint64)])
+    all_pairs = stored(token_hits(marked, None, tokens).select(*at, *other).distinct(), "line-pairs")
+    return gone.unionByName(similar(all_pairs, stored(line_sets(docs, places(all_pairs)), "line-sets")))
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
@@ -140,25 +357,12 @@ def line_decisions(docs: DataFrame) -> DataFrame:
 
     A line is removed when an earlier line has a token set of Jaccard similarity 0.75 or more, removed or not.
     """
-    counts = rarity(docs)
-    lines = stored(line_table(docs, counts), "lines")
+    lines = stored(line_table(docs, rarity(docs)), "lines")
     classes = stored(lines.groupBy("h1", "h2", "size").agg(
         F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("n"),
-        F.first("skipped").alias("skipped"), F.first("prefix").alias("prefix")), "line-classes")
-    tokens = classes.select("at", "size", "skipped", F.posexplode("prefix").alias("i", "token")).select(
-        "token", "at", "size", (F.col("skipped") + F.col("i")).alias("pos"))
-    # each group of lines that share a prefix token meets its first line, which decides nearly all of a large group
-    hubs = stored(tokens.groupBy("token").agg(F.min(F.struct("at", "size", "pos")).alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "hubs")
-    members = stored(lookup(tokens, hubs, "token", "members"), "line-members")
-    sets = stored(line_tokens(docs, members.select("at.doc_id", "at.line").distinct()), "line-sets")
-    stars = near(members.filter("at <> hub.at").select("at", "size", "pos", F.col("hub.at").alias("other"), F.col("hub.size").alias("other_size"), F.col("hub.pos").alias("other_pos")))
-    gone = stored(similar(stars, sets), "gone")
-    # the others meet every earlier line of their groups
-    left = members.filter("at <> hub.at").join(gone, "at", "left_anti").select("token", "at", "size", "pos", F.col("hub.at").alias("first"))
-    earlier = members.select("token", F.col("at").alias("other"), F.col("size").alias("other_size"), F.col("pos").alias("other_pos"))
-    late = near(left.join(earlier, "token").filter("other < at AND other <> first"))
-    gone = gone.unionByName(similar(late, sets)).distinct()
-    decided = stored(classes.select("h1", "h2", "size", "at", "n").join(gone.withColumn("similar", F.lit(True)), "at", "left"), "line-decided")
+        *[F.first(c).alias(c) for c in ("s1", "s2", "skipped", "prefix")]), "line-classes")
+    gone = later_copies(docs, classes).select(F.struct("doc_id", "line").alias("at"), F.lit(True).alias("similar"))
+    decided = stored(classes.select("h1", "h2", "size", "at", "n").join(gone, "at", "left"), "line-decided")
     keyed = decided.select(F.struct("h1", "h2", "size").alias("k"), "at", "n", "similar")
     found = lookup(lines.select("doc_id", "line", F.struct("h1", "h2", "size").alias("k")), keyed, "k", "n")
     return found.select("doc_id", "line", (F.coalesce("similar", F.lit(False)) | (F.struct("doc_id", "line") != F.col("at"))).alias("removed"))
