@@ -4,8 +4,8 @@ A text is cut into paragraphs, each paragraph is a 64-bit digest, and each diges
 each of three groups of a table: a cell holds a count, the XOR of its digests and the XOR of their checks.
 The table of one version subtracted from that of another holds only the digests that differ, which peeling
 recovers: a cell with one digest gives it up and it leaves its other cells. When the small table that is
-the fingerprint doesn't peel, a larger one with 1,024 cells a digest in each group is built from both
-digest sets, as rows of the cells that are touched; should that fail too, other tables are tried.
+the fingerprint doesn't peel, a larger one with SPREAD cells a digest in each group is built from both
+digest sets, as rows of the cells that are touched; should that fail too, dense tables of 64 and 512 cells a group are tried.
 """
 
 from __future__ import annotations
@@ -18,25 +18,21 @@ from turnlake.llm.common import documents, whole_text
 #: Cells in each of the three groups: of the fingerprint, and of the last tables.
 BASE, LAST = 5, (1 << 6, 1 << 9)
 #: Cells a group of the larger table: so many for each digest, and so many at least.
-SPREAD, LEAST = 1024, 1024
+SPREAD, LEAST = 64, 64
 ROUNDS = 6
-#: Paragraphs end at line ends and behind each word whose hash is 0 by this modulus, in texts of any length.
-EACH = 6
-WHITE, END = " \t\n\x0b\f\r", "\0"
+#: Paragraphs end at line ends, and where white space follows one of these marks, letters or digits: about every
+#: seventh word, in texts of any length.
+WHITE, END = " \t\n\x0b\f\r", r"\s*\n\s*|(?<=[.!?;:dkuxz05])\s+"
+#: Tasks to each shuffle partition: the larger tables of a task's pairs are held in memory.
+FINER = 4
 #: Guests of blocks are broadcast up to this count (16 bytes each).
 BROADCAST_IDS = 100_000
 BLOCK = 128
 
 
 def paragraphs(text: Column) -> Column:
-    """Where a paragraph ends depends on its last word and the white space behind it alone, not on the text's length."""
-    def ended(word: Column) -> Column:
-        own = F.rtrim(word, F.lit(WHITE))
-        return F.when(F.contains(word, F.lit("\n")) | (F.pmod(F.xxhash64(own), F.lit(EACH)) == 0), F.concat(own, F.lit(END))).otherwise(word)
-
-    # each word with the white space behind it
-    words = F.split(F.btrim(text, F.lit(WHITE)), r"(?<=\s)(?=\S)")
-    return F.split(F.array_join(F.transform(words, ended), ""), END)
+    """Where a paragraph ends depends on the letter at its end and the white space behind it alone, not on the text's length."""
+    return F.split(F.btrim(text, F.lit(WHITE)), END)
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -191,7 +187,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = F.broadcast(guests) if few else guests
     visiting = rows.join(guests, rows["doc_id"] == guests["first_id"]).select(
         F.col("home").alias("block"), "kind", F.lit(1).alias("guest"), "doc_id", "text")
-    both = rows.select("block", "kind", F.lit(0).alias("guest"), "doc_id", "text").unionByName(visiting)
+    n = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.select("block", "kind", F.lit(0).alias("guest"), "doc_id", "text").unionByName(visiting).repartition(n, "block")
     order = Window.partitionBy("block", "kind").orderBy("guest", "doc_id", "text")
     following = F.when(F.col("doc_id").isNotNull(), F.lead("text").over(order)).otherwise("")
     return both.withColumns({"next_text": following, "row": F.row_number().over(order)}).filter("guest = 0").select(

@@ -98,6 +98,17 @@ def sketches(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.bitwise_xor.reduceat(np.where((bit < 64) == low, one, np.uint64(0)), begin) for low in (True, False))
 
 
+def by_rarity(h: np.ndarray, rare: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places in the order of (line, rarity on a log scale, hash), by one key of 64 bits where that tells tokens apart."""
+    level = (32 * np.log2(1.0 + rare)).astype(np.uint64)
+    key = (owner.astype(np.uint64) << np.uint64(44)) | (level << np.uint64(34)) | (h >> np.uint64(30))
+    order = np.argsort(key)
+    k, own = key[order], h[order]
+    if owner[-1] >= 1 << 20 or ((k[1:] == k[:-1]) & (own[1:] != own[:-1])).any():
+        return np.lexsort((h, level, owner))
+    return order
+
+
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, line (from 0), size, h1, h2, s1, s2, skipped, prefix for each line with words.
 
@@ -116,7 +127,7 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     continue
                 owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words.hash))))
                 rare = counts[bucket_of(words.hash)]
-                order = np.lexsort((words.hash, rare, owner))
+                order = by_rarity(words.hash, rare, owner)
                 h, o, r = words.hash[order], owner[order], rare[order]
                 keep = np.ones(len(h), bool)
                 keep[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
@@ -226,11 +237,14 @@ def token_hits(classes: DataFrame, kept: int | None = KEPT, wanted: np.ndarray |
 
 
 def _partners(parts: list[list[np.ndarray]], kept: int | None) -> Iterator[pa.RecordBatch]:
-    """Partners within one bucket of tokens: places k apart in the order of (token, class) are compared at once."""
+    """Partners within one bucket of tokens: places k apart in the order of (token, set size) are compared at once, up
+    to sizes that are too large."""
     rows = {c: np.concatenate([p[j] for p in parts]) for j, (c, _) in enumerate(PACKED)}
-    order = np.lexsort((rows["line"], rows["doc"], rows["key"]))
+    order = np.lexsort((rows["size"], rows["key"]))
     key, doc, line, size, pos, tile, open_, s1, s2 = (rows[c][order] for c, _ in PACKED)
     n = len(key)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((line, doc))] = np.arange(n)
     wide = kept or 1
     best, apart, met = np.zeros((n, wide), np.int64), np.full((n, wide), 1 << 30, np.int32), np.zeros(n, np.int64)
 
@@ -240,27 +254,33 @@ def _partners(parts: list[list[np.ndarray]], kept: int | None) -> Iterator[pa.Re
 
     step, left = 1, np.arange(n)
     while True:
-        left = left[left + step < n]
-        left = left[key[left] == key[left + step]]
+        left = left[: np.searchsorted(left, n - step)]
+        right = left + step
+        going = (key[left] == key[right]) & (DENOMINATOR * size[left] >= NUMERATOR * size[right])
+        left, right = left[going], right[going]
         if not len(left):
             break
-        x, y = left, left + step
-        both = size[x] + size[y]
-        ahead = np.minimum(size[x] - pos[x], size[y] - pos[y])
-        ok = (open_[y] > 0) & (DENOMINATOR * np.minimum(size[x], size[y]) >= NUMERATOR * np.maximum(size[x], size[y]))
-        ok &= (ahead * (DENOMINATOR + NUMERATOR) >= NUMERATOR * both) & ((tile[x] < 0) | (tile[x] != tile[y])) & ((doc[x] != doc[y]) | (line[x] != line[y]))
-        x, y, both = x[ok], y[ok], both[ok]
+        both = size[left] + size[right]
+        ok = np.minimum(size[left] - pos[left], size[right] - pos[right]) * (DENOMINATOR + NUMERATOR) >= NUMERATOR * both
+        x, y, both = left[ok], right[ok], both[ok]
         d = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int32) + np.bitwise_count(s2[x] ^ s2[y])
-        ok = d * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * both
+        ok = (d * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * both) & ((tile[x] < 0) | (tile[x] != tile[y]))
+        ok &= (doc[x] != doc[y]) | (line[x] != line[y])
         x, y, d = x[ok], y[ok], d[ok]
-        met[y] += 1
-        if kept is None:
-            if len(x):
-                yield given(y, x, d, np.zeros(len(x), bool))
-        else:
-            slot = np.where(met[y] <= kept, np.minimum(met[y], kept) - 1, apart[y].argmax(axis=1))
-            nearer = d < apart[y, slot]
-            best[y[nearer], slot[nearer]], apart[y[nearer], slot[nearer]] = x[nearer], d[nearer]
+        swapped = rank[x] > rank[y]
+        # the later class of a pair looks for the earlier one; none is later in two pairs of one half
+        for later, earlier, own in ((y[~swapped], x[~swapped], d[~swapped]), (x[swapped], y[swapped], d[swapped])):
+            looks = open_[later] > 0
+            later, earlier, own = later[looks], earlier[looks], own[looks]
+            if not len(later):
+                continue
+            if kept is None:
+                yield given(later, earlier, own, np.zeros(len(later), bool))
+                continue
+            met[later] += 1
+            slot = np.where(met[later] <= kept, np.minimum(met[later], kept) - 1, apart[later].argmax(axis=1))
+            nearer = own < apart[later, slot]
+            best[later[nearer], slot[nearer]], apart[later[nearer], slot[nearer]] = earlier[nearer], own[nearer]
         step += 1
     if kept is not None:
         y, slot = np.nonzero(apart < 1 << 30)

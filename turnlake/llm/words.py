@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once; a longer document is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _weights = _rng.integers(0, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
@@ -26,6 +26,26 @@ def weights(n: int) -> np.ndarray:
     return _weights[:n]
 
 
+_BASE = int(_weights[0])
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd constant and of its inverse, modulo 2^64; those that a chunk needs are kept."""
+    global _powers
+    if n > CHUNK:
+        return tuple(_raised(b, n) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    if _powers is None:
+        _powers = tuple(_raised(b, CHUNK) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _raised(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))
@@ -39,27 +59,24 @@ class Words:
     """Words of consecutive texts: hashes, byte spans, and where each text's words begin (`first`, n + 1 entries)."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, lines: bool = False):
-        white = _WHITE[data]
+        inner = ~_WHITE[data]
         if lower:
             data = _LOWER[data]
-        inner = ~white
-        begins = inner.copy()
+        begins, ends = inner.copy(), inner.copy()
         if len(data) > 1:
-            begins[1:] &= white[:-1]
-            starts_of_texts = bounds[1:-1]
-            starts_of_texts = starts_of_texts[starts_of_texts < len(data)]
-            begins[starts_of_texts] |= inner[starts_of_texts]
-        self.start = np.flatnonzero(begins)
-        at = np.flatnonzero(inner)
-        if len(at):
-            order = np.cumsum(begins[at]) - 1
-            offset = at - self.start[order]
-            terms = (data[at].astype(np.uint64) + np.uint64(1)) * weights(int(offset.max()) + 1)[offset]
-            lead = np.flatnonzero(begins[at])
-            self.hash = mixed(np.add.reduceat(terms, lead))
-            self.end = np.append(at[lead[1:] - 1], at[-1]) + 1
-        else:
-            self.hash, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            begins[1:] &= ~inner[:-1]
+            ends[:-1] &= ~inner[1:]
+            # words end with their text
+            cut = bounds[1:-1]
+            cut = cut[(cut > 0) & (cut < len(data))]
+            begins[cut] |= inner[cut]
+            ends[cut - 1] |= inner[cut - 1]
+        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        # a word's hash is that of its bytes as a polynomial, from sums over all bytes before its start and its end
+        sums = np.zeros(len(data) + 1, np.uint64)
+        up, down = powers(len(data))
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, bounds)
         self.bounds = bounds
         if lines:
