@@ -21,8 +21,8 @@ BASE, LAST = 5, (1 << 6, 1 << 9)
 SPREAD, LEAST = 64, 64
 ROUNDS = 6
 #: Paragraphs end at line ends, and where white space follows one of these marks, letters or digits: about every
-#: seventh word, in texts of any length.
-WHITE, END = " \t\n\x0b\f\r", r"\s*\n\s*|(?<=[.!?;:dkuxz05])\s+"
+#: tenth word, in texts of any length.
+WHITE, END = " \t\n\x0b\f\r", r"\s*\n\s*|(?<=[.!?;:kuxyz05])\s+"
 #: Tasks to each shuffle partition: the larger tables of a task's pairs are held in memory.
 FINER = 4
 #: Guests of blocks are broadcast up to this count (16 bytes each).
