@@ -73,11 +73,11 @@ def j15_lookup_failures(spark, d):
 
 @query(r"""SELECT a, b, CASE WHEN starts_with(x, 'never ') AND y = substr(x, 7) OR starts_with(y, 'never ') AND x = substr(y, 7) THEN 'contradiction' ELSE 'overlap' END AS kind, n / greatest(s, t) AS overlap FROM (
   SELECT l.id AS a, r.id AS b, l.action AS x, r.action AS y, len(list_intersect(l.k, r.k)) AS n, len(l.k) AS s, len(r.k) AS t FROM h l JOIN h r ON l.id < r.id AND l.action <> r.action)
-  WHERE n > 0 AND n / greatest(s, t) >= 0.5""".replace("FROM h l JOIN h r", "FROM (@) l JOIN (@) r").replace("@", """SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(substr(user_message, 1, 80)), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS k,
+  WHERE n > 0 AND n / greatest(s, t) >= 0.5""".replace("FROM h l JOIN h r", "FROM (@) l JOIN (@) r").replace("@", """SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(user_message), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS k,
   CASE WHEN line_start % 4 = 1 THEN 'never ' ELSE '' END || 'run ' || project AS action FROM v_exchanges"""))
 def j16_heuristic_conflicts(spark, d):
     action = F.concat(F.when(F.col("line_start") % 4 == 1, "Never  ").otherwise(""), F.lit("run "), "project")
-    return L.heuristic_conflicts(V.exchanges(spark, d).select("id", F.substring("user_message", 1, 80).alias("condition"), action.alias("action")))
+    return L.heuristic_conflicts(V.exchanges(spark, d).select("id", F.col("user_message").alias("condition"), action.alias("action")))
 
 
 @query("""SELECT entry_id, line, condition, action, priority, confidence FROM (SELECT id AS entry_id, project AS condition, CASE version % 2 WHEN 0 THEN 8 ELSE 3 END AS priority, CASE version % 2 WHEN 0 THEN 0.8 ELSE 0.3 END AS confidence,

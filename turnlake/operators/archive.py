@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.operators.assemble import trivial_sessions
+
 
 def index_stats(ex: DataFrame, summaries: DataFrame) -> DataFrame:
     """G1: one row: paths, exchanges, first and last time, projects, and paths with and without a summary."""
@@ -186,14 +188,26 @@ def fold_success_rate(events: DataFrame, alpha: float = 0.2) -> DataFrame:
         "task_id", F.round(F.aggregate("es", F.lit(0.5), lambda r, e: r + (e["ok"] - r) * alpha), 6).alias("rate"), F.size("es").cast("long").alias("n"))
 
 
-def plan_compression(entries: DataFrame, today: str, least: int = 5) -> DataFrame:
-    """D4, first tier: past days of a project with more than `least` session entries fold into a day entry."""
+def plan_compression(entries: DataFrame, today: str, least_sessions: int = 5, least_days: int = 2) -> DataFrame:
+    """Entries (tier, project, period_start, period_end, handoff, superseded_by) that fold into a wider one: tier, project, first_day, n, period_end.
+
+    Only active entries that are no handoff notes count: past days of a project with more than `least_sessions` session
+    entries fold into a day entry, finished ISO weeks (from Monday) with more than `least_days` day entries into a week entry.
+    """
+    live = entries.filter(~F.coalesce("handoff", F.lit(False)) & F.col("superseded_by").isNull())
     day = F.substring("period_start", 1, 10)
-    return entries.filter((F.col("tier") == "session") & (day < today)).groupBy("project", day.alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("period_end").alias("period_end")).filter(F.col("n") > least)
+    week = F.date_trunc("WEEK", F.to_date(day)).cast("date")
+
+    def folded(tier: str, into: str, first: Column, over: Column, least: int) -> DataFrame:
+        return live.filter((F.col("tier") == tier) & over).groupBy("project", first.cast("string").alias("first_day")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("period_end").alias("period_end")).filter(F.col("n") > least).select(F.lit(into).alias("tier"), "project", "first_day", "n", "period_end")
+
+    return folded("session", "day", day, day < today, least_sessions).unionByName(
+        folded("day", "week", week, F.date_add(week, 7) <= F.lit(today).cast("date"), least_days))
 
 
 def digest_candidates(ex: DataFrame, digest: DataFrame, now: str, limit: int) -> DataFrame:
-    """Quiet sessions without an entry, newest first."""
+    """Quiet sessions without an entry, newest first; trivial ones (A13) don't count."""
     open_ = session_rollup(ex).join(digest.select("project", F.col("period_start").alias("start_ts")), ["project", "start_ts"], "left_anti")
-    return open_.filter(F.col("end_ts") <= now).orderBy(F.desc("end_ts"), "session_id").limit(limit)
+    telling = open_.join(trivial_sessions(ex, ["project", "session_id"]), ["project", "session_id"], "left_anti")
+    return telling.filter(F.col("end_ts") <= now).orderBy(F.desc("end_ts"), "session_id").limit(limit)

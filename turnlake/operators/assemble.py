@@ -67,8 +67,9 @@ def conversation_chunks(exchanges: DataFrame, whole: int = 15, parts: int = 20,
         F.array_join(F.array_sort(F.collect_list(F.struct("line_start", text.alias("t"))))["t"], "\n\n---\n\n").alias("text"))
 
 
-def trivial_sessions(exchanges: DataFrame) -> DataFrame:
+def trivial_sessions(exchanges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Sessions of one exchange that is `/exit` or under 100 characters in all."""
     text = F.char_length("user_message") + F.char_length("assistant_message")
-    per = exchanges.groupBy("archive_path").agg(F.count(F.lit(1)).alias("n"), F.max(text).alias("size"), F.max(F.trim("user_message")).alias("u"))
-    return per.filter("n = 1 AND (u = '/exit' OR size < 100)").select("archive_path")
+    keys = keys or ["archive_path"]
+    per = exchanges.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(text).alias("size"), F.max(F.trim("user_message")).alias("u"))
+    return per.filter("n = 1 AND (u = '/exit' OR size < 100)").select(*keys)

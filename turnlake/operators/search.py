@@ -40,28 +40,42 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(total)).otherwise(width.cast("double"))
 
 
-#: Queries that are broadcast at most; more are dealt out in blocks against all vectors.
-QUERY_BLOCK = 2000
+#: Queries that are broadcast at most; more are dealt out in blocks, and vectors in so many parts.
+QUERY_BLOCK, PARTS = 2000, 64
 
 
 def knn_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The exact k nearest vectors of each query (query_id, query), filters on `vectors` applied before.
 
-    The query table is the small, stated side: it is counted, and broadcast up to QUERY_BLOCK rows. Each task keeps k
-    rows a query before the shuffle.
+    The query table is the small, stated side: it is counted, and broadcast up to QUERY_BLOCK rows; more queries are cut
+    into blocks, and each block meets each part of the vectors in a task of its own. Each task keeps k rows a query
+    before the shuffle. Ranks follow the distance as computed, which is given rounded to 6 places.
     """
-    few = queries.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK
-    side = F.broadcast(queries) if few else queries
-    scored = vectors.crossJoin(side).select("query_id", *[c for c in vectors.columns if c != "embedding"], F.round(l2_distance(F.col("embedding"), F.col("query")), 6).alias("distance"))
-    return top_k(scored, ["query_id"], [F.col("distance"), F.col("id")], k)
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        pairs = vectors.crossJoin(F.broadcast(queries))
+    else:
+        blocks = -(-n // QUERY_BLOCK)
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        parted = vectors.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = parted.join(dealt, ["_block", "_part"])
+    scored = pairs.select("query_id", *[c for c in vectors.columns if c != "embedding"], l2_distance(F.col("embedding"), F.col("query")).alias("distance"))
+    return top_k(scored, ["query_id"], [F.col("distance"), F.col("id")], k).withColumn("distance", F.round("distance", 6))
 
 
 def text_search_contains(queries: DataFrame, docs: DataFrame, fields: list[str], order: list[Column], k: int) -> DataFrame:
-    """Documents that hold every white-space word of a query (query_id, text) in one of the fields, ASCII case ignored."""
-    words = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("words"))
-    text = F.lower(F.concat_ws("\n", *fields))
-    hit = docs.crossJoin(F.broadcast(words)).filter(F.forall("words", lambda w: F.contains(text, w)))
-    return top_k(hit.drop("words"), ["query_id"], order, k)
+    """Documents that hold every white-space word of a query (query_id, text) in one of the fields, ASCII case ignored.
+
+    A text is lower-cased once, and meets the whole, stated query table, which is broadcast up to QUERY_BLOCK rows; the
+    longest word of a query, which fewest texts hold, is looked for first.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    longest_first = F.array_sort(words, lambda a, b: F.char_length(b) - F.char_length(a))
+    asked = queries.select("query_id", longest_first.alias("words"))
+    few = asked.count() <= QUERY_BLOCK
+    lowered = docs.withColumn("_text", F.lower(F.concat_ws("\n", *fields)))
+    hit = lowered.crossJoin(F.broadcast(asked) if few else asked).filter(F.forall("words", lambda w: F.contains(F.col("_text"), w)))
+    return top_k(hit.drop("words", "_text"), ["query_id"], order, k)
 
 
 def hybrid_search(near: DataFrame, text: DataFrame, k: int) -> DataFrame:
@@ -72,19 +86,29 @@ def hybrid_search(near: DataFrame, text: DataFrame, k: int) -> DataFrame:
     return top_k(one, ["query_id"], [F.col("pos"), F.col("id")], k)
 
 
-def multi_concept_search(hits: DataFrame, concepts: int) -> DataFrame:
-    """Conversations that every concept of a query hit, by their average best similarity."""
-    best = hits.withColumn("similarity", l2_to_cosine(F.col("distance"))).groupBy("archive_path", "query_id").agg(F.max("similarity").alias("best"))
-    return best.groupBy("archive_path").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 6).alias("average")).filter(F.col("n") == concepts).select(
-        "archive_path", "average")
+def multi_concept_search(hits: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Conversations that every concept of a group hit: average best similarity, and the best hit of the first concept.
+
+    hits: k nearest of each query_id; concepts: group_id, query_id, the lowest of a group being its first. rank is by the
+    average, then by path.
+    """
+    sizes = concepts.groupBy("group_id").agg(F.count(F.lit(1)).alias("concepts"), F.min("query_id").alias("first_id"))
+    own = hits.join(F.broadcast(concepts) if concepts.count() <= QUERY_BLOCK else concepts, "query_id").withColumn("similarity", l2_to_cosine(F.col("distance")))
+    best = own.groupBy("group_id", "archive_path", "query_id").agg(F.max("similarity").alias("best"), F.min_by("id", F.struct("distance", "id")).alias("id"))
+    found = best.join(sizes, "group_id").groupBy("group_id", "archive_path", "concepts").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("best"), 6).alias("average"), F.max(F.when(F.col("query_id") == F.col("first_id"), F.col("id"))).alias("representative"))
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("average"), "archive_path")).cast("long")
+    return found.filter(F.col("n") == F.col("concepts")).select("group_id", "archive_path", "average", "representative", rank.alias("rank"))
 
 
 def search_entries(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """Entries by distinct query terms that they hold, then by occurrences, then by id."""
+    """Active entries that nothing supersedes, by distinct query terms that they hold, then by occurrences, then by id."""
     terms = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")).alias("terms"))
-    text = F.lower(F.concat_ws(" ", "slug", "body"))
-    counts = F.transform("terms", lambda t: ((F.char_length(text) - F.char_length(F.replace(text, t, F.lit("")))) / F.char_length(t)).cast("long"))
-    scored = entries.crossJoin(F.broadcast(terms)).withColumn("counts", counts).select(
+    few = terms.count() <= QUERY_BLOCK
+    live = entries.filter((F.col("status") == "active") & F.col("superseded_by").isNull())
+    text = F.lower(F.concat_ws(" ", "slug", "title", "body", "project"))
+    counts = F.transform("terms", lambda t: ((F.char_length("_text") - F.char_length(F.replace(F.col("_text"), t, F.lit("")))) / F.char_length(t)).cast("long"))
+    scored = live.select("id", text.alias("_text")).crossJoin(F.broadcast(terms) if few else terms).withColumn("counts", counts).select(
         "query_id", "id", F.size(F.filter("counts", lambda c: c > 0)).cast("long").alias("points"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("hits"))
     return top_k(scored.filter("points > 0"), ["query_id"], [F.desc("points"), F.desc("hits"), F.col("id")], k)
 

@@ -36,7 +36,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).filter("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    """Every vector whose id is divisible by 50."""
+    return vectors(spark, sf_dir).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ v_exchanges AS (SELECT md5(archive_path || ':' || line_start || '-' || line_end)
   WHERE line_end IS NOT NULL),
 v_vectors AS (SELECT vec_id AS id, 'p' || (vec_id % 7) AS project, '/archive/' || (vec_id // 5) AS archive_path,
   CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
-v_queries AS (SELECT id AS query_id, embedding AS query FROM v_vectors WHERE id < 5),
+v_queries AS (SELECT id AS query_id, embedding AS query FROM v_vectors WHERE id % 50 = 0),
 v_attempts AS (SELECT event_id AS id, user_id AS task_id, event_id % 2 AS snapshot_id, event_id % 3 AS run_id, value > 10 AS passed,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS turns, event_type, ts FROM events),
 v_tasks AS (SELECT DISTINCT task_id, (['locate', 'recall', 'when', 'multi'])[task_id % 4 + 1] AS kind, task_id % 3 + 1 AS tier,

@@ -17,12 +17,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def joined(sql: str) -> str:
+    """The adapter views, and those of a query's own behind them."""
+    return f"WITH {V.SQL.strip()}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {V.SQL.strip()} {sql}"
+
+
 def query(sql: str):
     """Registers a query by its function's name, with its SQL over the adapter views."""
 
     def keep(f):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"WITH {V.SQL.strip()} {sql.strip()}"
+        SQL[f.__name__] = f"{joined(sql.strip())}"
         return f
 
     return keep
@@ -145,17 +150,17 @@ def s10_prune_counts(spark, d):
     return A.prune_counts(ex, ex.filter("project IN ('p1', 'p4')").select("project").distinct())
 
 
-@query("""SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-  SELECT query_id, v.id, round(list_distance(embedding, query), 6) AS distance FROM v_vectors v, v_queries WHERE project <> 'p2')) WHERE rank <= 10""")
+@query("""SELECT query_id, id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+  SELECT query_id, v.id, list_distance(embedding, query) AS distance FROM v_vectors v, v_queries WHERE project <> 'p2')) WHERE rank <= 10""")
 def j1_knn_search(spark, d):
     return S.knn_search(V.vector_queries(spark, d), V.vectors(spark, d).filter("project <> 'p2'"), 10).select("query_id", "id", "distance", "rank")
 
 
-WORDS = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:2], ' ') AS text FROM benchmark"
+WORDS = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 def word_queries(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"""SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank
@@ -168,22 +173,26 @@ def j3_text_search_contains(spark, d):
 @query("""SELECT query_id, id, pos, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, id) AS rank FROM (
   SELECT query_id, id, min(pos) AS pos, max(distance) AS distance FROM (
     SELECT query_id, id, 2 * rank AS pos, distance FROM (SELECT query_id, v.id, round(list_distance(embedding, query), 6) AS distance,
-      row_number() OVER (PARTITION BY query_id ORDER BY round(list_distance(embedding, query), 6), v.id) AS rank FROM v_vectors v, v_queries) WHERE rank <= 8
+      row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, query), v.id) AS rank FROM v_vectors v, v_queries) WHERE rank <= 8
     UNION ALL SELECT query_id, id, 2 * rank + 1, NULL FROM (SELECT query_id, v.id, row_number() OVER (PARTITION BY query_id ORDER BY v.id DESC) AS rank
-      FROM v_vectors v, v_queries WHERE v.id % 7 = query_id) WHERE rank <= 8) GROUP BY 1, 2)) WHERE rank <= 8""")
+      FROM v_vectors v, v_queries WHERE v.id % 7 = query_id % 7) WHERE rank <= 8) GROUP BY 1, 2)) WHERE rank <= 8""")
 def j4_hybrid_search(spark, d):
     q, v = V.vector_queries(spark, d), V.vectors(spark, d)
-    text = S.top_k(v.join(F.broadcast(q.select("query_id")), F.col("id") % 7 == F.col("query_id")), ["query_id"], [F.desc("id")], 8)
+    text = S.top_k(v.join(F.broadcast(q.select("query_id")), F.col("id") % 7 == F.col("query_id") % 7), ["query_id"], [F.desc("id")], 8)
     return S.hybrid_search(S.knn_search(q, v, 8), text, 8)
 
 
-@query("""SELECT archive_path, round(avg(best), 6) AS average FROM (SELECT archive_path, query_id, max(greatest(-1, least(1, 1 - distance * distance / 2))) AS best FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-  SELECT query_id, v.id, archive_path, round(list_distance(embedding, query), 6) AS distance FROM v_vectors v, v_queries WHERE query_id < 2)) WHERE rank <= 150 GROUP BY 1, 2)
-  GROUP BY 1 HAVING count(*) = 2""")
+@query("""SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY average DESC, archive_path) AS rank FROM (
+  SELECT query_id // 100 AS group_id, archive_path, round(avg(best), 6) AS average, max(id) FILTER (query_id = first_id) AS representative FROM (
+    SELECT query_id, archive_path, max(greatest(-1, least(1, 1 - distance * distance / 2))) AS best, arg_min(id, (distance, id)) AS id FROM (
+      SELECT query_id, id, archive_path, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
+        SELECT query_id, v.id, archive_path, list_distance(embedding, query) AS distance FROM v_vectors v, v_queries)) WHERE rank <= 150) GROUP BY 1, 2)
+  JOIN (SELECT query_id // 100 AS g, count(*) AS concepts, min(query_id) AS first_id FROM v_queries GROUP BY 1) ON g = query_id // 100
+  GROUP BY query_id // 100, archive_path, concepts HAVING count(*) = concepts)""")
 def j5_multi_concept_search(spark, d):
-    q = V.vector_queries(spark, d).filter("query_id < 2")
-    return S.multi_concept_search(S.knn_search(q, V.vectors(spark, d), 150), 2)
+    q = V.vector_queries(spark, d)
+    concepts = q.select(F.floor(F.col("query_id") / 100).alias("group_id"), "query_id")
+    return S.multi_concept_search(S.knn_search(q, V.vectors(spark, d), 5 * 30), concepts)
 
 
 @query("""SELECT r.o_orderkey AS ref_id, x.l_linenumber AS id FROM (SELECT o_orderkey, o_orderkey % 3 + 2 AS a, o_orderkey % 3 + 4 AS b FROM orders) r
@@ -195,17 +204,17 @@ def j6_address_join(spark, d):
     return S.address_join(refs, ranges)
 
 
-ENTRY_QUERIES = "SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 2 = 0 THEN 'steel brushed red' ELSE 'tin small polished' END AS text FROM nation WHERE n_nationkey < 6"
+ENTRY_QUERIES = "SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey % 50 = 0"
 
 
 @query(f"""SELECT query_id, id, points, hits, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, hits DESC, id) AS rank FROM (
   SELECT query_id, id, count(*) FILTER (WHERE c > 0) AS points, CAST(sum(c) AS BIGINT) AS hits FROM (
     SELECT query_id, id, (length(x) - length(replace(x, w, ''))) // length(w) AS c FROM (
-      SELECT query_id, id, lower(slug || ' ' || body) AS x, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM v_entries, ({ENTRY_QUERIES}))) GROUP BY 1, 2) WHERE points > 0) WHERE rank <= 5""")
+      SELECT query_id, id, lower(slug || ' ' || kind || ' ' || body || ' ' || project) AS x, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM v_entries, ({ENTRY_QUERIES}) WHERE status = 'active' AND id % 7 <> 3)) GROUP BY 1, 2) WHERE points > 0) WHERE rank <= 5""")
 def j13_search_entries(spark, d):
-    q = V.table(spark, d, "nation").filter("n_nationkey < 6").select(
-        F.col("n_nationkey").alias("query_id"), F.when(F.col("n_nationkey") % 2 == 0, "steel brushed red").otherwise("tin small polished").alias("text"))
-    return S.search_entries(q, V.entries(spark, d), 5).select("query_id", "id", "points", "hits", "rank")
+    e = V.entries(spark, d).withColumn("superseded_by", F.when(F.col("id") % 7 == 3, F.col("id") + 1)).withColumn("title", F.col("kind"))
+    q = e.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("body").alias("text"))
+    return S.search_entries(q, e, 5).select("query_id", "id", "points", "hits", "rank")
 
 
 @query("""SELECT id, min(ts_raw) OVER w AS start_ts, max(ts_raw) OVER w AS end_ts, CASE WHEN id <> first_value(id) OVER w THEN first_value(id) OVER w ELSE nth_value(id, 2) OVER w END AS sibling
@@ -341,22 +350,33 @@ def e9_list_active(spark, d):
 
 
 DIGEST = """SELECT 'session' AS tier, project, session_id, min(ts_raw) AS period_start, max(ts_raw) AS period_end FROM v_exchanges WHERE session_id NOT LIKE '%4' GROUP BY 2, 3"""
+TRIVIAL = """SELECT project, session_id FROM v_exchanges GROUP BY 1, 2 HAVING count(*) = 1 AND (max(trim(user_message)) = '/exit' OR max(length(user_message) + length(assistant_message)) < 100)"""
 
 
 def digest(spark: SparkSession, d: str) -> DataFrame:
     return A.session_rollup(V.exchanges(spark, d)).filter("session_id NOT LIKE '%4'").select(
-        F.lit("session").alias("tier"), "project", F.col("start_ts").alias("period_start"), F.col("end_ts").alias("period_end"))
+        F.lit("session").alias("tier"), "project", "session_id", F.col("start_ts").alias("period_start"), F.col("end_ts").alias("period_end"))
 
 
 @query(f"""SELECT * FROM (SELECT project, session_id, min(ts_raw) AS start_ts, max(ts_raw) AS end_ts FROM v_exchanges GROUP BY 1, 2) r
-  WHERE NOT EXISTS (SELECT 1 FROM ({DIGEST}) x WHERE x.project = r.project AND x.period_start = r.start_ts) AND end_ts <= '2024-01-04' ORDER BY end_ts DESC, session_id LIMIT 5""")
+  WHERE NOT EXISTS (SELECT 1 FROM ({DIGEST}) x WHERE x.project = r.project AND x.period_start = r.start_ts) AND end_ts <= '2024-01-04'
+  AND (project, session_id) NOT IN ({TRIVIAL}) ORDER BY end_ts DESC, session_id LIMIT 5""")
 def d1_digest_candidates(spark, d):
     return A.digest_candidates(V.exchanges(spark, d), digest(spark, d), "2024-01-04", 5)
 
 
-@query(f"""SELECT project, substr(period_start, 1, 10) AS day, count(*) AS n, max(period_end) AS period_end FROM ({DIGEST}) WHERE substr(period_start, 1, 10) < '2024-01-05' GROUP BY 1, 2 HAVING count(*) > 2""")
+@query(f"""WITH e AS (SELECT tier, project, period_start, period_end FROM ({DIGEST}) WHERE session_id NOT LIKE '%7' AND session_id NOT LIKE '%9'
+    UNION ALL SELECT 'day', project, substr(ts_raw, 1, 10), max(ts_raw) FROM v_exchanges GROUP BY project, substr(ts_raw, 1, 10))
+  SELECT 'day' AS tier, project, substr(period_start, 1, 10) AS first_day, count(*) AS n, max(period_end) AS period_end FROM e WHERE tier = 'session' AND substr(period_start, 1, 10) < '2024-01-08' GROUP BY 2, 3 HAVING count(*) > 2
+  UNION ALL SELECT 'week', project, strftime(date_trunc('week', CAST(substr(period_start, 1, 10) AS DATE)), '%Y-%m-%d') AS first_day, count(*), max(period_end) FROM e
+  WHERE tier = 'day' AND date_trunc('week', CAST(substr(period_start, 1, 10) AS DATE)) + INTERVAL 7 DAY <= DATE '2024-01-08' GROUP BY 2, 3 HAVING count(*) > 2""")
 def d4_plan_compression(spark, d):
-    return A.plan_compression(digest(spark, d), "2024-01-05", 2)
+    number = F.col("session_id")
+    sessions = digest(spark, d).select("*", number.like("%7").alias("handoff"), F.when(number.like("%9"), F.lit(1).cast("bigint")).alias("superseded_by"))
+    day = F.substring("ts_raw", 1, 10)
+    days = V.exchanges(spark, d).groupBy("project", day.alias("period_start")).agg(F.max("ts_raw").alias("period_end")).select(
+        F.lit("day").alias("tier"), "project", "period_start", "period_end", F.lit(False).alias("handoff"), F.lit(None).cast("bigint").alias("superseded_by"))
+    return A.plan_compression(sessions.drop("session_id").unionByName(days), "2024-01-08", 2, 2)
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'),
@@ -380,9 +400,9 @@ def x19_slug(spark, d):
     return V.table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit("! "), "p_type")).alias("slug"))
 
 
-@query("""SELECT query_id, v.id, round(greatest(-1, least(1, 1 - round(list_distance(embedding, query), 6) ** 2 / 2)), 6) AS similarity FROM v_vectors v, v_queries WHERE query_id = 0""")
+@query("""SELECT query_id, v.id, round(greatest(-1, least(1, 1 - round(list_distance(embedding, query), 6) ** 2 / 2)), 6) AS similarity FROM v_vectors v, v_queries""")
 def f7_l2_to_cosine(spark, d):
-    one = V.vector_queries(spark, d).filter("query_id = 0")
+    one = V.vector_queries(spark, d)
     both = V.vectors(spark, d).crossJoin(F.broadcast(one))
     return both.select("query_id", "id", F.round(T.l2_to_cosine(F.round(S.l2_distance(F.col("embedding"), F.col("query")), 6)), 6).alias("similarity"))
 
@@ -391,7 +411,7 @@ def f7_l2_to_cosine(spark, d):
   WHERE (project, start_ts) NOT IN (SELECT project, period_start FROM ({DIGEST}))""")
 def e10_insert_digest(spark, d):
     new = A.session_rollup(V.exchanges(spark, d)).select(F.lit("session").alias("tier"), "project", F.col("start_ts").alias("period_start"))
-    return A.insert_new(digest(spark, d), new, ["tier", "project", "period_start"])
+    return A.insert_new(digest(spark, d).drop("session_id"), new, ["tier", "project", "period_start"])
 
 
 @query("""SELECT doc_id, trim(regexp_extract('a <summary> ' || source || chr(10) || lang || ' </summary> b', '<summary>(.*?)</summary>', 1, 's')) AS summary FROM documents""")
@@ -409,7 +429,7 @@ def t6_topic_timeline(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from turnlake import learning_queries, review_queries, source_queries  # noqa: F401  register their queries here
+    from turnlake import learning_queries, review_queries, source_queries, state_queries  # noqa: F401  register their queries here
 
     return QUERIES
 

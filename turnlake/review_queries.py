@@ -176,11 +176,10 @@ def index(spark, d):
 
 
 def asked(spark, d):
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-FIRST_TWO = "array_to_string(string_split(text, ' ')[1:2], ' ')"
-ASKED = f"(SELECT item_id AS query_id, list_distinct({WORDS.format(FIRST_TWO)}) AS terms FROM benchmark)"
+ASKED = f"(SELECT item_id AS query_id, list_distinct({WORDS.format("text")}) AS terms FROM benchmark)"
 POSTINGS = f"""(SELECT doc_id, field, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM (
   SELECT doc_id, 'text' AS field, {WORDS.format("coalesce(text, '')")} AS w FROM documents UNION ALL SELECT doc_id, 'source', {WORDS.format("coalesce(source, '')")} FROM documents))"""
 
