@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         # large-star: each node's larger neighbours move to its smallest neighbour or itself
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         # small-star: each node and its smaller neighbours move to the smallest of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.groupBy("a").agg(F.min("b").alias("m"))

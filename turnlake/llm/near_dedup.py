@@ -6,7 +6,7 @@ with at most one error, so for each chunk its four ways to leave one symbol out
 that distance share a key. A pair of similarity 0.75 fails in a chunk with probability 0.26, in all of them with 7e-9.
 
 Equal shingle sets are one class. Classes that share a key are first linked to the key's smallest member, its hub
-(linear in the group), and confirmed links are contracted. Keys whose members are still of several components are
+(linear in the group), and linked classes go with their least hub. Keys whose members are still of several components are
 gathered into families by their hub, so that a member of many such keys is one row, with a bit for each key. Only pairs
 of different components that share a key of the family are compared, in tasks that hold tiles of a family: their
 signatures first, and then the whole sets of those members that have a pair within the distance. So no link between
@@ -247,7 +247,8 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = members.filter("rep <> hub").select(F.col("hub"), "rep").distinct().join(ready.select("rep", "n_shingles"), "rep").join(size_of, "hub").filter(
         f"{DENOMINATOR} * least(n_shingles, hub_shingles) >= {NUMERATOR} * greatest(n_shingles, hub_shingles)")
     first = stored(confirm(stars.select(F.col("hub").alias("a"), F.col("rep").alias("b")), texts), "links")
-    joined = components(first)
+    # one step, to the least hub that a class is linked to, spares most comparisons; all links make the components in the end
+    joined = first.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
     located = members.select("key", "hub", "rep").join(
         joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     located = stored(located.select("key", "hub", "rep", "comp"), "located")
