@@ -214,4 +214,4 @@ def r4_stream_tier_counts(spark, d):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def r5_stream_dedup(spark, d):
-    return streams.drained(streams.first_seen(streams.event_stream(spark, f"{d}/events.parquet"), ["user_id", "event_type"]), "first-seen")
+    return streams.drained(streams.first_seen(streams.event_stream(spark, f"{d}/events.parquet"), ["user_id", "event_type"], "60 days"), "first-seen")

@@ -21,9 +21,16 @@ def tier_counts(events: DataFrame, period: str, delay: str) -> DataFrame:
         F.col("w.start").alias("period_start"), "event_type", "n")
 
 
-def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a key, however often it comes again."""
-    return events.select(*keys).dropDuplicates(keys)
+def finished_sessions(events: DataFrame, key: str, quiet: str, delay: str) -> DataFrame:
+    """R2: key, started, n of each session, emitted once when the watermark has passed the quiet time behind its last event."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy(F.session_window("ts", quiet).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("started"), "n")
+
+
+def first_seen(events: DataFrame, keys: list[str], within: str) -> DataFrame:
+    """One row a key; repeats that come within a time of it are dropped, and its state goes after that time."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", within)
+    return timed.dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
