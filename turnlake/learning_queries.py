@@ -9,7 +9,20 @@ from turnlake.operators import learning as L
 from turnlake.plans import adapters as V
 from turnlake.queries import query
 
-SHAPES = [rf"\b{s}\b" for s in L.SECRETS] + [rf"(?i)\b{L.BEARER}"]
+#: The shapes of secrets as the SQL has them, written out apart from the operator's.
+SHAPES = r"""
+\bgh[pousr]_[A-Za-z0-9_]{20,}\b
+\bgithub_pat_[A-Za-z0-9_]{20,}\b
+\bsk-[A-Za-z0-9_-]{20,}\b
+\bsk-ant-[A-Za-z0-9_-]{20,}\b
+\bnpm_[A-Za-z0-9]{20,}\b
+\b(AKIA|ASIA)[A-Z0-9]{16}\b
+\bxox[baprs]-[A-Za-z0-9-]{10,}\b
+\bAIza[0-9A-Za-z_-]{20,}\b
+\b(sk|rk|pk)_(live|test)_[A-Za-z0-9]{16,}\b
+\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b
+(?i)\bBearer[ \t]+[A-Za-z0-9\-._~+/]+=*
+""".split("\n")[1:-1]
 
 
 def _redacted(col):

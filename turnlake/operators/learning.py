@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shapes of secrets, the more specific ones first, with an ASCII word border around them.
+from turnlake.functions.text import ascii_borders
+
+#: Shapes of secrets, in the order in which they are replaced.
 SECRETS = (
-    r"gh[pousr]_[A-Za-z0-9_]{20,}",
-    r"github_pat_[A-Za-z0-9_]{20,}",
-    r"sk-[A-Za-z0-9_-]{20,}",
-    r"sk-ant-[A-Za-z0-9_-]{20,}",
-    r"npm_[A-Za-z0-9]{20,}",
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    r"xox[baprs]-[A-Za-z0-9-]{10,}",
-    r"AIza[0-9A-Za-z_-]{20,}",
-    r"(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}",
-    r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    r"\bgh[pousr]_[A-Za-z0-9_]{20,}\b",
+    r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
+    r"\bsk-[A-Za-z0-9_-]{20,}\b",
+    r"\bsk-ant-[A-Za-z0-9_-]{20,}\b",
+    r"\bnpm_[A-Za-z0-9]{20,}\b",
+    r"\b(AKIA|ASIA)[A-Z0-9]{16}\b",
+    r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
+    r"\bAIza[0-9A-Za-z_-]{20,}\b",
+    r"\b(sk|rk|pk)_(live|test)_[A-Za-z0-9]{16,}\b",
+    r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b",
+    r"(?i)\bBearer[ \t]+[A-Za-z0-9\-._~+/]+=*",
 )
-BEARER = r"[Bb][Ee][Aa][Rr][Ee][Rr][ \t]+[A-Za-z0-9._~+/-]+=*"
 MARK = r"#[0-9a-f]{32}|@[0-9]+"
 #: Confidence of an entry as priority and score of its heuristics.
 PRIORITY = {"high": 8, "medium": 5, "low": 3}
@@ -27,13 +29,10 @@ NEGATIONS = ("don't ", "do not ", "never ", "avoid ")
 
 
 def redact_secrets(text: Column) -> Column:
-    """Substrings in the shape of a secret become [redacted]; a second pass changes nothing.
-
-    The word border behind a shape that may end in a dash lies behind its last word character.
-    """
+    """Substrings in the shape of a secret become [redacted]; a second pass changes nothing."""
     for shape in SECRETS:
-        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_])(?:{shape})(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])", "[redacted]")
-    return F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){BEARER}", "[redacted]")
+        text = F.regexp_replace(text, ascii_borders(shape), "[redacted]")
+    return text
 
 
 def redact_keeping_marks(text: Column, redact=redact_secrets) -> Column:

@@ -379,10 +379,12 @@ def d4_plan_compression(spark, d):
     return A.plan_compression(sessions.drop("session_id").unionByName(days), "2024-01-08", 2, 2)
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[SSN]', 'g'),
-  '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[IP]', 'g') AS text FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '<EMAIL>', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '<SSN>', 'g'),
+  '\b(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,4})\b', '<CC>', 'g'), '(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}', '<PHONE>', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<IP>', 'g') AS text,
+  md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[A-Za-z]{2,}', '[redacted]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[redacted]', 'g'),
+  '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b', '[redacted]', 'g'), '\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b', '[redacted]', 'g'), '\b\d{10,19}\b', '[redacted]', 'g')) AS untyped FROM documents""")
 def x2_redact_pii(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", T.redact_pii(F.col("text")).alias("text"))
+    return V.table(spark, d, "documents").select("doc_id", T.redact_pii(F.col("text")).alias("text"), F.md5(T.redact_pii_untyped(F.col("text"))).alias("untyped"))
 
 
 @query("SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week FROM events")
