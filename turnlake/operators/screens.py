@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from turnlake.functions.text import ascii_borders
 from turnlake.operators.learning import redact_secrets
@@ -47,7 +48,7 @@ CONTROL = r"[\u0000-\u0008\u000b-\u001f\u007f-\u009f]"
 TRAILING_MARKS = r"\[(?:#|@)[^\]]*\]\s*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """The compatibility form (NFKC), for which Spark has no function; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
