@@ -15,6 +15,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes between words of ASCII letters, digits and whatever is beyond ASCII.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def weights(n: int) -> np.ndarray:
@@ -58,10 +60,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """Words of consecutive texts: hashes, byte spans, and where each text's words begin (`first`, n + 1 entries)."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, lines: bool = False):
-        inner = ~_WHITE[data]
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False, lines: bool = False, between: np.ndarray = _WHITE):
+        inner = ~between[data]
         if lower:
             data = _LOWER[data]
+        self.data = data
         begins, ends = inner.copy(), inner.copy()
         if len(data) > 1:
             begins[1:] &= ~inner[:-1]
@@ -83,7 +86,7 @@ class Words:
             self.breaks = np.flatnonzero(data == 10)
 
 
-def chunks(texts: pa.Array, lower: bool = False, lines: bool = False) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array, lower: bool = False, lines: bool = False, between: np.ndarray = _WHITE) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words of the texts from..to) over an Arrow string array without nulls."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -96,7 +99,7 @@ def chunks(texts: pa.Array, lower: bool = False, lines: bool = False) -> Iterato
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
-        yield at, to, Words(raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], lower, lines)
+        yield at, to, Words(raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], lower, lines, between)
         at = to
 
 
