@@ -208,7 +208,7 @@ def j10_ranked_search(spark, d):
 @query("""SELECT period_start::VARCHAR AS period_start, event_type, n FROM (SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
   WHERE period_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
 def r4_stream_tier_counts(spark, d):
-    counts = streams.tier_counts(streams.event_stream(spark, f"{d}/events.parquet"), "1 day", "30 minutes")
+    counts = streams.tier_counts(streams.event_stream(spark, f"{d}/events.parquet"), "day", "30 minutes")
     return streams.drained(counts, "tier-counts").withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd HH:mm:ss"))
 
 
