@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlake.functions.stems import folded, stems
 from turnlake.operators.search import top_k
 
 #: Distinct terms of a query table that are broadcast at most.
@@ -18,11 +19,33 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def build_postings(docs: DataFrame, key: str, fields: list[str], stem: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row a token occurrence: key, field, pos, term. Stemming is the caller's Column function."""
+def analysed(text: Column) -> Column:
+    """Terms of J2: runs of letters and digits in lower case, without diacritics, as stems."""
+    return stems(F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+
+def build_postings(docs: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column] = tokens) -> DataFrame:
+    """One row a token occurrence: key, field, pos, term; `terms` cuts a text into its array of terms."""
     each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x"))
-    rows = each.select(key, "x.field", F.posexplode(tokens(F.col("x.text"))).alias("pos", "term"))
-    return rows.withColumn("term", stem(F.col("term"))) if stem else rows
+    rows = each.select(key, "x.field", F.posexplode(terms(F.col("x.text"))).alias("pos", "term"))
+    return rows
+
+
+def save_postings(postings: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The postings as a table bucketed and sorted by term, which later searches join without moving it."""
+    postings.repartition(buckets, "term").write.mode("overwrite").format("parquet").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+    return postings.sparkSession.table(table)
+
+
+def query_phrases(queries: DataFrame, terms: Callable[[Column], Column] = analysed) -> DataFrame:
+    """query_id, phrase, offset, term, size, phrases of queries (query_id, text): each run of letters, digits and _ is a phrase.
+
+    A run of several terms, as `a_b`, is a phrase of its parts; a run without any is left out, and so is a query without words.
+    """
+    runs = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    cut = F.filter(F.array_distinct(F.transform(runs, terms)), lambda p: F.size(p) > 0)
+    each = queries.select("query_id", F.size(cut).alias("phrases"), F.posexplode(cut).alias("phrase", "p"))
+    return each.select("query_id", "phrases", "phrase", F.size("p").alias("size"), F.posexplode("p").alias("offset", "term"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -37,10 +60,23 @@ def _wanted(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(terms) if few else terms, "term")
 
 
-def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int) -> DataFrame:
-    """Documents that hold all terms of a query in any field, the newest (largest key) first."""
-    hits = _wanted(postings, query_terms(queries)).groupBy("query_id", key, "n_terms").agg(F.count_distinct("term").alias("found"))
-    return top_k(hits.filter("found = n_terms"), ["query_id"], [F.desc(key)], k).select("query_id", key, "rank")
+def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int, terms: Callable[[Column], Column] = analysed, newest: DataFrame | None = None) -> DataFrame:
+    """Documents that hold each phrase of a query in some field, the newest first.
+
+    Phrases may lie in different fields; one of several terms needs them side by side, so positions less offsets meet.
+    `newest` (key, newest) restricts and orders the documents; without it larger keys are newer. Only documents with the
+    query's rarest term are looked at further, so a frequent term costs its postings once and no more.
+    """
+    asked = query_phrases(queries, terms)
+    counts = _wanted(postings.select("term"), asked.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    pairs = _wanted(postings.select("term", key), rarest).select("query_id", key).distinct()
+    met = _wanted(postings, asked).join(pairs, ["query_id", key], "left_semi")
+    starts = met.groupBy("query_id", key, "phrases", "phrase", "size", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("here"))
+    hits = starts.filter("here = size").groupBy("query_id", key, "phrases").agg(F.count_distinct("phrase").alias("found")).filter("found = phrases")
+    if newest is None:
+        return top_k(hits, ["query_id"], [F.desc(key)], k).select("query_id", key, "rank")
+    return top_k(hits.join(newest.select(key, "newest"), key), ["query_id"], [F.desc("newest"), F.desc(key)], k).select("query_id", key, "rank")
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, key: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

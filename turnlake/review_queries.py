@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from turnlake.functions.stems import stems_sql
 from turnlake.operators import review as R
 from turnlake.operators import text_index as I
 from turnlake.plans import adapters as V
@@ -189,10 +190,35 @@ def s13_postings(spark, d):
     return index(spark, d).groupBy("term", "field").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("pos").alias("places"))
 
 
-@query(f"""SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM (
-  SELECT query_id, doc_id FROM (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM {ASKED}) JOIN {POSTINGS} USING (term) GROUP BY query_id, doc_id, n HAVING count(DISTINCT term) = n)) WHERE rank <= 20""")
+PARTS = "regexp_extract_all(strip_accents(lower({0})), '[\\p{{L}}\\p{{N}}]+')"
+def stemmed(text: str) -> str:
+    """Views of all postings' stems and of the phrases of the benchmark's `text`."""
+    return f"""v_post AS (SELECT doc_id, field, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (
+  SELECT doc_id, field, {stems_sql(PARTS.format("t"))} AS w FROM (SELECT doc_id, 'text' AS field, coalesce(text, '') AS t FROM documents UNION ALL SELECT doc_id, 'source', coalesce(source, '') FROM documents))),
+v_runs AS (SELECT query_id, list_distinct(list_filter(list_transform(runs, lambda r: {stems_sql(PARTS.format("r"))}), lambda p: len(p) > 0)) AS ps FROM (
+  SELECT item_id AS query_id, regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+') AS runs FROM benchmark)),
+v_terms AS (SELECT query_id, i, len(p) AS size, n, unnest(p) AS term, generate_subscripts(p, 1) AS k FROM (SELECT query_id, len(ps) AS n, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM v_runs))"""
+
+
+FOUND = """SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM (
+  SELECT query_id, doc_id, n FROM (SELECT query_id, doc_id, n, i FROM v_terms JOIN v_post USING (term) GROUP BY query_id, doc_id, n, i, size, field, pos - k HAVING count(DISTINCT k) = size)
+  GROUP BY ALL HAVING count(DISTINCT i) = n)) WHERE rank <= 20"""
+
+
+def terms_index(spark, d):
+    return I.build_postings(V.table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], I.analysed)
+
+
+@query(f"WITH {stemmed('text')} {FOUND}")
 def j2_text_search(spark, d):
-    return I.text_search(asked(spark, d), index(spark, d), "doc_id", 20)
+    return I.text_search(asked(spark, d), terms_index(spark, d), "doc_id", 20)
+
+
+@query(f"""WITH {stemmed("regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g')")} {FOUND}""")
+def j2_phrase_search(spark, d):
+    """Whole benchmark texts as one phrase each."""
+    phrases = asked(spark, d).withColumn("text", F.regexp_replace("text", "[^A-Za-z0-9]+", "_"))
+    return I.text_search(phrases, terms_index(spark, d), "doc_id", 20)
 
 
 @query(f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
