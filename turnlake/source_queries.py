@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnlake.operators import assemble as M
+from turnlake.operators import render
 from turnlake.plans import adapters as V
 from turnlake.queries import query
 from turnlake.sources import transcripts as R
 
 
-def raw_lines(spark, d):
+def raw_lines(spark, d, rich=False):
     """Lines (path, project, line_no, raw) of every conversation: even ones in the first dialect, with blank and malformed lines,
-    odd ones in the second; every assistant turn calls a tool, and the following turn or line has the result."""
+    odd ones in the second; every assistant turn calls a tool, and the following turn or line has the result. Rich ones have
+    sidechains and token usage."""
     conv, turn, role, text = (F.col(c) for c in ("conv_id", "turn", "role", "text"))
     s = lambda **k: F.to_json(F.struct(*[(v if not isinstance(v, (str, int)) else F.lit(v)).alias(n) for n, v in k.items()]))
     st = lambda **k: F.struct(*[(v if not isinstance(v, (str, int)) else F.lit(v)).alias(n) for n, v in k.items()])
@@ -25,7 +27,11 @@ def raw_lines(spark, d):
         F.array(block("text", text=text), block("tool_use", id=use(turn), name=F.lit("Read"))))
     ts = F.concat(F.lit("2024-01-01T00:00:"), F.lpad(turn.cast("string"), 2, "0"), F.lit("Z"))
     common = {"type": role, "sessionId": F.concat(F.lit("s"), conv), "timestamp": ts}
-    first = F.when(turn == 0, s(**common, message=st(role=role, content=text))).otherwise(s(**common, message=st(role=role, content=said)))
+    usage = F.when(role == "assistant", st(input_tokens=turn * 1000 + 234, cache_read_input_tokens=F.when(turn >= 3, turn * 1500), output_tokens=turn))
+    more = {"usage": usage} if rich else {}
+    if rich:
+        common["isSidechain"] = (conv % 3 == 0) & turn.isin(2, 3)
+    first = F.when(turn == 0, s(**common, message=st(role=role, content=text, **more))).otherwise(s(**common, message=st(role=role, content=said, **more)))
     claude = F.array(line(2 * turn + 2, first), line(2 * turn + 3, F.when(turn % 2 == 0, "").otherwise("{broken")))
     response = lambda p: s(type="response_item", timestamp=ts, payload=p)
     codex = F.filter(F.array(
@@ -100,3 +106,29 @@ def a3_tool_calls(spark, d):
 def a4_codex_tool_calls(spark, d):
     records = R.codex_records(_part(spark, d, "codex"))
     return R.extract_codex_tool_calls(records, R.assemble_codex(records)).drop("is_error")
+
+
+LABEL = "CASE WHEN side THEN CASE role WHEN 'user' THEN 'Agent' ELSE 'Subagent' END WHEN role = 'user' THEN 'User' ELSE 'Agent' END"
+RULE, NL = "chr(10) || '---' || chr(10)", "chr(10)"
+STAMP = "'(1/1/2024, 12:00:' || lpad(turn::VARCHAR, 2, '0') || ' AM) {#'"
+FIRST = f"""SELECT {PATH} AS path, '# Conversation' || {NL} || {NL} || '## Metadata' || {NL} || {NL} || '**Session ID:** s' || conv_id || {NL} || {NL} || '---' || {NL} || {NL} || '## Messages' || {NL} || {NL}
+  || string_agg(CASE WHEN side AND NOT was THEN {RULE} || '**🔀 SIDECHAIN START**' || {RULE} || {NL} WHEN was AND NOT side THEN {RULE} || '**🔀 SIDECHAIN END**' || {RULE} || {NL} ELSE '' END
+    || '### **' || {LABEL} || '** ' || {STAMP} || 'msg-' || i || '}}' || {NL} || {NL} || text || {NL} || {NL}
+    || CASE WHEN role = 'assistant' AND turn > 0 THEN '**Tool Use:** `Read`' || {NL} || {NL} || CASE WHEN next = 'user' THEN '**Result:**' || {NL} || 'done ' || (turn + 1) || {NL} || {NL} ELSE '' END ELSE '' END
+    || CASE WHEN role = 'assistant' THEN '_in: ' || format('{{:,}}', turn * 1000 + 234) || CASE WHEN turn >= 3 THEN ' | cache read: ' || format('{{:,}}', turn * 1500) ELSE '' END || ' | out: ' || turn || '_' || {NL} || {NL} ELSE '' END, '' ORDER BY turn)
+  || CASE WHEN arg_max(side, turn) THEN {RULE} || '**🔀 SIDECHAIN END**' || {RULE} || {NL} ELSE '' END AS markdown
+  FROM (SELECT *, conv_id % 3 = 0 AND turn IN (2, 3) AS side, coalesce(lag(conv_id % 3 = 0 AND turn IN (2, 3)) OVER w, false) AS was, row_number() OVER w - 1 AS i, lead(role) OVER w AS next
+    FROM conversations WHERE conv_id % 2 = 0 AND role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id"""
+SECOND = f"""SELECT {PATH}, '# Conversation' || {NL} || {NL} || '## Metadata' || {NL} || {NL} || '**Harness:** Codex' || {NL} || {NL} || '**Session ID:** s' || conv_id || {NL} || {NL} || '**Git Branch:** main' || {NL} || {NL}
+  || '**Working Directory:** /w/q' || (conv_id % 5) || {NL} || {NL} || '**Codex Version:** 1.0' || {NL} || {NL} || coalesce('**Model:** m' || (max(turn) FILTER (WHERE role = 'user' AND turn % 4 <> 0) % 3) || {NL} || {NL}, '')
+  || '---' || {NL} || {NL} || '## Messages' || {NL} || {NL}
+  || string_agg('### **' || CASE role WHEN 'user' THEN 'User' ELSE 'Agent' END || '** ' || {STAMP} || 'msg-' || (1 + before + (role = 'user')::INT) || '}}' || {NL} || {NL} || text || {NL} || {NL}
+    || CASE WHEN role = 'assistant' THEN '### **Tool Use** ' || {STAMP} || 'c' || conv_id || '-' || turn || '}}' || {NL} || {NL} || '**Tool Use:** `shell`' || {NL} || {NL} || '- **n:**' || {NL} || '```json' || {NL} || turn || {NL} || '```' || {NL} || {NL}
+      || '### **Tool Result** ' || {STAMP} || 'c' || conv_id || '-' || turn || '-result}}' || {NL} || {NL} || '**Result:**' || {NL} || 'out ' || turn || {NL} || {NL} ELSE '' END, '' ORDER BY turn)
+  FROM (SELECT *, coalesce(sum(CASE role WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM conversations WHERE conv_id % 2 = 1) GROUP BY conv_id"""
+
+
+@query(f"{FIRST} UNION ALL {SECOND}".replace("}}", "}").replace("{{", "{"))
+def s12_render_conversations(spark, d):
+    return render.whole_conversations(render.render_conversations(raw_lines(spark, d, rich=True), 700))
