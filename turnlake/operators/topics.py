@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.streaming.streams import shared_root
+
 #: The shapes of Markdown lines.
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 FENCE_ALONE = r"^ {0,3}(`{3,}|~{3,})\s*$"
@@ -12,6 +16,17 @@ HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 DEFINITION = r"^\[\^([^\]\s]+)\]:\s*(.*)$"
 REFERENCE = r"\[\^([^\]\s]+)\]"
 LEVELS = range(1, 7)
+#: The lines that open and close the blocks of an answer.
+FILE_LINE = r"^=== FILE(?:\s+(.*))?$"
+DELETE_LINE = r"^=== DELETE(?:\s+(.*))?$"
+END_LINE = r"^=== END\s*$"
+
+
+def fence_after(open_: Column, line: Column) -> Column:
+    """The fence that is open behind a line, empty without one: one is closed by as many of its characters or more, alone."""
+    opens, closes = F.regexp_extract(line, FENCE, 1), F.regexp_extract(line, FENCE_ALONE, 1)
+    ended = (closes != "") & (F.substring(closes, 1, 1) == F.substring(open_, 1, 1)) & (F.char_length(closes) >= F.char_length(open_))
+    return F.when(open_ == "", opens).when(ended, "").otherwise(open_)
 
 
 def fence_mask(lines: Column) -> Column:
@@ -19,11 +34,8 @@ def fence_mask(lines: Column) -> Column:
     start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("mask"))
 
     def step(s, line):
-        opens, closes = F.regexp_extract(line, FENCE, 1), F.regexp_extract(line, FENCE_ALONE, 1)
-        inside = s["open"] != ""
-        ended = (closes != "") & (F.substring(closes, 1, 1) == F.substring(s["open"], 1, 1)) & (F.char_length(closes) >= F.char_length(s["open"]))
-        now = F.when(~inside, opens).when(ended, "").otherwise(s["open"])
-        return F.struct(now.alias("open"), F.concat(s["mask"], F.array(inside | (opens != ""))).alias("mask"))
+        fenced = (s["open"] != "") | (F.regexp_extract(line, FENCE, 1) != "")
+        return F.struct(fence_after(s["open"], line).alias("open"), F.concat(s["mask"], F.array(fenced)).alias("mask"))
 
     return F.aggregate(F.transform(lines, lambda x: F.coalesce(x, F.lit(""))), start, step)["mask"]
 
@@ -81,19 +93,84 @@ def topic_definitions(docs: DataFrame) -> DataFrame:
         (F.row_number().over(w) > 1).alias("repeated"), (~body.rlike(shape)).alias("malformed"))
 
 
-def assign_unit_ids(units: DataFrame) -> DataFrame:
-    """Units (project, slug, line_no, text) with `unit_id`: 8 hex digits of a hash of project, slug and text.
+def parse_topic_answers(answers: DataFrame) -> DataFrame:
+    """Id, n, kind, slug, text of the blocks of answers (id, text), n-th in order: `file`, `delete`, or `error` for a file that nothing ends.
 
-    The n-th repetition of a paragraph hashes n besides. Of different paragraphs of a project with one hash, later ones hash one number more.
+    Lines of a file's code fences are text, whatever they say; other lines outside the blocks are left out. An answer is one
+    value, so its lines are folded in its row. Null and empty answers have no blocks.
     """
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.lit("").alias("fence"), F.array().cast("array<struct<n:int,role:string,line:string>>").alias("out"))
+
+    def step(s, line):
+        file, delete, held = line.rlike(FILE_LINE), line.rlike(DELETE_LINE), s["fence"] != ""
+        ends = s["open"] & ~held & line.rlike(END_LINE)
+        text = s["open"] & (held | (~file & ~delete & ~ends))
+        opener = ~text & ~ends & (file | delete)
+        role = F.when(text, "text").when(ends, "end").when(opener & file, "file").when(opener, "delete").otherwise("other")
+        n = s["n"] + opener.cast("int")
+        return F.struct(n.alias("n"), F.when(opener, file).otherwise(s["open"] & ~ends).alias("open"), F.when(text, fence_after(s["fence"], line)).otherwise("").alias("fence"),
+                        F.concat(s["out"], F.array(F.struct(n.alias("n"), role.alias("role"), line.alias("line")))).alias("out"))
+
+    told = answers.select("id", F.posexplode(F.aggregate(lines, start, step)["out"]).alias("at", "x")).select("id", "at", "x.*").filter("role <> 'other'")
+    is_ = lambda r: F.col("role") == r
+    texts = F.transform(F.array_sort(F.collect_list(F.when(is_("text"), F.struct("at", "line")))), lambda x: x["line"])
+    shape = F.when(is_("file"), F.regexp_extract("line", FILE_LINE, 1)).when(is_("delete"), F.regexp_extract("line", DELETE_LINE, 1))
+    blocks = told.groupBy("id", "n").agg(F.max(F.regexp_replace(shape, r"^\s+|\s+$", "")).alias("slug"), F.max(is_("delete")).alias("gone"), F.max(is_("end")).alias("ended"), texts.alias("ls"))
+    kind = F.when(F.col("gone"), "delete").when(F.col("ended"), "file").otherwise("error")
+    return blocks.select("id", "n", kind.alias("kind"), "slug", F.when(kind == "file", F.concat(F.array_join("ls", "\n"), F.lit("\n"))).alias("text"))
+
+
+def assign_unit_ids(units: DataFrame, digits: int = 8) -> DataFrame:
+    """Units (project, slug, line_no, text, and unit_id where they have one) with `unit_id`: hex digits of a hash of project, slug and text.
+
+    Units without one choose in the order of slug and line: the hash, or that with the least number behind it, which no
+    other has. All choose at once, and the later of two with one id chooses on, which ends at the same ids; each round
+    looks only at what moved and whom it met.
+    """
+    spark, base = units.sparkSession, f"{shared_root(units.sparkSession)}/unit-ids-{uuid.uuid4().hex}"
+    key = ["project", "slug", "line_no"]
+    given = F.col("unit_id") if "unit_id" in units.columns else F.lit(None).cast("string")
+
     def hashed(n: Column) -> Column:
         parts = F.concat_ws("\0", "project", "slug", "text")
-        return F.substring(F.sha1(F.when(n == 0, parts).otherwise(F.concat_ws("\0", parts, n.cast("string"))).cast("binary")), 1, 8)
-
-    order = Window.partitionBy("project", "slug", "text").orderBy("line_no")
-    named = units.withColumn("_n", F.row_number().over(order) - 1).withColumn("unit_id", hashed(F.col("_n")))
-    again = F.row_number().over(Window.partitionBy("project", "unit_id").orderBy("slug", "line_no")) - 1
-    return named.withColumn("_again", again).withColumn("unit_id", F.when(F.col("_again") > 0, hashed(F.col("_n") + F.col("_again"))).otherwise(F.col("unit_id"))).drop("_n", "_again")
+        return F.substring(F.sha1(F.when(n == 0, parts).otherwise(F.concat_ws("\0", parts, n.cast("string"))).cast("binary")), 1, digits)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    # the n-th repetition of a paragraph can't get one of the first n ids, so it starts behind them
+    order = Window.partitionBy("project", "slug", "text", "fixed").orderBy("line_no")
+    first = units.withColumn("fixed", given.isNotNull()).withColumn("turn", F.when(~F.col("fixed"), F.row_number().over(order) - 1))
+    first = kept(first.withColumn("unit_id", F.coalesce(given, hashed(F.col("turn")))), "first")
+    place = F.struct(~F.col("fixed"), F.col("slug"), F.col("line_no"))
+    columns = ["project", "slug", "line_no", "text", "fixed", "turn", "unit_id"]
+
+    def decided(rows: DataFrame) -> DataFrame:
+        best = rows.groupBy("project", "unit_id").agg(F.min(place).alias("best"))
+        return rows.join(best, ["project", "unit_id"]).withColumn("stays", F.col("fixed") | (place == F.col("best"))).select(*columns, "stays")
+
+    # only ids that several have are looked at
+    shared = first.groupBy("project", "unit_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("project", "unit_id")
+    met = kept(decided(first.join(shared, ["project", "unit_id"], "left_semi").select(*columns)), "met-0")
+    moved, round_ = None, 0
+    while True:
+        moving = met.filter("NOT stays").drop("stays").withColumn("turn", F.col("turn") + 1)
+        moving = moving.withColumn("unit_id", hashed(F.col("turn")))
+        # what has moved before, now where it is
+        settled = met.filter("stays AND NOT fixed AND turn IS NOT NULL").drop("stays")
+        moved = settled if moved is None else moved.join(met.select(*key), key, "left_anti").unionByName(settled)
+        moved = kept(moved, f"moved-{round_}")
+        if met.filter("NOT stays").isEmpty():
+            break
+        round_ += 1
+        moving = kept(moving, f"moving-{round_}")
+        landing = moving.select("project", "unit_id").distinct()
+        there = first.select(*columns).join(moved.select(*key), key, "left_anti").join(moving.select(*key), key, "left_anti").unionByName(moved)
+        met = kept(decided(there.join(landing, ["project", "unit_id"], "left_semi").unionByName(moving)), f"met-{round_}")
+    now = moved.select(*key, F.col("unit_id").alias("_new"))
+    return first.drop("fixed", "turn").join(now, key, "left").withColumn("unit_id", F.coalesce("_new", "unit_id")).drop("_new")
 
 
 def footnote_statements(units: DataFrame, key: str) -> DataFrame:

@@ -140,3 +140,14 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n
 def r2_stream_finished_sessions(spark, d):
     done = streams.finished_sessions(streams.event_stream(spark, f"{d}/events.parquet"), "user_id", "30 minutes", "1 hour")
     return streams.drained(done, "sessions").select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+#: What stands around a text in an answer: a fence that holds the closing line, noise, a deletion and a file that nothing ends.
+BEFORE, BEHIND, LAST = "Intro\n=== FILE  a-1 \n", "\n```sh\n=== END\n=== FILE no\n```\n=== END  \nnoise\n=== DELETE gone\n=== FILE b\nx", "\n=== DELETE z"
+
+
+@query(r"""SELECT doc_id AS id, n, kind, slug, CASE kind WHEN 'file' THEN replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) || chr(10) || '```sh' || chr(10) || '=== END' || chr(10) || '=== FILE no' || chr(10) || '```' || chr(10) END AS text
+  FROM documents, (VALUES (1, 'file', 'a-1'), (2, 'delete', 'gone'), (3, 'error', 'b'), (4, 'delete', 'z')) v(n, kind, slug) WHERE n < 4 OR doc_id % 2 = 1""")
+def t11_parse_topic_answers(spark, d):
+    said = F.concat(F.lit(BEFORE), F.coalesce("text", F.lit("")), F.lit(BEHIND), F.when(F.col("doc_id") % 2 == 1, LAST).otherwise(""))
+    return T.parse_topic_answers(V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), said.alias("text")))
