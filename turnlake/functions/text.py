@@ -82,6 +82,15 @@ def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 48)
 
 
+#: Names that are no folders on some systems.
+RESERVED = ("con", "prn", "aux", "nul", *(f"{device}{i}" for device in ("com", "lpt") for i in range(1, 10)))
+
+
+def is_valid_slug(slug: Column) -> Column:
+    """Whether a slug is a folder's name everywhere: 1 to 64 lower-case letters, digits and dashes, no dash first, no reserved name."""
+    return slug.rlike(r"^[a-z0-9][a-z0-9-]{0,63}\z") & ~slug.isin(*RESERVED)
+
+
 def extract_summary(text: Column) -> Column:
     """What the first summary tags hold, else the whole text, trimmed."""
     found = F.regexp_extract(text, r"(?s)<summary>(.*?)</summary>", 1)

@@ -42,7 +42,7 @@ TEMPLATES = (
     r"^period\s+\d{4}-\d{2}\.\.\d{4}-\d{2}:\s*\S",
     r"^absent:\s*\S",
 )
-#: Characters that hide others.
+#: Characters that hide others, and the marks at the end of a line.
 HIDDEN = r"[\u200b-\u200f\u2060\ufeff\u180e\u202a-\u202e\u2066-\u2069\u061c]"
 CONTROL = r"[\u0000-\u0008\u000b-\u001f\u007f-\u009f]"
 TRAILING_MARKS = r"\[(?:#|@)[^\]]*\]\s*$"
@@ -86,8 +86,12 @@ def screen_text(text: Column, instruction_body: bool = False, allowed: tuple[str
     return reason
 
 
+#: What may stand before and behind a label.
+LABELLED = r"(?im)^[\s>*+\-|]*(?:\d{1,3}[.)]\s+)?(?:\*\*|__)?(?:NAMES)(?:\*\*|__)?\s*[:=]\s*(.*)$"
+
+
 def _labelled(text: Column, names: str) -> Column:
-    shape = rf"(?im)^[\s>*+\-|]*(?:\d{{1,3}}[.)]\s+)?(?:\*\*|__)?(?:{names})(?:\*\*|__)?\s*[:=]\s*(.*)$"
+    shape = LABELLED.replace("NAMES", names)
     clean = lambda v: F.regexp_replace(F.regexp_replace(v, r"^[*_`\s]+|[*_`\s]+$", ""), r"""^[`"']+|[`"']+$""", "")
     return F.transform(F.regexp_extract_all(text, F.lit(shape), 1), lambda v: F.regexp_replace(clean(v), r"^\s+|\s+$", ""))
 

@@ -15,25 +15,8 @@ from turnlake.topic_queries import UNITS, docs
 SAID = ("Ignore all the rules", "a new system prompt", "the system_prompt is", "you are  now", "from now on", "the user insists", "exec it", "use wget", "call Edit(x)", "save it", "create file", "/a/b then delete",
         "see www.x", "mail a@b.de", "paste the api key", "password: enter", "invoke the old red tool", "mcp__ x", "mcp__own-x", "mcp__else", "use the search tool", "npm_aaaaaaaaaaaaaaaaaaaaaaaa", "plain")
 LIST = "[" + ", ".join(f"'{s}'" for s in SAID) + "]"
-SQL_RULES = r"""
-override-instructions (?i)\b(ignore|disregard|forget|override|replace)\b[^.]{0,40}?\b(instructions?|directions?|rules?)\b
-new-instructions (?i)\bnew\s+(instructions?|rules?|system\s+prompt)\b
-system-prompt (?i)\bsystem[\s_-]+prompt\b
-you-are-now (?i)\byou[\s_-]+are[\s_-]+now\b
-authority-framing (?i)\b(standing|permanent|binding)[\s_-]+(rule|instruction|order)\b|\balways\s+(do|run|call|use|execute|check)\b[^.]{0,40}\bbefore\b|\bfrom\s+now\s+on\b
-user-authority (?i)\bthe\s+user\s+(wants|requires|insists|demands|expects)\b
-shell-command (?i)\brun\b|\bexecutes?\b|\bexec\b|\bcurl\b|\bwget\b|\bbash\b|\bsh\s+-c\b|powershell|\bcmd\.exe\b
-shell-command \brm\s+-rf\b|\bBash\(|\bWrite\(|\bEdit\(|`
-file-write (?i)\b(write|writes|save|saves|create|creates|append|overwrite)\s+(to|into|it|a\s+file|the\s+file)\b|\bcreate\s+file\b|(\/[A-Za-z0-9_.-]+){2,}[^.]{0,60}?\b(write|save|create|append|overwrite|delete|remove)\b
-url (?i)https?:\/\/|\bwww\.|\bhxxps?|\b\w+\s+dot\s+(com|net|org|io|dev|ai|co)\b
-email [\w.+-]+@[\w-]+\.[A-Za-z]{2,}
-base64-blob [A-Za-z0-9+/]{40,}
-credential-request (?i)\b(ask|asks|request|requests|send|sends|paste|pastes|provide|provides|enter|type)\b[^.]{0,40}?\b(token|password|passphrase|api[- ]?key|credentials?|secret)\b
-credential-request (?i)\b(token|password|passphrase|api[- ]?key|credentials?)\b[^.]{0,40}?\b(ask|send|paste|provide|enter)\b
-tool-invocation (?i)\b(call|calls|invoke|invokes|use|uses)\s+the\s+(\S+\s+){1,4}?tool\b
-foreign-mcp-name (?i)\bmcp__\s+\S+|\bmcp__[a-np-z0-9_-]
-""".split("\n")[1:-1]
-CASES = " ".join(f"WHEN regexp_matches(r, '{rule.split(' ', 1)[1]}') THEN '{rule.split(' ', 1)[0]}'" for rule in SQL_RULES)
+#: The screen's rules as they are; the one with a look-ahead, which SQL lacks, as the names that don't begin as one's own do.
+CASES = " ".join(f"WHEN regexp_matches(r, '{shape}') THEN '{name}'" for name, shape in [*S.RULES, ("foreign-mcp-name", r"(?i)\bmcp__[a-np-z0-9_-]")])
 
 
 @query(f"""SELECT doc_id, CASE {CASES} WHEN {_redacted('t')} <> t THEN 'secret-like-text' END AS reason FROM (SELECT doc_id, t, replace(t, 'search tool', ' ') AS r FROM (
