@@ -203,6 +203,19 @@ def test_mixing(docs, empty):
     assert mixing.mix(docs, target_entropy=0.9).count() > 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_documents_without_tokens(spark):
+    """A hot source whose target is under its tokens, with empty texts that lie behind the target in its order."""
+    rows = [(i, PROSE[i % 6], "hot") for i in range(300)] + [(1000 + i, ("", None, " \t")[i % 3], "hot") for i in range(200)] + [(2000 + i, PROSE[i % 6], "rare") for i in range(6)] + [(3000, "", "none"), (3000, None, "none")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), target_entropy=0.9).collect()
+    empty = [r for r in got if r["n_tokens"] == 0]
+    assert sorted(r["doc_id"] for r in empty) == [*range(1000, 1200), 3000, 3000] and {(r["epoch"], r["slot"], r["start_token"]) for r in empty} == {(0, 0, 0)}
+    target = {r["source"]: r["target_tokens"] for r in got}
+    assert target["hot"] < 300 * 90 and target["none"] == 0 and len({r["doc_id"] for r in got if r["doc_id"] < 300}) < 300
+    for source in ("hot", "rare"):
+        dealt = sum(r["n_tokens"] for r in got if r["source"] == source)
+        assert target[source] <= dealt < target[source] + 90
+
+
 def test_chat_format(spark):
     turns = spark.createDataFrame([
         (1, 2, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a <|end|>\n \\<\\| <\\|sep|>"), (1, 3, "user", "</s>[INST] x"), (2, 0, None, "only"), (None, 0, "user", "null id"), (None, 0, "user", "null id")],

@@ -97,12 +97,14 @@ def mix(
     A copy is dealt out when the tokens before it in its source are under the source's target, so each source
     overshoots by less than a document. Every epoch permutes the source's blocks anew; slot is the copy's
     place on a common scale, so that any run of slots holds the sources at their weights. Documents without
-    tokens come once each, at the start of epoch 0. Null sources count as the source NO_SOURCE.
+    tokens come once each, at the start of epoch 0, whatever their source's target. Null sources count as the
+    source NO_SOURCE.
     """
-    rows = stored(docs.select(
+    every = stored(docs.select(
         "doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), n_tokens().alias("n_tokens"),
         F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
     ), "mix-rows")
+    rows = every.filter("n_tokens > 0")
     per_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     plan = stored(source_plan(per_source, **how).withColumn(
         "n_blocks", F.ceil(F.col("tokens") / F.greatest(F.lit(block_tokens), F.ceil(F.col("tokens") / max_blocks)))
@@ -123,14 +125,12 @@ def mix(
         "source", "block", "epoch",
         (F.coalesce(F.sum("bt").over(order), F.lit(0)) + F.col("epoch") * F.col("tokens")).alias("offset"),
     )
-    dealt = placed.drop("epochs").join(blocks, ["source", "block"]).withColumn("start_token", F.col("offset") + F.col("in_block")).filter(
-        "start_token < target_tokens AND (n_tokens > 0 OR epoch = 0)"
-    )
+    dealt = placed.drop("epochs").join(blocks, ["source", "block"]).withColumn("start_token", F.col("offset") + F.col("in_block")).filter("start_token < target_tokens")
     slot = F.floor(F.col("start_token") / F.col("target_tokens") * F.lit(slots))
     columns = ["doc_id", "source", "n_tokens", "epoch", "slot", "start_token", "target_tokens"]
-    empty = rows.join(near.select("source"), "source", "left_anti").select(
-        "doc_id", "source", "n_tokens", *[F.lit(0).alias(c) for c in ("epoch", "slot", "start_token", "target_tokens")]
-    )
+    target = F.coalesce("target_tokens", F.lit(0)).alias("target_tokens")
+    empty = every.filter("n_tokens = 0").join(near.select("source", "target_tokens"), "source", "left").select(
+        "doc_id", "source", "n_tokens", *[F.lit(0).alias(c) for c in ("epoch", "slot", "start_token")], target)
     return dealt.withColumn("slot", slot).select(*columns).unionByName(empty).select(
         "doc_id", "source", "n_tokens", *[F.col(c).cast("long").alias(c) for c in columns[3:]]
     )
@@ -163,7 +163,7 @@ wt AS (SELECT per.source, CAST(per.t AS BIGINT) AS tokens,
 pl AS (SELECT *, CAST(ceil(tokens / greatest(65536, ceil(tokens / 65536))) AS BIGINT) AS n_blocks,
               greatest(1, CAST(ceil(target_tokens / tokens) AS BIGINT)) AS epochs FROM wt),
 pd AS (SELECT r.*, tokens, target_tokens, epochs, CAST(floor(CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0 * n_blocks) AS BIGINT) AS block
-       FROM rows_ r JOIN pl USING (source)),
+       FROM rows_ r JOIN pl USING (source) WHERE n_tokens > 0),
 ib AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY h, doc_id, n_tokens
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_block FROM pd),
 bl AS (SELECT source, block, tokens, unnest(generate_series(0, epochs - 1)) AS epoch, bt
@@ -172,10 +172,10 @@ bo AS (SELECT source, block, epoch, epoch * tokens + coalesce(sum(bt) OVER (PART
               ORDER BY md5('mix|' || source || '|' || block || '|' || epoch), block
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM bl),
 dl AS (SELECT doc_id, source, n_tokens, epoch, o + in_block AS start_token, target_tokens
-       FROM ib JOIN bo USING (source, block) WHERE o + in_block < target_tokens AND (n_tokens > 0 OR epoch = 0))
+       FROM ib JOIN bo USING (source, block) WHERE o + in_block < target_tokens)
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS BIGINT) AS epoch,
        CAST(floor(CAST(start_token AS DOUBLE) / target_tokens * 4096) AS BIGINT) AS slot,
        CAST(start_token AS BIGINT) AS start_token, target_tokens FROM dl
 UNION ALL
-SELECT doc_id, source, CAST(n_tokens AS BIGINT), 0, 0, 0, 0 FROM rows_ WHERE source NOT IN (SELECT source FROM per)
+SELECT doc_id, source, 0, 0, 0, 0, coalesce(target_tokens, 0) FROM rows_ LEFT JOIN wt USING (source) WHERE n_tokens = 0
 """
