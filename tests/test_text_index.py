@@ -49,8 +49,8 @@ def test_newest_and_limit(spark, postings):
 
 def test_saved_postings_are_not_moved(spark, postings):
     saved = I.save_postings(postings, "postings_by_term", 4)
-    asked = I.query_phrases(spark.createDataFrame([(7, "quick fox")], "query_id int, text string"))
-    plan = saved.hint("merge").join(asked.repartition(4, "term"), "term")._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    terms = spark.createDataFrame([("quick",), ("fox",)], "term string").repartition(4, "term")
+    plan = saved.hint("merge").join(terms, "term")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
     assert sorted(r["id"] for r in I.text_search(spark.createDataFrame([(7, "quick_fox")], "query_id int, text string"), saved, "id", 9).collect()) == [1, 4]
     spark.sql("DROP TABLE postings_by_term")

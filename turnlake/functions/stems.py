@@ -1,11 +1,17 @@
-"""Words of a text index: letters without diacritics, and English stems as Column expressions."""
+"""Words of a text index: letters without diacritics, and English stems."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 V, C = "[aeiouy]", "[^aeiouy]"
 #: What the rules of the Porter stemmer ask of the part before a suffix. A consonant y is written Y.
@@ -30,6 +36,8 @@ STEPS = (
     (("ll", "l", f"^{C}*{V}+{C}+{V}"),),
 )
 SHORTEST, LONGEST = 3, 64
+#: Words of at most LONGEST letters whose stems a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def _marks() -> tuple[str, str]:
@@ -47,38 +55,47 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}", "")
 
 
-def _holds(rule, stem: Column) -> Column:
+def _compiled(rule):
+    """A condition as a function of the part before the suffix."""
     if isinstance(rule, str):
-        return stem.rlike(rule)
+        return re.compile(rule).search
     if rule[0] == "not":
-        return ~_holds(rule[1], stem)
-    left, right = _holds(rule[1], stem), _holds(rule[2], stem)
-    return left & right if rule[0] == "and" else left | right
-
-
-def _step(rules, word: Column) -> Column:
-    out = None
-    for suffix, put, rule in rules:
-        stem = F.substring(word, F.lit(1), F.char_length(word) - len(suffix))
-        new = F.concat(stem, F.lit(put))
-        result = F.when(_holds(rule, stem), new).otherwise(word) if rule else new
-        out = F.when(word.endswith(suffix), result) if out is None else out.when(word.endswith(suffix), result)
-    return out.otherwise(word)
-
-
-def _taking(rules):
-    return lambda w: F.when(w.startswith("="), w).otherwise(_step(rules, w))
-
-
-def stems(words: Column) -> Column:
-    """The stem of each word of an array of lower-case words; words under SHORTEST or over LONGEST letters stay."""
-    fits = lambda w: F.char_length(w).between(SHORTEST, LONGEST)
-    marked = lambda w: F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y")
-    out = F.transform(words, lambda w: F.when(fits(w), marked(w)).otherwise(F.concat(F.lit("="), w)))
-    for rules in STEPS:
-        # each step binds its word once, so that the expression doesn't grow with the steps before
-        out = F.transform(out, _taking(rules))
-    return F.transform(out, lambda w: F.when(w.startswith("="), F.substring(w, 2, 1 << 20)).otherwise(F.lower(w)))
+        one = _compiled(rule[1])
+        return lambda part: not one(part)
+    left, right = _compiled(rule[1]), _compiled(rule[2])
+    return (lambda part: left(part) and right(part)) if rule[0] == "and" else (lambda part: left(part) or right(part))
+
+
+@lru_cache(1)
+def _compiled_steps():
+    return [[(suffix, put, _compiled(rule) if rule else None) for suffix, put, rule in rules] for rules in STEPS]
+
+
+@lru_cache(REMEMBERED)
+def stem(word: str) -> str:
+    """The stem of a lower-case word; words under SHORTEST or over LONGEST letters stay."""
+    if not SHORTEST <= len(word) <= LONGEST:
+        return word
+    word = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
+    for rules in _compiled_steps():
+        for suffix, put, holds in rules:
+            if word.endswith(suffix):
+                part = word[: len(word) - len(suffix)]
+                if holds is None or holds(part):
+                    word = part + put
+                break
+    return word.lower()
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """The stem of each word of an array; a batch's distinct words are taken once."""
+    flat = words.flatten().dictionary_encode()
+    known = pa.array([stem(w) if w is not None else None for w in flat.dictionary.to_pylist()], pa.string())
+    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    none = np.append(words.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(begin, mask=none), pc.take(known, flat.indices))
 
 
 def stems_sql(words: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.operators.assemble import trivial_sessions
+from turnlake.operators.ranking import first_rows, ranked
 
 
 def index_stats(ex: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -142,8 +143,9 @@ def seeded_rank(by: list[str], key: str, seed: str) -> Column:
 def select_source_exchanges(ex: DataFrame, per_project: int, seed: str, least: int = 20) -> DataFrame:
     """Q2: a seeded sample of substantial exchanges from each project that has enough of them."""
     fit = ex.filter("NOT coalesce(is_sidechain, false) AND char_length(user_message) >= 80 AND char_length(assistant_message) >= 200")
-    counted = fit.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("project"))).filter(F.col("n") >= least)
-    return counted.withColumn("r", seeded_rank(["project"], "id", seed)).filter(F.col("r") <= per_project).select("id", "project")
+    enough = fit.groupBy("project").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    hashed = fit.select("id", "project", F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))).alias("h"))
+    return first_rows(hashed, ["project"], ["h", "id"], per_project).join(enough, "project", "left_semi").select("id", "project")
 
 
 def stratified_quota(drafts: DataFrame, most: int, seed: str) -> DataFrame:
@@ -157,13 +159,14 @@ def stratified_quota(drafts: DataFrame, most: int, seed: str) -> DataFrame:
 
 def split_train_test(tasks: DataFrame, share: float = 0.6) -> DataFrame:
     """Q4: the first round(n * share) of each (project, tier), by kind and id, are for training."""
-    key = Window.partitionBy("project", "tier")
-    place, n = F.row_number().over(key.orderBy("kind", "task_id")), F.count(F.lit(1)).over(key)
-    return tasks.select("task_id", F.when(place <= F.floor(n * share + 0.5), "train").otherwise("test").alias("split"))
+    placed = ranked(tasks.select("project", "tier", "kind", "task_id"), ["project", "tier"], ["kind", "task_id"])
+    return placed.select("task_id", F.when(F.col("rank") <= F.floor(F.col("size") * share + 0.5), "train").otherwise("test").alias("split"))
 
 
 def pack_until_full(blocks: DataFrame, by: list[str], order: list[str], budget: int) -> DataFrame:
-    """Blocks in order up to the first that doesn't fit."""
+    """Blocks in order up to the first that doesn't fit. Each that isn't empty takes a character, so one more than `budget` decide."""
+    some = F.char_length("text") > 0
+    blocks = first_rows(blocks.filter(some), by, order, budget + 1).unionByName(blocks.filter(~some))
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("used", F.sum(F.char_length("text")).over(w)).filter(F.col("used") <= budget)
 

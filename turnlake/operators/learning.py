@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlake.functions.text import ascii_borders
+from turnlake.functions.text import replaced
 
 #: Shapes of secrets, in the order in which they are replaced.
 SECRETS = (
@@ -30,9 +30,7 @@ NEGATIONS = ("don't ", "do not ", "never ", "avoid ")
 
 def redact_secrets(text: Column) -> Column:
     """Substrings in the shape of a secret become [redacted]; a second pass changes nothing."""
-    for shape in SECRETS:
-        text = F.regexp_replace(text, ascii_borders(shape), "[redacted]")
-    return text
+    return replaced(text, [(shape, "[redacted]") for shape in SECRETS])
 
 
 def redact_keeping_marks(text: Column, redact=redact_secrets) -> Column:

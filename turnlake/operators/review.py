@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import cited_ids
+from turnlake.operators.ranking import ranked
 from turnlake.operators.search import top_k
 
 
@@ -146,9 +147,10 @@ def fold_session_status(events: DataFrame, most: int = 3) -> DataFrame:
 def unit_seq(units: DataFrame, previous: DataFrame) -> DataFrame:
     """Units (project, unit_id, slug, pos) keep their seq; new ones follow the project's largest in (slug, pos) order."""
     top = previous.groupBy("project").agg(F.max("seq").alias("top"))
-    own = units.join(previous, ["project", "unit_id"], "left").join(top, "project", "left")
-    fresh = F.row_number().over(Window.partitionBy("project", F.col("seq").isNull()).orderBy("slug", "pos", "unit_id"))
-    return own.select("project", "unit_id", F.coalesce("seq", F.coalesce("top", F.lit(0)) + fresh).alias("seq"))
+    key = ["project", "unit_id"]
+    old = units.join(previous, key).select(*key, "seq")
+    fresh = ranked(units.join(previous, key, "left_anti").select("project", "slug", "pos", "unit_id"), ["project"], ["slug", "pos", "unit_id"])
+    return old.unionByName(fresh.join(top, "project", "left").select(*key, (F.coalesce("top", F.lit(0)) + F.col("rank")).alias("seq")))
 
 
 def approval_gate(candidates: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from turnlake.functions.text import ascii_borders
+from turnlake.functions.text import matches
 from turnlake.operators.learning import redact_secrets
 
 #: Rules of the screen, in order; the first that a text trips is its reason.
@@ -71,7 +71,7 @@ def screen_text(text: Column, instruction_body: bool = False, allowed: tuple[str
         ruled = F.regexp_replace(ruled, rf"(?i)\Q{phrase}\E", " ")
     rules = [*RULES, ("foreign-mcp-name", rf"(?i)\bmcp__(?!{own_prefix})[a-z0-9_-]+")]
     # as an array's element, the text is made once and not once a rule
-    tripped = lambda r: F.coalesce(*(F.when(r.rlike(ascii_borders(shape)), name) for name, shape in rules))
+    tripped = lambda r: F.coalesce(*(F.when(matches(r, shape), name) for name, shape in rules))
     reason = F.coalesce(F.get(F.transform(F.array(ruled), tripped), F.lit(0)), F.when(redact_secrets(plain) != plain, "secret-like-text"))
     if instruction_body:
         lines = F.filter(F.transform(F.split(plain, "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", "")), lambda l: l != "")

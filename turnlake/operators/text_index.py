@@ -42,18 +42,12 @@ def query_phrases(queries: DataFrame, terms: Callable[[Column], Column] = analys
 
     A run of several terms, as `a_b`, is a phrase of its parts; a run without any is left out, and so is a query without words.
     """
-    runs = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    cut = F.filter(F.array_distinct(F.transform(runs, terms)), lambda p: F.size(p) > 0)
-    each = queries.select("query_id", F.size(cut).alias("phrases"), F.posexplode(cut).alias("phrase", "p"))
+    runs = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("run"))
+    cut = runs.select("query_id", terms(F.col("run")).alias("p")).filter(F.size("p") > 0)
+    each = cut.groupBy("query_id").agg(F.array_sort(F.collect_set("p")).alias("ps")).select("query_id", F.size("ps").alias("phrases"), F.posexplode("ps").alias("phrase", "p"))
     return each.select("query_id", "phrases", "phrase", F.size("p").alias("size"), F.posexplode("p").alias("offset", "term"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, n_terms of queries (query_id, text)."""
-    found = F.array_distinct(tokens(F.col("text")))
-    return queries.select("query_id", F.explode(found).alias("term"), F.size(found).alias("n_terms"))
-
-
 def _wanted(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the queries' terms; the terms are broadcast up to TERM_LIMIT, so frequent terms aren't shuffled."""
     few = terms.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -206,7 +208,11 @@ FOUND = """SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_numb
 
 
 def terms_index(spark, d):
-    return I.build_postings(V.table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], I.analysed)
+    """The stems' postings, written once: a search reads them three times."""
+    path = f"{streams.shared_root(spark)}/postings-{uuid.uuid4().hex}"
+    postings = I.build_postings(V.table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], I.analysed)
+    postings.write.parquet(path)
+    return spark.read.schema(postings.schema).parquet(path)
 
 
 @query(f"WITH {stemmed('text')} {FOUND}")
