@@ -90,8 +90,14 @@ def redact_pii_untyped(text: Column) -> Column:
     return replaced(text, [(shape, "[redacted]") for shape in PII_UNTYPED])
 
 
-def content_tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
-    """The set of lower-case ASCII words of four characters or more, without stop words."""
+#: Words of four characters or more that say nothing of a text's matter.
+STOP_WORDS = (
+    "about after again against also because been before being between both could does doing during each from further have having here into itself just more most much must only other over same "
+    "should some such than that their them then there these they this those through under until very were what when where which while will with would your").split()
+
+
+def content_tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
+    """The set of lower-case ASCII words of four characters or more, without stop words (STOP_WORDS, or one's own)."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{4,})"), 1))
     return F.array_except(found, F.array(*map(F.lit, stop_words))) if stop_words else found
 
@@ -117,6 +123,11 @@ def extract_summary(text: Column) -> Column:
     return F.regexp_replace(F.when(found != "", found).otherwise(text), r"^\s+|\s+$", "")
 
 
+def day_of(time: Column) -> Column:
+    """The UTC day of a time with a zone (sessions run in UTC), `YYYY-MM-DD`; of what is no time, its first ten characters."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(time), "yyyy-MM-dd"), F.substring(time, 1, 10))
+
+
 def week_start(day: Column) -> Column:
     """The Monday of a day's week."""
     return F.to_date(F.date_trunc("WEEK", day))
@@ -132,6 +143,19 @@ def end_of(time: Column) -> Column:
     return F.when(F.char_length(time) == 4, F.concat(time, F.lit("-12-31"))).when(F.char_length(time) == 7, F.concat(time, F.lit("-31"))).otherwise(time)
 
 
+def is_valid_time(time: Column) -> Column:
+    """Whether a text is a year, a month or a day that the calendar has."""
+    day = F.when(F.char_length(time) == 10, time).when(F.char_length(time) == 7, F.concat(time, F.lit("-01"))).otherwise(F.concat(time, F.lit("-01-01")))
+    # the calendar of try_to_timestamp has no year 0, which has leap days like the year 4
+    known = F.concat(F.regexp_replace(F.substring(day, 1, 4), "^0000$", "0004"), F.substring(day, 5, 6))
+    return time.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?\z") & F.try_to_timestamp(known, F.lit("yyyy-MM-dd")).isNotNull()
+
+
+def overlaps(time: Column, first: Column, last: Column) -> Column:
+    """Whether a time meets a range of times; an end that is null is open."""
+    return (first.isNull() | (end_of(time) >= start_of(first))) & (last.isNull() | (start_of(time) <= end_of(last)))
+
+
 def cited_ids(line: Column) -> Column:
     """Ids of every bracket group: its comma-separated parts that begin with #."""
     groups = F.regexp_extract_all(line, F.lit(r"\[([^\[\]]*)\]"), 1)

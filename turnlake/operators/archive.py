@@ -83,22 +83,43 @@ def prune_counts(ex: DataFrame, projects: DataFrame) -> DataFrame:
     return own.agg(F.count(F.lit(1)).alias("exchanges"), F.coalesce(F.sum(F.char_length(text)), F.lit(0)).alias("chars_freed"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes_freed"))
 
 
-def newest_attempt(attempts: DataFrame) -> DataFrame:
-    """The largest id for each (task, run, snapshot) among graded attempts."""
-    return attempts.filter("passed IS NOT NULL").groupBy("task_id", "run_id", "snapshot_id").agg(
-        F.max("id").alias("id"), F.max_by("passed", "id").alias("passed"), F.max_by("turns", "id").alias("turns"))
+def newest_attempt(attempts: DataFrame, by: tuple[str, ...] = ("task_id", "run_id", "snapshot_id")) -> DataFrame:
+    """The largest id for each (task, run, snapshot), or other keys, among graded attempts, with its usd where there is one."""
+    more = [F.max_by("usd", "id").alias("usd")] if "usd" in attempts.columns else []
+    return attempts.filter("passed IS NOT NULL").groupBy(*by).agg(F.max("id").alias("id"), F.max_by("passed", "id").alias("passed"), F.max_by("turns", "id").alias("turns"), *more)
 
 
-def pass_rate(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Newest attempts, over all tasks and by kind and tier, for each run and snapshot."""
-    rows = newest_attempt(attempts).join(tasks, "task_id")
+#: The tasks that tell a difference.
+SIGNAL_KINDS, SIGNAL_TIERS = ("locate", "when", "multi"), (2, 3)
+
+
+def pass_rate(tasks: DataFrame, attempts: DataFrame, split: str | None = None, signal_only: bool = False) -> DataFrame:
+    """Newest attempts, over all tasks and by kind and tier, for each run and snapshot.
+
+    Tasks whose `status` is not ok don't count, nor those of another `split`, nor, with `signal_only`, those of other kinds and tiers.
+    """
+    if "status" in tasks.columns:
+        tasks = tasks.filter("status = 'ok'")
+    if split is not None:
+        tasks = tasks.filter(F.col("split") == split)
+    if signal_only:
+        tasks = tasks.filter(F.col("kind").isin(*SIGNAL_KINDS) & F.col("tier").isin(*SIGNAL_TIERS))
+    rows = newest_attempt(attempts).join(tasks.select("task_id", "kind", "tier"), "task_id")
+    more = [F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6).alias("usd")] if "usd" in attempts.columns else []
     return rows.groupingSets([["run_id", "snapshot_id"], ["run_id", "snapshot_id", "kind", "tier"]], "run_id", "snapshot_id", "kind", "tier").agg(
-        F.sum(F.col("passed").cast("long")).alias("passed"), F.count(F.lit(1)).alias("total"), F.round(F.coalesce(F.avg("turns"), F.lit(0.0)), 6).alias("mean_turns"))
+        F.sum(F.col("passed").cast("long")).alias("passed"), F.count(F.lit(1)).alias("total"), F.round(F.coalesce(F.avg("turns"), F.lit(0.0)), 6).alias("mean_turns"), *more)
 
 
-def failing_tasks(attempts: DataFrame) -> DataFrame:
-    """Tasks whose newest attempt in a snapshot failed."""
-    return newest_attempt(attempts).filter("NOT passed").select("task_id", "run_id", "snapshot_id")
+def failing_tasks(attempts: DataFrame, across_runs: bool = False) -> DataFrame:
+    """Tasks whose newest attempt in a snapshot failed, in each run or across all runs."""
+    by = ("task_id", "snapshot_id") if across_runs else ("task_id", "run_id", "snapshot_id")
+    return newest_attempt(attempts, by).filter("NOT passed").select(*by)
+
+
+def post_leaf_passed(attempts: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row, passed: how many of the tasks (task_id) pass by their newest graded attempt in any of the runs (run_id)."""
+    own = attempts.join(runs.select("run_id").distinct(), "run_id", "left_semi").join(tasks.select("task_id").distinct(), "task_id", "left_semi")
+    return newest_attempt(own, ("task_id",)).agg(F.count_if("passed").alias("passed"))
 
 
 def latest_version(entries: DataFrame) -> DataFrame:
@@ -118,11 +139,19 @@ def activate(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(won, key, "left").select("id", F.when(F.col("id") == F.col("winner"), "active").when(F.col("winner").isNotNull() & (F.col("status") == "active"), "superseded").otherwise(F.col("status")).alias("status"))
 
 
-def list_active(entries: DataFrame, kinds: list[str]) -> DataFrame:
-    """E9, with Q8's order as a column: instructions, skills, reflections, then project and slug."""
+def list_active(entries: DataFrame, kinds: list[str], project: str | None = None) -> DataFrame:
+    """E9, with Q8's order as a column: instructions, skills, reflections, then project and slug.
+
+    With a project, its own rows and behind them those of `*`. Superseded rows don't count where `superseded_by` is told.
+    """
     rank = F.when(F.col("kind") == "instruction", 0).when(F.col("kind") == "skill", 1).when(F.col("kind") == "reflection", 2).otherwise(3)
     own = entries.filter((F.col("status") == "active") & F.col("kind").isin(kinds))
-    return own.select("id", "kind", "project", "slug", rank.alias("kind_order"))
+    if "superseded_by" in entries.columns:
+        own = own.filter("superseded_by IS NULL")
+    if project is None:
+        return own.select("id", "kind", "project", "slug", rank.alias("kind_order"))
+    own = own.filter(F.col("project").isin(project, "*")).withColumns({"kind_order": rank, "shared": (F.col("project") == "*").cast("int")})
+    return own.orderBy("shared", "kind_order", "project", "slug", "id").select("id", "kind", "project", "slug", "kind_order", "shared")
 
 
 def stale_vectors(ex: DataFrame, vectors: DataFrame, version: int) -> DataFrame:

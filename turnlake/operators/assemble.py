@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +46,11 @@ def truncate_for_index(text: Column, cap: int = CAP) -> Column:
     return F.when((F.char_length(text) > cap) & ~text.contains(NOTICE), cut).otherwise(text)
 
 
-def embedding_text(user: Column, assistant: Column, cap: int = 2000) -> Column:
-    """A9 without tools: what an embedder reads of an exchange."""
-    return F.substring(F.concat(F.lit("User: "), user, F.lit("\n\nAssistant: "), assistant), 1, cap)
+def embedding_text(user: Column, assistant: Column, cap: int = 2000, tools: Column | None = None, message_cap: int = 0, redact: Callable[[Column], Column] = lambda t: t) -> Column:
+    """What an embedder reads of an exchange: both messages, redacted and then cut (A8), and the names of its tools, if any."""
+    said = lambda t: truncate_for_index(redact(t), message_cap)
+    listed = F.lit("") if tools is None else F.when(F.size(tools) > 0, F.concat(F.lit("\n\nTools: "), F.array_join(tools, ", "))).otherwise("")
+    return F.substring(F.concat(F.lit("User: "), said(user), F.lit("\n\nAssistant: "), said(assistant), listed), 1, cap)
 
 
 def filter_incremental(exchanges: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -43,9 +43,14 @@ def remove_derived(entries: DataFrame, removed: DataFrame) -> DataFrame:
         "id", "text", F.when(F.col("alive"), F.col("superseded_by")).alias("superseded_by"))
 
 
-def verify_index(manifest: DataFrame, ex: DataFrame, summaries: DataFrame, marked: DataFrame) -> DataFrame:
+def verify_index(manifest: DataFrame, ex: DataFrame, summaries: DataFrame, marked: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
     """Path, issue. Files without a summary are missing, then those changed since are outdated; rows without a file,
-    or of a marked one, are orphaned. manifest (path, mtime), ex (path, last_indexed), summaries and marked (path)."""
+    or of a marked one, are orphaned; files that nobody can read are corrupted and nothing else, and their rows stay.
+    manifest (path, mtime), ex (path, last_indexed), summaries, marked and unreadable (path)."""
+    if unreadable is not None:
+        bad = manifest.join(unreadable.select("path").distinct(), "path", "left_semi").select("path", F.lit("corrupted").alias("issue"))
+        good = verify_index(manifest.join(bad, "path", "left_anti"), ex.join(bad, "path", "left_anti"), summaries, marked)
+        return good.unionByName(bad)
     newest = ex.groupBy("path").agg(F.max("last_indexed").alias("last"))
     files = manifest.join(marked, "path", "left_anti")
     checked = files.join(summaries.select("path", F.lit(True).alias("has")), "path", "left").join(newest, "path", "left")
@@ -79,8 +84,34 @@ def merge_check(before: DataFrame, now: DataFrame) -> DataFrame:
     return n.join(b, "task_id", "left_semi")
 
 
-def split_failures(failures: DataFrame, leaf_max: int) -> DataFrame:
-    """Failures counted by project, and by category too where a project has more than leaf_max."""
+def merge_evidence(before: DataFrame, after: DataFrame) -> DataFrame:
+    """run_id, the record of a check: tasks graded, of those passed before, passed and graded after, regressions, mean turns and usd.
+
+    before (run_id, task_id) passed; after (run_id, id, task_id, passed: null if not graded, turns, usd) are all attempts of
+    the check. A task's last attempt counts, turns and usd of all.
+    """
+    key = ["run_id", "task_id"]
+    tasks = after.groupBy(*key).agg(F.max_by("passed", "id").alias("ok"), F.sum("turns").alias("turns"), F.count("turns").alias("n"), F.sum("usd").alias("usd"))
+    was = before.select(*key).distinct().withColumn("was", F.lit(True))
+    ok, held = F.coalesce("ok", F.lit(False)), F.coalesce("was", F.lit(False))
+    return tasks.join(was, key, "left").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("sample"), F.count_if(held).alias("passed_before"), F.count_if(ok).alias("passed_after"), F.count_if(held & ~ok).alias("regressions"),
+        F.count_if(F.col("ok").isNotNull()).alias("graded_after"), F.round(F.sum("turns") / F.sum("n"), 6).alias("mean_turns_after"), F.round(F.coalesce(F.sum("usd"), F.lit(0.0)), 6).alias("usd_after"))
+
+
+def split_failures(failures: DataFrame, leaf_max: int, assignment: DataFrame | None = None) -> DataFrame:
+    """Failures counted by project, and by category too where a project has more than leaf_max.
+
+    With an assignment (task_id, category) the categories are its, if it is a partition of the failed tasks: each once,
+    and no other. If it isn't, projects stay whole.
+    """
+    if assignment is not None:
+        tasks = failures.select("task_id").distinct()
+        named = assignment.groupBy("task_id").agg(F.count(F.lit(1)).alias("times"), F.first("category").alias("category"))
+        both = tasks.withColumn("failed", F.lit(True)).join(named, "task_id", "full")
+        fits = both.agg(F.coalesce(F.bool_and(F.col("failed").isNotNull() & F.col("times").eqNullSafe(F.lit(1))), F.lit(True)).alias("fits"))
+        own = failures.drop("category").join(named.select("task_id", "category"), "task_id", "left")
+        failures = own.crossJoin(F.broadcast(fits)).withColumn("category", F.when(F.col("fits"), F.col("category")))
     leaves = failures.groupBy("project", "category").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("project"))
     named = leaves.withColumn("leaf", F.when(total > leaf_max, F.col("category")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from turnlake.functions.text import matches
+from turnlake.functions.text import matches, slug
 from turnlake.operators.learning import redact_secrets
 
 #: Rules of the screen, in order; the first that a text trips is its reason.
@@ -59,6 +59,11 @@ def normalize_for_screen(text: Column) -> Column:
     return F.regexp_replace(plain, CONTROL, "")
 
 
+def reflection_slug(text: Column) -> Column:
+    """The compatibility form in lower case, other characters as dashes, at most 48."""
+    return slug(compatible(text))
+
+
 def screen_text(text: Column, instruction_body: bool = False, allowed: tuple[str, ...] = ("skills tool", "digest tool", "search tool", "read tool"), own_prefix: str = "own-") -> Column:
     """The reason why a text must not be learned, null for good, blank and null ones.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import l2_to_cosine
@@ -40,6 +40,13 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(total)).otherwise(width.cast("double"))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """The SQL function vec_distance_l2(a, b) of the session, an expression as l2_distance()."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION vec_distance_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE DETERMINISTIC
+      RETURN CASE WHEN size(a) = size(b) THEN sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0.0D, (s, x) -> s + x))
+                  WHEN size(a) <> size(b) THEN CAST(raise_error('vectors of unequal width') AS DOUBLE) END""")
+
+
 #: Queries that are broadcast at most; more are dealt out in blocks, and vectors in so many parts.
 QUERY_BLOCK, PARTS = 2000, 64
 

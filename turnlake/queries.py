@@ -431,7 +431,7 @@ def t6_topic_timeline(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from turnlake import learned_queries, learning_queries, prompt_queries, review_queries, screen_queries, source_queries, state_queries, stream_queries, topic_queries  # noqa: F401  register their queries here
+    from turnlake import learned_queries, learning_queries, more_queries, prompt_queries, review_queries, screen_queries, source_queries, state_queries, stream_queries, topic_queries  # noqa: F401  register their queries here
 
     return QUERIES
 
