@@ -178,7 +178,9 @@ def j3_text_search_contains(spark, d):
       FROM v_vectors v, v_queries WHERE v.id % 7 = query_id % 7) WHERE rank <= 8) GROUP BY 1, 2)) WHERE rank <= 8""")
 def j4_hybrid_search(spark, d):
     q, v = V.vector_queries(spark, d), V.vectors(spark, d)
-    text = S.top_k(v.join(F.broadcast(q.select("query_id")), F.col("id") % 7 == F.col("query_id") % 7), ["query_id"], [F.desc("id")], 8)
+    # the newest of each class once, then those of a query's class
+    newest = S.top_k(v.select("id", (F.col("id") % 7).alias("class")), ["class"], [F.desc("id")], 8)
+    text = q.select("query_id", (F.col("query_id") % 7).alias("class")).join(newest, "class").drop("class")
     return S.hybrid_search(S.knn_search(q, v, 8), text, 8)
 
 
@@ -402,11 +404,11 @@ def x19_slug(spark, d):
     return V.table(spark, d, "part").select("p_partkey", T.slug(F.concat("p_name", F.lit("! "), "p_type")).alias("slug"))
 
 
-@query("""SELECT query_id, v.id, round(greatest(-1, least(1, 1 - round(list_distance(embedding, query), 6) ** 2 / 2)), 6) AS similarity FROM v_vectors v, v_queries""")
+@query("""SELECT query_id, id, round(greatest(-1, least(1, 1 - round(d, 6) ** 2 / 2)), 6) AS similarity FROM (SELECT query_id, v.id, list_distance(embedding, query) AS d,
+  row_number() OVER (PARTITION BY query_id ORDER BY list_distance(embedding, query), v.id) AS rank FROM v_vectors v, v_queries) WHERE rank <= 100""")
 def f7_l2_to_cosine(spark, d):
-    one = V.vector_queries(spark, d)
-    both = V.vectors(spark, d).crossJoin(F.broadcast(one))
-    return both.select("query_id", "id", F.round(T.l2_to_cosine(F.round(S.l2_distance(F.col("embedding"), F.col("query")), 6)), 6).alias("similarity"))
+    near = S.knn_search(V.vector_queries(spark, d), V.vectors(spark, d), 100)
+    return near.select("query_id", "id", F.round(T.l2_to_cosine(F.col("distance")), 6).alias("similarity"))
 
 
 @query(f"""SELECT DISTINCT 'session' AS tier, project, start_ts AS period_start FROM (SELECT project, session_id, min(ts_raw) AS start_ts FROM v_exchanges GROUP BY 1, 2)
