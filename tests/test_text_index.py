@@ -33,7 +33,7 @@ def postings(spark):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("quick fox", [4, 2, 1]), ("quick_fox", [4, 1]), ("fox a_b", [4, 1]), ("JUMPS", [3, 2, 1]), ("creme BRULEE", [3]), ("creme_brulee", [3]), ("a b", [4, 2, 1]), ("b_a", [2]), ("quick_quick", [4]),
-    ("quick_quick_quick", []), ("fox unknown", []), ("?! ...", []), ("", []), ("__", []), ("fox fox fox", [4, 2, 1])])
+    ("quick_quick_quick", []), ("fox unknown", []), ("?! ...", []), ("", []), ("__", []), ("fox fox fox", [4, 2, 1]), ("Creme\u0301 \u0301", [3])])
 def test_phrases(spark, postings, text, want):
     asked = spark.createDataFrame([(7, text)], "query_id int, text string")
     got = sorted((r["rank"], r["id"]) for r in I.text_search(asked, postings, "id", 10).collect())

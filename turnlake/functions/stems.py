@@ -9,7 +9,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -50,9 +49,14 @@ def _marks() -> tuple[str, str]:
 MARKED, PLAIN = _marks()
 
 
-def folded(text: Column) -> Column:
-    """Lower case, without diacritics: single letters with one mark, and marks of their own."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}", "")
+TABLE = str.maketrans(MARKED, PLAIN)
+
+
+def fold(word: str) -> str:
+    """A word without diacritics: letters with one mark become plain ones, and marks of their own go."""
+    if word.isascii():
+        return word
+    return "".join(c for c in word.translate(TABLE) if unicodedata.category(c) != "Mn")
 
 
 def _compiled(rule):
@@ -73,7 +77,8 @@ def _compiled_steps():
 
 @lru_cache(REMEMBERED)
 def stem(word: str) -> str:
-    """The stem of a lower-case word; words under SHORTEST or over LONGEST letters stay."""
+    """The stem of a lower-case word without its diacritics; words under SHORTEST or over LONGEST letters are only folded."""
+    word = fold(word)
     if not SHORTEST <= len(word) <= LONGEST:
         return word
     word = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
@@ -89,17 +94,21 @@ def stem(word: str) -> str:
 
 @F.arrow_udf(ArrayType(StringType()))
 def stems(words: pa.Array) -> pa.Array:
-    """The stem of each word of an array; a batch's distinct words are taken once."""
+    """The stem of each word of an array, without words of which nothing is left; a batch's distinct words are taken once."""
     flat = words.flatten().dictionary_encode()
-    known = pa.array([stem(w) if w is not None else None for w in flat.dictionary.to_pylist()], pa.string())
+    known = [stem(w) for w in flat.dictionary.to_pylist()]
     counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    begin, of = np.concatenate([[0], np.cumsum(counts)]), flat.indices.to_numpy(zero_copy_only=False)
+    some = np.array([w != "" for w in known], bool)
+    if not some.all():
+        kept = some[of]
+        begin, of = np.concatenate([[0], np.cumsum(kept)])[begin], of[kept]
     none = np.append(words.is_null().to_numpy(zero_copy_only=False), False)
-    return pa.ListArray.from_arrays(pa.array(begin, mask=none), pc.take(known, flat.indices))
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32), mask=none), pc.take(pa.array(known, pa.string()), pa.array(of)))
 
 
 def stems_sql(words: str) -> str:
-    """stems() of a list, in DuckDB's SQL."""
+    """stems() of a list of folded words, in DuckDB's SQL."""
     def holds(rule, stem: str) -> str:
         if isinstance(rule, str):
             return f"regexp_matches({stem}, '{rule}')"

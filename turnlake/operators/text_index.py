@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.stems import folded, stems
+from turnlake.functions.stems import stems
 from turnlake.operators.search import top_k
 
 #: Distinct terms of a query table that are broadcast at most.
@@ -21,14 +21,23 @@ def tokens(text: Column) -> Column:
 
 def analysed(text: Column) -> Column:
     """Terms of J2: runs of letters and digits in lower case, without diacritics, as stems."""
-    return stems(F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    return stems(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{Mn}]+)"), 1))
+
+
+def analysed_texts(docs: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column] = tokens) -> DataFrame:
+    """key, field, terms: the array of terms of each field's text, in order; about as large as the texts."""
+    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x"))
+    return each.select(key, "x.field", terms(F.col("x.text")).alias("terms"))
+
+
+def postings_of(texts: DataFrame, key: str) -> DataFrame:
+    """One row a token occurrence of analysed texts: key, field, pos, term."""
+    return texts.select(key, "field", F.posexplode("terms").alias("pos", "term"))
 
 
 def build_postings(docs: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column] = tokens) -> DataFrame:
     """One row a token occurrence: key, field, pos, term; `terms` cuts a text into its array of terms."""
-    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x"))
-    rows = each.select(key, "x.field", F.posexplode(terms(F.col("x.text"))).alias("pos", "term"))
-    return rows
+    return postings_of(analysed_texts(docs, key, fields, terms), key)
 
 
 def save_postings(postings: DataFrame, table: str, buckets: int) -> DataFrame:
