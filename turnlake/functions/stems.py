@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 V, C = "[aeiouy]", "[^aeiouy]"
 #: What the rules of the Porter stemmer ask of the part before a suffix. A consonant y is written Y.
@@ -37,6 +37,9 @@ STEPS = (
 SHORTEST, LONGEST = 3, 64
 #: Words of at most LONGEST letters whose stems a worker remembers.
 REMEMBERED = 1 << 16
+#: Letters of text whose terms are held at once.
+TOGETHER = 1 << 20
+WORD = regex.compile(r"[\p{L}\p{N}\p{Mn}]+")
 
 
 def _marks() -> tuple[str, str]:
@@ -92,23 +95,35 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def stems(words: pa.Array) -> pa.Array:
-    """The stem of each word of an array, without words of which nothing is left; a batch's distinct words are taken once."""
-    flat = words.flatten().dictionary_encode()
-    known = [stem(w) for w in flat.dictionary.to_pylist()]
-    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    begin, of = np.concatenate([[0], np.cumsum(counts)]), flat.indices.to_numpy(zero_copy_only=False)
-    some = np.array([w != "" for w in known], bool)
-    if not some.all():
-        kept = some[of]
-        begin, of = np.concatenate([[0], np.cumsum(kept)])[begin], of[kept]
-    none = np.append(words.is_null().to_numpy(zero_copy_only=False), False)
-    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32), mask=none), pc.take(pa.array(known, pa.string()), pa.array(of)))
+def terms(text: str | None) -> list[str]:
+    """The terms of a text in order: runs of letters and digits in lower case, without diacritics, as stems."""
+    return [s for w in WORD.findall(text.lower()) if (s := stem(w))] if text else []
+
+
+def with_terms(df: DataFrame, text: str) -> DataFrame:
+    """df with the terms of its column `text` in that one's place, in an array `terms`."""
+    others = [f for f in df.schema.fields if f.name != text]
+    schema = StructType([*others, StructField("terms", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = batch.column(len(others)), 0
+            while at < batch.num_rows:
+                found, size, to = [], 0, at
+                # some texts at a time, or one that is longer
+                while to < batch.num_rows and (size < TOGETHER or to == at):
+                    t = texts[to].as_py()
+                    found.append(terms(t))
+                    size += len(t or "")
+                    to += 1
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(len(others))), pa.array(found, pa.list_(pa.string()))], names=[f.name for f in schema.fields])
+                at = to
+
+    return df.select(*[f.name for f in others], text).mapInArrow(run, schema)
 
 
 def stems_sql(words: str) -> str:
-    """stems() of a list of folded words, in DuckDB's SQL."""
+    """stem() of each word of a list of folded ones, in DuckDB's SQL."""
     def holds(rule, stem: str) -> str:
         if isinstance(rule, str):
             return f"regexp_matches({stem}, '{rule}')"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.stems import stems
+from turnlake.functions.stems import with_terms
 from turnlake.operators.search import top_k
 
 #: Distinct terms of a query table that are broadcast at most.
@@ -19,15 +17,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def analysed(text: Column) -> Column:
-    """Terms of J2: runs of letters and digits in lower case, without diacritics, as stems."""
-    return stems(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}\p{Mn}]+)"), 1))
+def texts_of(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, field, text of each field; null texts are empty."""
+    return docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x")).select(key, "x.field", "x.text")
 
 
-def analysed_texts(docs: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column] = tokens) -> DataFrame:
-    """key, field, terms: the array of terms of each field's text, in order; about as large as the texts."""
-    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f in fields])).alias("x"))
-    return each.select(key, "x.field", terms(F.col("x.text")).alias("terms"))
+def analysed_texts(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, field, terms: the stems of each field's text in order, about as large as the texts; what an index of J2 is made of."""
+    return with_terms(texts_of(docs, key, fields), "text")
 
 
 def postings_of(texts: DataFrame, key: str) -> DataFrame:
@@ -35,9 +32,9 @@ def postings_of(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, "field", F.posexplode("terms").alias("pos", "term"))
 
 
-def build_postings(docs: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column] = tokens) -> DataFrame:
-    """One row a token occurrence: key, field, pos, term; `terms` cuts a text into its array of terms."""
-    return postings_of(analysed_texts(docs, key, fields, terms), key)
+def build_postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row a token occurrence, as it stands in lower case: key, field, pos, term."""
+    return postings_of(texts_of(docs, key, fields).select(key, "field", tokens(F.col("text")).alias("terms")), key)
 
 
 def save_postings(postings: DataFrame, table: str, buckets: int) -> DataFrame:
@@ -46,31 +43,37 @@ def save_postings(postings: DataFrame, table: str, buckets: int) -> DataFrame:
     return postings.sparkSession.table(table)
 
 
-def query_phrases(queries: DataFrame, terms: Callable[[Column], Column] = analysed) -> DataFrame:
+def query_phrases(queries: DataFrame) -> DataFrame:
     """query_id, phrase, offset, term, size, phrases of queries (query_id, text): each run of letters, digits and _ is a phrase.
 
     A run of several terms, as `a_b`, is a phrase of its parts; a run without any is left out, and so is a query without words.
     """
     runs = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), 1))).alias("run"))
-    cut = runs.select("query_id", terms(F.col("run")).alias("p")).filter(F.size("p") > 0)
+    cut = with_terms(runs, "run").withColumnRenamed("terms", "p").filter(F.size("p") > 0)
     each = cut.groupBy("query_id").agg(F.array_sort(F.collect_set("p")).alias("ps")).select("query_id", F.size("ps").alias("phrases"), F.posexplode("ps").alias("phrase", "p"))
     return each.select("query_id", "phrases", "phrase", F.size("p").alias("size"), F.posexplode("p").alias("offset", "term"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, n_terms of queries (query_id, text)."""
+    found = F.array_distinct(tokens(F.col("text")))
+    return queries.select("query_id", F.explode(found).alias("term"), F.size(found).alias("n_terms"))
+
+
 def _wanted(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of the queries' terms; the terms are broadcast up to TERM_LIMIT, so frequent terms aren't shuffled."""
     few = terms.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
     return postings.join(F.broadcast(terms) if few else terms, "term")
 
 
-def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int, terms: Callable[[Column], Column] = analysed, newest: DataFrame | None = None) -> DataFrame:
+def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int, newest: DataFrame | None = None) -> DataFrame:
     """Documents that hold each phrase of a query in some field, the newest first.
 
     Phrases may lie in different fields; one of several terms needs them side by side, so positions less offsets meet.
     `newest` (key, newest) restricts and orders the documents; without it larger keys are newer. Only documents with the
     query's rarest term are looked at further, so a frequent term costs its postings once and no more.
     """
-    asked = query_phrases(queries, terms)
+    asked = query_phrases(queries)
     counts = _wanted(postings.select("term"), asked.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
     pairs = _wanted(postings.select("term", key), rarest).select("query_id", key).distinct()

@@ -210,7 +210,7 @@ FOUND = """SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_numb
 def terms_index(spark, d):
     """Postings of texts that are analysed and written once: a search reads them three times."""
     path = f"{streams.shared_root(spark)}/terms-{uuid.uuid4().hex}"
-    texts = I.analysed_texts(V.table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], I.analysed)
+    texts = I.analysed_texts(V.table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"])
     texts.write.option("compression", "zstd").parquet(path)
     return I.postings_of(spark.read.schema(texts.schema).parquet(path), "doc_id")
 
