@@ -71,13 +71,15 @@ def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int, newes
 
     Phrases may lie in different fields; one of several terms needs them side by side, so positions less offsets meet.
     `newest` (key, newest) restricts and orders the documents; without it larger keys are newer. Only documents with the
-    query's rarest term are looked at further, so a frequent term costs its postings once and no more.
+    query's rarest term are looked at further, and a frequent term costs no row for each query that has it.
     """
     asked = query_phrases(queries)
     counts = _wanted(postings.select("term"), asked.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    pairs = _wanted(postings.select("term", key), rarest).select("query_id", key).distinct()
-    met = _wanted(postings, asked).join(pairs, ["query_id", key], "left_semi")
+    # a frequent term is in many queries, so documents are chosen before their postings meet queries
+    pairs = _wanted(postings.select("term", key), rarest).select("query_id", key).distinct().persist()
+    few = pairs.limit(TERM_LIMIT + 1).count() <= TERM_LIMIT
+    met = postings.join(F.broadcast(pairs) if few else pairs, key).join(asked, ["query_id", "term"])
     starts = met.groupBy("query_id", key, "phrases", "phrase", "size", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("here"))
     hits = starts.filter("here = size").groupBy("query_id", key, "phrases").agg(F.count_distinct("phrase").alias("found")).filter("found = phrases")
     if newest is None:
