@@ -44,3 +44,24 @@ def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     for i, c in enumerate(by):
         same = same & rows[c].eqNullSafe(F.col(f"_by{i}"))
     return rows.join(groups, same).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias("rank"), "size")
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[Column], value: str) -> DataFrame:
+    """df with `total`: the sum of `value` over the rows of a group up to this one, in a total order.
+
+    Rows are sorted over ranges of (group, order) that are written once; a range's rows are summed in its task, and what
+    the group's ranges before hold, a row each, is added.
+    """
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/running-{uuid.uuid4().hex}"
+    placed = df.repartitionByRange(*[F.asc_nulls_first(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    own = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_part").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(own), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_of"), "_before")
+    same = rows["_part"] == parts["_of"]
+    for i, c in enumerate(by):
+        same = same & rows[c].eqNullSafe(parts[f"_by{i}"])
+    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(parts, same).withColumn("total", F.coalesce(F.sum(value).over(within), F.lit(0)) + F.col("_before")).select(*df.columns, "total")

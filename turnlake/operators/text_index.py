@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.stems import with_terms
+from turnlake.functions.text import cited_ids
 from turnlake.operators.search import top_k
 
 #: Distinct terms of a query table that are broadcast at most.
@@ -87,8 +88,8 @@ def text_search(queries: DataFrame, postings: DataFrame, key: str, k: int, newes
     return top_k(hits.join(newest.select(key, "newest"), key), ["query_id"], [F.desc("newest"), F.desc(key)], k).select("query_id", key, "rank")
 
 
-def bm25_search(queries: DataFrame, postings: DataFrame, key: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Documents that hold all terms of a query, by BM25 and then key. Counts are over all documents."""
+def bm25_scores(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, key, score: BM25 of the documents that hold all terms of a query. Counts are over all documents."""
     lengths = postings.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
     whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean"))
     tf = _wanted(postings, query_terms(queries)).groupBy("query_id", key, "term", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
@@ -97,4 +98,26 @@ def bm25_search(queries: DataFrame, postings: DataFrame, key: str, k: int, k1: f
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = one.withColumn("part", part).groupBy("query_id", key, "n_terms").agg(F.count(F.lit(1)).alias("found"), F.round(F.sum("part"), 6).alias("score"))
-    return top_k(scored.filter("found = n_terms"), ["query_id"], [F.desc("score"), F.col(key)], k).select("query_id", key, "score", "rank")
+    return scored.filter("found = n_terms").select("query_id", key, "score")
+
+
+def bm25_search(queries: DataFrame, postings: DataFrame, key: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The best k documents a query by BM25 and then key."""
+    return top_k(bm25_scores(queries, postings, key, k1, b), ["query_id"], [F.desc("score"), F.col(key)], k).select("query_id", key, "score", "rank")
+
+
+def search_digest(queries: DataFrame, entries: DataFrame, hidden: DataFrame, k: int) -> DataFrame:
+    """query_id, id, text, rank of the best k active entries (id, project, text, superseded_by) for queries (query_id, text, project).
+
+    A query without a project asks all. Lines that cite one of `hidden` (id) go, and entries that then say nothing, behind
+    the limit: ranks are those before. Counts are over all entries, the superseded ones too. Null texts match nothing.
+    """
+    postings = build_postings(entries, "id", ["text"])
+    told = bm25_scores(queries, postings, "id").join(entries.filter("superseded_by IS NULL").select("id", "project"), "id")
+    told = told.join(queries.select("query_id", F.col("project").alias("_asked")), "query_id").filter("_asked IS NULL OR _asked = project")
+    best = top_k(told, ["query_id"], [F.desc("score"), F.col("id")], k).select("query_id", "id", "rank")
+    # an entry is looked at once, however many queries found it
+    lines = best.select("id").distinct().join(entries.select("id", "text"), "id").select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    cited = lines.select("id", "at", F.explode(cited_ids(F.col("line"))).alias("cited")).join(hidden.select(F.col("id").alias("cited")).distinct(), "cited", "left_semi")
+    seen = lines.join(cited, ["id", "at"], "left_anti").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return best.join(seen.filter(F.col("text").rlike(r"\S")), "id").select("query_id", "id", "text", "rank")

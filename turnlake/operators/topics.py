@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnlake.functions.text import overlaps, start_of
+from turnlake.operators.ranking import running_sums
+from turnlake.operators.search import top_k
 from turnlake.streaming.streams import shared_root
 
 #: The shapes of Markdown lines.
@@ -41,10 +44,11 @@ def fence_mask(lines: Column) -> Column:
 
 
 def topic_lines(docs: DataFrame) -> DataFrame:
-    """slug, line_no, line, fenced for each line of documents (slug, text); null texts are empty."""
-    lines = docs.select("slug", F.split(F.coalesce("text", F.lit("")), r"\r?\n").alias("ls"))
-    both = F.arrays_zip(F.col("ls").alias("line"), fence_mask(F.col("ls")).alias("fenced"))
-    return lines.select("slug", F.posexplode(both).alias("line_no", "x")).select("slug", "line_no", "x.line", "x.fenced")
+    """slug, line_no, line, fenced, ending for each line of documents (slug, text); null texts are empty, the last line has no ending."""
+    text, newline = F.coalesce("text", F.lit("")), r"\r?\n"
+    lines = docs.select("slug", F.split(text, newline).alias("ls"), F.regexp_extract_all(text, F.lit(newline), 0).alias("ends"))
+    both = F.arrays_zip(F.col("ls").alias("line"), fence_mask(F.col("ls")).alias("fenced"), F.col("ends").alias("ending"))
+    return lines.select("slug", F.posexplode(both).alias("line_no", "x")).select("slug", "line_no", "x.line", "x.fenced", F.coalesce("x.ending", F.lit("")).alias("ending"))
 
 
 def heading_path(lines: DataFrame) -> DataFrame:
@@ -182,46 +186,6 @@ def footnote_statements(units: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key, F.col("p.label").alias("label")).agg(F.min_by(said, "i").alias("statement"))
 
 
-def rewrite_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """T4: slug, text with the bare numbers in the Sources of definitions as #id where `marks` (slug, mark, id) knows them; fences stay."""
-    known = marks.groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct(F.col("mark").cast("string"), "id"))).alias("known"))
-    lines = topic_lines(docs).join(known, "slug", "left")
-    shape = r"^(\[\^[^\]\s]+\]:\s*Time:\s*[^;]*;\s*Sources:\s*)(.*?)(\s*)$"
-    part = lambda s: F.coalesce(F.concat(F.lit("#"), F.try_element_at("known", F.trim(s))), F.trim(s))
-    line = F.when(~F.col("fenced") & F.col("line").rlike(shape), F.concat(
-        F.regexp_extract("line", shape, 1), F.array_join(F.transform(F.split(F.regexp_extract("line", shape, 2), ","), part), ", "), F.regexp_extract("line", shape, 3))).otherwise(F.col("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", line.alias("line"))))
-    return lines.groupBy("slug").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-
-
-def validate_topic_edit(before: DataFrame, after: DataFrame, ex: DataFrame, most: int = 20_000) -> DataFrame:
-    """T5: slug, error for documents (slug, text) after an edit: bad and repeated slugs, titles, labels, times, sources, links and sizes.
-
-    Checks of one document each are filters; sources, links and citations that got lost are anti-joins.
-    """
-    told = heading_path(topic_lines(after))
-    slugs = after.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("text")).alias("size"))
-    titles = told.groupBy("slug").agg(F.count_if(F.col("heading") == 1).alias("h1"), F.min(F.when(F.trim("line") != "", F.struct("line_no", F.coalesce(F.col("heading") == 1, F.lit(False)).alias("first")))).alias("top"))
-    defined, old = topic_definitions(after), topic_definitions(before)
-    used = topic_units(after).select("slug", F.explode(F.regexp_extract_all("text", F.lit(REFERENCE), 1)).alias("label")).distinct()
-    cited = lambda d: d.select("slug", F.explode("sources").alias("source")).filter("source LIKE '#%'").select("slug", F.substring("source", 2, 1_000).alias("id")).distinct()
-    links = topic_units(after).select("slug", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([A-Za-z0-9-]+)\.md(?:#[^)]*)?\)"), 1)).alias("to")).distinct()
-    error = lambda df, name: df.select("slug", F.lit(name).alias("error"))
-    found = [
-        error(slugs.filter("NOT slug RLIKE '^[a-z0-9]+(-[a-z0-9]+)*$'"), "bad slug"), error(slugs.filter("n > 1"), "repeated slug"), error(slugs.filter(F.col("size") > most), "too long"),
-        error(titles.filter("h1 <> 1 OR NOT coalesce(top.first, false)"), "no single title first"), error(defined.filter("malformed"), "malformed definition"), error(defined.filter("repeated"), "repeated label"),
-        error(defined.filter(r"NOT malformed AND NOT time RLIKE '^\\d{4}(-\\d{2}(-\\d{2})?)?$'"), "bad time"),
-        error(used.join(defined, ["slug", "label"], "left_anti"), "undefined label"), error(defined.join(used, ["slug", "label"], "left_anti"), "unused label"),
-        error(cited(defined).join(ex.select("id"), "id", "left_anti"), "unknown source"), error(links.join(after.select(F.col("slug").alias("to")), "to", "left_anti"), "broken link"),
-        # a citation may move to another document, but not go
-        error(cited(old).join(cited(defined).select("id").distinct(), "id", "left_anti"), "lost citation"),
-    ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("slug", "error").agg(F.count(F.lit(1)).alias("n"))
-
-
 def install_edit(docs: DataFrame, shown: DataFrame, edit: DataFrame) -> DataFrame:
     """Documents (slug, text, updated_at) after an edit (slug, text: null deletes, updated_at), or as they were if it is stale.
 
@@ -245,18 +209,27 @@ def topic_candidates(sessions: DataFrame, status: DataFrame, since: str, quiet_b
 
 
 def choose_shown_docs(docs: DataFrame, by: str, most: int, line: int = 240) -> DataFrame:
-    """Documents (by, slug, title, text, updated_at), the last updated first, with the `inventory` line and whether the text is `shown`."""
-    w = Window.partitionBy(by).orderBy(F.desc("updated_at"), "slug").rowsBetween(Window.unboundedPreceding, 0)
-    entry = F.concat(F.lit("- "), "slug", F.lit(": "), "title")
+    """Documents (by, slug, title, headings, text, updated_at), the last updated first, with the `inventory` line and whether the text is `shown`.
+
+    A text is shown while those up to it have at most `most` characters in all. Null headings are none.
+    """
+    entry = F.concat(F.lit("- "), "slug", F.lit(": "), "title", F.lit(" | "), F.array_join(F.coalesce("headings", F.array().cast("array<string>")), " / "))
     cut = F.when(F.char_length(entry) > line, F.concat(F.substring(entry, 1, line - 1), F.lit("…"))).otherwise(entry)
-    return docs.select(by, "slug", cut.alias("inventory"), (F.sum(F.char_length("text")).over(w) <= most).alias("shown"))
+    sized = docs.select(by, "slug", "updated_at", cut.alias("inventory"), F.char_length("text").alias("size"))
+    return running_sums(sized, [by], [F.desc("updated_at"), F.asc("slug")], "size").select(by, "slug", "inventory", (F.col("total") <= most).alias("shown"))
 
 
-def search_topics(hits: DataFrame, events: DataFrame, first: str, last: str, k: int) -> DataFrame:
-    """Of ranked hits (query_id, unit_id, score) those with an event (unit_id, start, end, time) in a range, with its times, and then the best k a query."""
-    times = events.filter((F.col("end") >= first) & (F.col("start") <= last)).groupBy("unit_id").agg(F.array_sort(F.collect_set("time")).alias("times"))
-    met = hits.join(times, "unit_id")
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id"))).filter(F.col("rank") <= k)
+def search_topics(hits: DataFrame, events: DataFrame, k: int, first: str | None = None, last: str | None = None) -> DataFrame:
+    """query_id, unit_id, score, times, rank: of scored hits (query_id, unit_id, score) the best k a query.
+
+    With a range only units with an event (unit_id, time) in it, before the limit; `times` are those of such events, all
+    without a range, by their start and then as written.
+    """
+    met = events.filter(overlaps(F.col("time"), F.lit(first), F.lit(last))).groupBy("unit_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(start_of(F.col("time")).alias("start"), "time"))), lambda x: x["time"]).alias("times"))
+    found = hits.join(met, "unit_id", "left" if first is None and last is None else "inner")
+    return top_k(found, ["query_id"], [F.desc("score"), F.col("unit_id")], k).select(
+        "query_id", "unit_id", "score", F.coalesce("times", F.array().cast("array<string>")).alias("times"), "rank")
 
 
 def timeline_order() -> list[Column]:

@@ -424,14 +424,6 @@ def x18_extract_summary(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.extract_summary(x).alias("summary"))
 
 
-@query("""SELECT doc_id, a, b FROM (SELECT doc_id, CASE length(t) WHEN 4 THEN t || '-01-01' WHEN 7 THEN t || '-01' ELSE t END AS a, CASE length(t) WHEN 4 THEN t || '-12-31' WHEN 7 THEN t || '-31' ELSE t END AS b
-  FROM (SELECT doc_id, substr('2023-0' || (doc_id % 9 + 1) || '-15', 1, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 10 END) AS t FROM documents)) WHERE a <= '2023-08-31' AND b >= '2023-05-16'""")
-def t6_topic_timeline(spark, d):
-    time = F.substring(F.concat(F.lit("2023-0"), F.col("doc_id") % 9 + 1, F.lit("-15")), F.lit(1), F.when(F.col("doc_id") % 3 == 0, 4).when(F.col("doc_id") % 3 == 1, 7).otherwise(10))
-    rows = V.table(spark, d, "documents").select("doc_id", T.start_of(time).alias("a"), T.end_of(time).alias("b"))
-    return rows.filter("a <= '2023-08-31' AND b >= '2023-05-16'")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from turnlake import learned_queries, learning_queries, more_queries, prompt_queries, review_queries, screen_queries, source_queries, state_queries, stream_queries, topic_queries  # noqa: F401  register their queries here
 

@@ -237,6 +237,28 @@ def j10_ranked_search(spark, d):
     return I.bm25_search(asked(spark, d), index(spark, d), "doc_id", 20)
 
 
+#: Digest entries: documents by source, some in one line that cites e3, the others with a last line that cites an id; every sixth is superseded.
+ENTRIES = """v_entry AS (SELECT doc_id AS id, source AS project, doc_id % 6 = 0 AS old, CASE WHEN doc_id % 5 = 0 THEN replace(coalesce(text, ''), chr(10), ' ') || ' [#e3]' ELSE coalesce(text, '') || chr(10) || '- seen [x, #e' || (doc_id % 7) || ']' END AS text FROM documents)"""
+
+
+@query(rf"""WITH {ENTRIES}, v_post AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM v_entry),
+v_tf AS (SELECT query_id, id, term, n, count(*) AS tf FROM (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM {ASKED}) JOIN v_post USING (term) GROUP BY ALL),
+v_score AS (SELECT query_id, id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS df FROM v_tf) JOIN (SELECT id, count(*) AS len FROM v_post GROUP BY 1) USING (id), (SELECT count(DISTINCT id)::DOUBLE AS docs, count(*) / count(DISTINCT id) AS mean FROM v_post)
+  GROUP BY query_id, id, n HAVING count(*) = n),
+v_best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v_score JOIN v_entry USING (id) WHERE NOT old AND (length(CAST(query_id AS VARCHAR)) % 2 = 0 OR project = (SELECT min(source) FROM documents))),
+v_seen AS (SELECT query_id, id, rank, list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '\[(x, )?#e3\]')) AS ls FROM v_best WHERE rank <= 20)
+SELECT query_id, id, rank, md5(array_to_string(ls, chr(10))) AS text FROM v_seen WHERE regexp_matches(array_to_string(ls, chr(10)), '\S')""")
+def j10_search_digest(spark, d):
+    t = V.table(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    own = F.when(F.col("doc_id") % 5 == 0, F.concat(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" [#e3]"))).otherwise(F.concat(text, F.lit("\n- seen [x, #e"), F.col("doc_id") % 7, F.lit("]")))
+    entries = t.select(F.col("doc_id").alias("id"), F.col("source").alias("project"), own.alias("text"), F.when(F.col("doc_id") % 6 == 0, F.lit(1)).alias("superseded_by"))
+    least = t.agg(F.min("source").alias("least"))
+    queries = asked(spark, d).crossJoin(F.broadcast(least)).withColumn("project", F.when(F.length(F.col("query_id").cast("string")) % 2 == 1, F.col("least"))).drop("least")
+    return I.search_digest(queries, entries, spark.range(1).select(F.lit("e3").alias("id")), 20).withColumn("text", F.md5("text"))
+
+
 @query("""SELECT period_start::VARCHAR AS period_start, event_type, n FROM (SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
   WHERE period_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
 def r4_stream_tier_counts(spark, d):

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import text as X
+from turnlake.operators import text_index as I
+from turnlake.operators import topic_edits as E
 from turnlake.operators import topics as T
 from turnlake.plans import adapters as V
 from turnlake.queries import query
@@ -13,8 +15,9 @@ from turnlake.streaming import streams
 
 #: Documents as Markdown: the length of a line decides what it becomes, so that fences, headings, marks and definitions nest in many ways.
 LINES = r"""v_lines AS (SELECT slug, project, i - 1 AS line_no, CASE length(line) % 16 WHEN 0 THEN '```' WHEN 1 THEN '~~~~ x' WHEN 2 THEN '~~~~~' WHEN 3 THEN '# ' || length(line) WHEN 4 THEN '## ' || length(line)
-  WHEN 5 THEN '### ' || length(line) WHEN 6 THEN '' WHEN 7 THEN '[^' || (i % 3) || ']: Time: 2024-0' || (i % 9 + 1) || '; Sources: ' || i || ', x' WHEN 8 THEN '^u' || i WHEN 9 THEN '[^' || (i % 3) || ']: none'
-  WHEN 10 THEN 'a [^' || (i % 3) || '] b [^' || (i % 4) || '][^1]' ELSE line END AS line
+  WHEN 5 THEN '### ' || length(line) WHEN 6 THEN '' WHEN 7 THEN '[^' || (i % 3) || ']: Time: 2024-0' || (i % 10) || '; Sources: ' || i || ', x' WHEN 8 THEN '^' || CASE WHEN i % 2 = 0 THEN lpad(i::VARCHAR, 8, '0') ELSE 'u' || i END WHEN 9 THEN '[^' || (i % 3) || ']: none'
+  WHEN 10 THEN 'a [^' || (i % 3) || '] b [^' || (i % 4) || '][^1]'
+  WHEN 11 THEN '[l](d' || (i % 7) || '.md#^' || lpad((i % 40)::VARCHAR, 8, '0') || ') [m](x.md) [n](https://a.b/c.md)' ELSE line END AS line
   FROM (SELECT 'd' || doc_id AS slug, source AS project, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)))"""
 STEP = r"""{f: CASE WHEN s.f = '' THEN x.f WHEN x.c <> '' AND x.c[1] = s.f[1] AND length(x.c) >= length(s.f) THEN '' ELSE s.f END, c: '', m: list_concat(s.m, [s.f <> '' OR x.f <> ''])}"""
 MASKED = LINES + rf""", v_fold AS (SELECT slug, list_reduce(list({{f: regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})', 1), c: regexp_extract(line, '^ {{0,3}}(`{{3,}}|~{{3,}})\s*$', 1), m: []::BOOLEAN[]}} ORDER BY line_no),
@@ -25,20 +28,22 @@ v_last AS (SELECT *, coalesce(max(line_no) FILTER (WHERE heading = 1) OVER w, -1
   FROM v_head WINDOW w AS (PARTITION BY slug ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 v_path AS (SELECT l.* EXCLUDE (a, b, c), concat_ws(' > ', regexp_extract(x.line, '# (.*)', 1), CASE WHEN l.b > l.a THEN regexp_extract(y.line, '# (.*)', 1) END, CASE WHEN l.c > greatest(l.a, l.b) THEN regexp_extract(z.line, '# (.*)', 1) END) AS path
   FROM v_last l LEFT JOIN v_lines x ON x.slug = l.slug AND x.line_no = l.a LEFT JOIN v_lines y ON y.slug = l.slug AND y.line_no = l.b LEFT JOIN v_lines z ON z.slug = l.slug AND z.line_no = l.c)"""
-UNITS = PATHS + """, v_run AS (SELECT *, fenced OR heading IS NOT NULL OR trim(line, ' ') = '' OR starts_with(line, '[^') AS brk FROM v_path),
+UNITS = PATHS + r""", v_run AS (SELECT *, fenced OR heading IS NOT NULL OR trim(line, ' ') = '' OR starts_with(line, '[^') AS brk FROM v_path),
 v_runs AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY slug ORDER BY line_no) AS run FROM v_run),
 v_unit AS (SELECT slug, project, min(line_no) AS line_no, min(path) AS path, list(line ORDER BY line_no) AS ls FROM v_runs WHERE NOT brk GROUP BY slug, project, run),
-v_units AS (SELECT slug, project, line_no, path, CASE WHEN len(ls) > 1 AND starts_with(ls[-1], '^u') THEN array_to_string(ls[1:len(ls) - 1], chr(10)) ELSE array_to_string(ls, chr(10)) END AS text,
-  CASE WHEN len(ls) > 1 AND starts_with(ls[-1], '^u') THEN ls[-1][2:] END AS unit_id FROM v_unit)"""
+v_units AS (SELECT slug, project, line_no, path, CASE WHEN len(ls) > 1 AND regexp_matches(ls[-1], '^\^\S+\s*$') THEN array_to_string(ls[1:len(ls) - 1], chr(10)) ELSE array_to_string(ls, chr(10)) END AS text,
+  CASE WHEN len(ls) > 1 AND regexp_matches(ls[-1], '^\^\S+\s*$') THEN regexp_extract(ls[-1], '^\^(\S+)\s*$', 1) END AS unit_id FROM v_unit)"""
 
 
 def docs(spark, d):
     make = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    digits = lambda n: F.lpad(n.cast("string"), 8, "0")
 
     def line(x, at):
         i, n = at + 1, F.char_length(x)
-        kinds = ["```", "~~~~ x", "~~~~~", make("# ", n), make("## ", n), make("### ", n), "", make("[^", i % 3, "]: Time: 2024-0", i % 9 + 1, "; Sources: ", i, ", x"), make("^u", i),
-                 make("[^", i % 3, "]: none"), make("a [^", i % 3, "] b [^", i % 4, "][^1]")]
+        kinds = ["```", "~~~~ x", "~~~~~", make("# ", n), make("## ", n), make("### ", n), "", make("[^", i % 3, "]: Time: 2024-0", i % 10, "; Sources: ", i, ", x"),
+                 make("^", F.when(i % 2 == 0, digits(i)).otherwise(make("u", i))), make("[^", i % 3, "]: none"), make("a [^", i % 3, "] b [^", i % 4, "][^1]"),
+                 make("[l](d", i % 7, ".md#^", digits(i % 40), ") [m](x.md) [n](https://a.b/c.md)")]
         out = F.when(n % 16 == 0, kinds[0])
         for k, what in enumerate(kinds[1:], 1):
             out = out.when(n % 16 == k, what)
@@ -71,13 +76,46 @@ def t2_assign_unit_ids(spark, d):
     return T.assign_unit_ids(units.drop("unit_id")).select("slug", "line_no", "unit_id")
 
 
-@query(r"""SELECT doc_id, label, statement FROM (SELECT doc_id, unnest([{label: 'b', statement: coalesce(nullif(a, ''), t)}, {label: 'c', statement: t}, {label: 'd', statement: coalesce(nullif(b, ''), t)}], recursive := true) FROM (
-  SELECT doc_id, regexp_replace(p, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS a, regexp_replace(q, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS b, regexp_replace(p || '[^b][^c]' || q || '[^d] x [^b]', '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g') AS t
-  FROM (SELECT doc_id, string_split(text, chr(10))[1] AS p, string_split(text, chr(10))[-1] AS q FROM documents WHERE text IS NOT NULL)))""")
+#: Statements, definitions and events of the units' labels.
+TRIM = r"regexp_replace({0}, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')"
+EVENTS = UNITS + rf""", v_pieces AS (SELECT slug, line_no, text, unnest(ls) AS label, unnest(ps[1:len(ls)]) AS piece, generate_subscripts(ls, 1) AS i FROM (
+  SELECT *, regexp_extract_all(text, '\[\^([^\]\s]+)\]', 1) AS ls, string_split_regex(text, '\[\^[^\]\s]+\]') AS ps FROM v_units)),
+v_said AS (SELECT slug, line_no, label, arg_min(coalesce(nullif({TRIM.format("piece")}, ''), {TRIM.format("text")}), i) AS statement, count(*) AS uses FROM v_pieces GROUP BY ALL),
+v_def AS (SELECT slug, line_no, line_no + 1 AS k, regexp_extract(line, '^\[\^(\d)\]', 1) AS label, contains(line, ']: none') AS bad, regexp_extract(line, 'Time: ([0-9-]+);', 1) AS time,
+  row_number() OVER (PARTITION BY slug, regexp_extract(line, '^\[\^(\d)\]', 1) ORDER BY line_no) AS r FROM v_masked WHERE NOT fenced AND starts_with(line, '[^')),
+v_events AS (SELECT s.slug, s.line_no, label, d.time, d.k, d.bad, statement, slug || '#' || s.line_no AS unit_id FROM v_said s JOIN v_def d USING (slug, label) WHERE r = 1)"""
+START, END = [f"CASE length({{0}}) WHEN 4 THEN {{0}} || '-{m}-{e}' WHEN 7 THEN {{0}} || '-{e}' ELSE {{0}} END" for m, e in (("01", "01"), ("12", "31"))]
+
+
+@query(f"WITH {EVENTS} SELECT slug || '#' || line_no AS unit, label, statement FROM v_said")
 def t3_footnote_statements(spark, d):
-    ls = F.split("text", "\n")
-    text = F.concat(F.element_at(ls, 1), F.lit("[^b][^c]"), F.element_at(ls, -1), F.lit("[^d] x [^b]"))
-    return T.footnote_statements(V.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", text.alias("text")), "doc_id")
+    units = T.topic_units(docs(spark, d)).withColumn("unit", F.concat("slug", F.lit("#"), "line_no"))
+    return T.footnote_statements(units, "unit")
+
+
+@query(rf"""WITH {UNITS}, v_link AS (SELECT slug, line_no, unit_id, unnest(regexp_extract_all(text, '\[[^\]]*\]\([^()\s#]+\.md#\^[^()\s]*\)')) AS l FROM v_units),
+v_target AS (SELECT slug, line_no, unit_id, unnest(regexp_extract_all(text, '\]\(([^()\s]*\.md(?:#[^()\s]*)?)\)', 1)) AS t FROM v_units)
+SELECT slug, line_no, unit_id, regexp_extract(l, '\(([^#]*)\.md#', 1) AS to_slug, regexp_extract(l, '#\^(.*)\)$', 1) AS to_unit, NULL AS malformed FROM v_link
+UNION ALL SELECT slug, line_no, unit_id, NULL, NULL, t FROM v_target WHERE NOT regexp_matches(t, '^[^#]+\.md#\^') AND NOT starts_with(t, 'https:')""")
+def t1_topic_links(spark, d):
+    return E.topic_links(docs(spark, d)).drop("n")
+
+
+@query(rf"""WITH {UNITS}, v_now AS (SELECT unit_id, min(slug) AS now FROM v_units WHERE unit_id IS NOT NULL GROUP BY 1),
+v_to AS (SELECT *, CASE WHEN NOT fenced THEN regexp_extract(line, '\[l\]\(d\d+\.md#\^([^()\s]*)\)', 1) END AS unit_id FROM v_masked)
+SELECT slug, md5(string_agg(CASE WHEN now IS NULL THEN line ELSE regexp_replace(line, '\(d\d+\.md', '(' || now || '.md') END, chr(10) ORDER BY line_no)) AS text FROM v_to LEFT JOIN v_now USING (unit_id) GROUP BY 1""")
+def t4_rewrite_link_slugs(spark, d):
+    own = docs(spark, d)
+    now = T.topic_units(own).filter("unit_id IS NOT NULL").groupBy("unit_id").agg(F.min("slug").alias("slug"))
+    return E.rewrite_link_slugs(own, now).withColumn("text", F.md5("text"))
+
+
+@query(f"""WITH {EVENTS}, v_met AS (SELECT *, {START.format("time")} AS start FROM v_events JOIN (SELECT DISTINCT slug, project FROM v_lines) USING (slug) WHERE {END.format("time")} >= '2024-03-01' AND {START.format("time")} <= '2024-07-31')
+SELECT project, slug, line_no, label, time, statement, CASE WHEN bad THEN '' ELSE k || ',x' END AS sources, row_number() OVER (PARTITION BY project ORDER BY start, time, slug, line_no, label) AS place FROM v_met""")
+def t6_topic_timeline(spark, d):
+    own = docs(spark, d)
+    events = E.topic_events(own).join(own.select("slug", "project"), "slug")
+    return E.topic_timeline(events, ["project"], "2024-03", "2024-07").select("project", "slug", "line_no", "label", "time", "statement", F.array_join("sources", ",").alias("sources"), "place")
 
 
 @query(f"""WITH {MASKED} SELECT slug, string_agg(CASE WHEN NOT fenced AND contains(line, ': Time: ') AND (line_no + 1) % 2 = 0 AND starts_with(line, '[^') THEN replace(line, 'Sources: ' || (line_no + 1) || ', x', 'Sources: #e' || (line_no + 1) || ', x') ELSE line END, chr(10) ORDER BY line_no) AS text
@@ -85,7 +123,7 @@ def t3_footnote_statements(spark, d):
 def t4_rewrite_marks(spark, d):
     own = docs(spark, d)
     marks = own.select("slug", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")))).alias("mark")).filter("mark % 2 = 0").withColumn("id", F.concat(F.lit("e"), "mark"))
-    return T.rewrite_marks(own, marks)
+    return E.rewrite_marks(own, marks)
 
 
 @query("""WITH v_d AS (SELECT 'd' || doc_id AS slug, text, doc_id, n_chars FROM documents WHERE doc_id % 2 = 0)
@@ -106,24 +144,37 @@ def t9_topic_candidates(spark, d):
     return T.topic_candidates(s, status, "2024-01-01T02:00:00Z", "2024-01-01T20:00:00Z").select("session_id", "start_ts")
 
 
-@query("""SELECT lang, slug, CASE WHEN length(l) > 60 THEN substr(l, 1, 59) || '…' ELSE l END AS inventory, sum(length(t)) OVER (PARTITION BY lang ORDER BY n_chars DESC, slug) <= 50000 AS shown
-  FROM (SELECT lang, 'd' || doc_id AS slug, '- d' || doc_id || ': ' || string_split(coalesce(text, ''), chr(10))[1] AS l, coalesce(text, '') AS t, n_chars FROM documents)""")
+@query(f"""WITH {PATHS}, v_names AS (SELECT slug, array_to_string(list(regexp_extract(line, '# (.*)', 1) ORDER BY line_no), ' / ') AS hs FROM v_path WHERE heading IS NOT NULL GROUP BY 1)
+SELECT lang, slug, CASE WHEN length(l) > 60 THEN substr(l, 1, 59) || '…' ELSE l END AS inventory, sum(length(t)) OVER (PARTITION BY lang ORDER BY n_chars DESC, slug) <= 50000 AS shown
+  FROM (SELECT lang, 'd' || doc_id AS slug, '- d' || doc_id || ': ' || string_split(coalesce(text, ''), chr(10))[1] || ' | ' || coalesce(hs, '') AS l, coalesce(text, '') AS t, n_chars FROM documents LEFT JOIN v_names ON slug = 'd' || doc_id)""")
 def t12_choose_shown_docs(spark, d):
     text = F.coalesce("text", F.lit(""))
+    named = T.heading_path(T.topic_lines(docs(spark, d))).filter("heading IS NOT NULL").select("slug", F.struct("line_no", F.regexp_extract("line", T.HEADING, 2).alias("name")).alias("h"))
+    names = named.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list("h")), lambda x: x["name"]).alias("headings"))
     t = V.table(spark, d, "documents").select("lang", F.concat(F.lit("d"), "doc_id").alias("slug"), F.element_at(F.split(text, "\n"), 1).alias("title"), text.alias("text"), F.col("n_chars").alias("updated_at"))
-    return T.choose_shown_docs(t, "lang", 50_000, 60)
+    return T.choose_shown_docs(t.join(names, "slug", "left"), "lang", 50_000, 60)
+
 
+#: Every unit's words; each unit of every fiftieth document is asked for.
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
-@query("""WITH v_ev AS (SELECT user_id AS unit_id, substr(strftime(ts, '%Y-%m-%d'), 1, CASE event_id % 3 WHEN 0 THEN 10 ELSE 7 END) AS time FROM events),
-v_t AS (SELECT unit_id, list_sort(list(DISTINCT time)) AS times FROM v_ev WHERE (CASE length(time) WHEN 7 THEN time || '-31' ELSE time END) >= '2024-01-10' AND (CASE length(time) WHEN 7 THEN time || '-01' ELSE time END) <= '2024-01-12' GROUP BY 1)
-SELECT query_id, unit_id, array_to_string(times, ',') AS times, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM (
-  SELECT o_custkey % 20 AS query_id, o_orderkey % 97 AS unit_id, max(o_totalprice) AS score FROM orders GROUP BY 1, 2) JOIN v_t USING (unit_id)) WHERE rank <= 5""")
+
+@query(f"""WITH {EVENTS}, v_post AS (SELECT slug || '#' || line_no AS unit_id, unnest({WORDS}) AS term FROM v_units),
+v_ask AS (SELECT slug || '#' || line_no AS query_id, list_distinct({WORDS}) AS terms FROM v_units WHERE CAST(slug[2:] AS BIGINT) % 50 = 0),
+v_tf AS (SELECT query_id, unit_id, term, n, count(*) AS tf FROM (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM v_ask) JOIN v_post USING (term) GROUP BY ALL),
+v_df AS (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS df FROM v_tf),
+v_score AS (SELECT query_id, unit_id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM v_df JOIN (SELECT unit_id, count(*) AS len FROM v_post GROUP BY 1) USING (unit_id), (SELECT count(DISTINCT unit_id)::DOUBLE AS docs, count(*) / count(DISTINCT unit_id) AS mean FROM v_post) GROUP BY query_id, unit_id, n HAVING count(*) = n),
+v_times AS (SELECT unit_id, string_agg(time, ',' ORDER BY {START.format("time")}, time) AS times FROM v_events WHERE {END.format("time")} >= '2024-02-01' AND {START.format("time")} <= '2024-08-31' GROUP BY 1)
+SELECT query_id, unit_id, times, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM v_score JOIN v_times USING (unit_id)) WHERE rank <= 5""")
 def j11_search_topics(spark, d):
-    e = V.table(spark, d, "events")
-    time = F.substring(F.date_format("ts", "yyyy-MM-dd"), F.lit(1), F.when(F.col("event_id") % 3 == 0, 10).otherwise(7))
-    ev = e.select(F.col("user_id").alias("unit_id"), time.alias("time")).select("unit_id", "time", X.start_of(F.col("time")).alias("start"), X.end_of(F.col("time")).alias("end"))
-    hits = V.table(spark, d, "orders").groupBy((F.col("o_custkey") % 20).alias("query_id"), (F.col("o_orderkey") % 97).alias("unit_id")).agg(F.max("o_totalprice").alias("score"))
-    return T.search_topics(hits, ev, "2024-01-10", "2024-01-12", 5).select("query_id", "unit_id", F.array_join("times", ",").alias("times"), "rank")
+    own = docs(spark, d)
+    unit = F.concat("slug", F.lit("#"), "line_no")
+    units = T.topic_units(own).select("slug", unit.alias("unit_id"), "text")
+    asked = units.filter("CAST(substr(slug, 2) AS BIGINT) % 50 = 0").select(F.col("unit_id").alias("query_id"), "text")
+    hits = I.bm25_scores(asked, I.build_postings(units, "unit_id", ["text"]), "unit_id")
+    events = E.topic_events(own).select(unit.alias("unit_id"), "time")
+    return T.search_topics(hits, events, 5, "2024-02", "2024-08").select("query_id", "unit_id", F.array_join("times", ",").alias("times"), "rank")
 
 
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE length(time) WHEN 7 THEN time || '-01' ELSE time END, time, event_id) AS place
