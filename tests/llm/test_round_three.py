@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from turnlake.llm import decontamination, fill_middle, filter_audit
+from turnlake.llm import common, decontamination, exact_dedup, fill_middle, filter_audit, line_dedup
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 rnd = random.Random(11)
@@ -214,3 +214,60 @@ def test_sql_of_the_new_operators(spark, tmp_path):
         got = query(spark, str(tmp_path))
         want = c.sql(sql)
         assert sorted(map(repr, (tuple(r[k] for k in want.columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+HELPERS = "_id _key _copy _sha _score _text _n _rows _kept_id _kept_sha _of _gone _stays".split()
+
+
+def test_columns_may_be_called_as_helpers(spark, tmp_path):
+    """Extra columns with the names that stages use inside come out as they went in, and stages decide as without them."""
+    import corpus_pipeline
+
+    words = "alpha beta gamma delta of the".split()
+    prose = lambda i: " ".join(f"{words[(i * j) % 6]}{(i * 31 + j * j) % 997}" for j in range(90))
+    rows = [(i, prose(i), "en", f"s{i % 2}", 9) for i in range(1, 50)] + [(i + 100, "BUY!! NOW!! FREE!! " * (18 + i % 5), "en", "s0", 9) for i in range(50)] + [(60, prose(3), "en", "s1", 9), (7, prose(8), "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    more = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in HELPERS])
+    labels = [(i, 1, 0) for i in range(1, 50)] + [(i + 100, 0, 0) for i in range(50)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain, named = docs, more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, named = [common.stored(stage(spark, d, str(tmp_path)), name) for d in (plain, named)]
+        assert named.columns == more.columns, name
+        kept = sorted(map(tuple, plain.collect()))
+        assert kept == sorted(map(tuple, named.select(*docs.columns).collect())) and len(kept) >= 40, name
+        assert named.filter(" OR ".join(f"{c} <> concat('{c} ', doc_id)" for c in HELPERS)).isEmpty(), name
+    lines = spark.createDataFrame([(1, "a b c d\nx y", "o", "g"), (2, "a b c d", "p", "h")], "doc_id bigint, text string, _of string, _gone string")
+    gone = spark.createDataFrame([(1, 1, [0])], "doc_id bigint, n_removed bigint, removed_lines array<int>")
+    assert sorted(map(tuple, line_dedup.remove_lines(lines, gone).collect())) == [(1, "x y", "o", "g"), (2, "a b c d", "p", "h")]
+
+
+def test_digest_index_outlives_its_session(spark, tmp_path, monkeypatch):
+    """A second session finds the first one's entries; many batches are made one file a bucket; a broken compaction costs nothing."""
+    path = str(tmp_path / "index")
+    batch = lambda *rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    decided = lambda docs, index: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, index).collect()}
+    before = spark.sql("SHOW TABLES").count()
+    first = exact_dedup.DigestIndex(spark, "kept_one", path, buckets=3)
+    one = batch((5, "a  b"), (6, "a b"), (7, None), (9, "c"))
+    assert decided(one, first) == {5: (5, 2, True), 6: (5, 2, False), 7: (7, 1, True), 9: (9, 1, True)}
+    # the catalog of the first session goes with it, the folder stays
+    spark.sql(f"DROP TABLE {first.table}")
+    second = exact_dedup.DigestIndex(spark, "kept_two", path, buckets=5)
+    assert second.buckets == 3 and second.read().count() == 3
+    assert decided(batch((1, "a\tb"), (2, ""), (3, "new"), (9, "c")), second) == {1: (5, 1, False), 2: (7, 1, False), 3: (3, 1, True), 9: (9, 1, True)}
+    assert decided(one, second)[5] == (5, 2, True)
+    # a generation that is not whole is passed over
+    (tmp_path / "index" / "g000007-b3").mkdir()
+    assert exact_dedup.DigestIndex(spark, "kept_three", path).read().count() == 4
+    monkeypatch.setattr(exact_dedup.DigestIndex, "MOST_FILES", 1)
+    for i in range(4):
+        second.ingest(exact_dedup.digests(batch(*[(100 + i * 10 + j, f"t{i}{j}") for j in range(9)])))
+    assert second.generation > 7 and len(second.read().inputFiles()) <= 2 * 3 and second.read().count() == 40
+    again = exact_dedup.DigestIndex(spark, "kept_four", path)
+    assert again.generation == second.generation and again.read().count() == 40
+    for index in (second, again, exact_dedup.DigestIndex(spark, "kept_three", path)):
+        spark.sql(f"DROP TABLE IF EXISTS {index.table}")
+    spark.sql("DROP TABLE IF EXISTS kept_three_g0")
+    exact_dedup.exact_dedup(one).collect()
+    assert spark.sql("SHOW TABLES").count() == before

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import documents, lookup, stored, whole_text
+from turnlake.llm.common import documents, lookup, stored, unused, whole_text
 from turnlake.llm.words import chunks, list_array, long_array, mixed
 
 NUMERATOR, DENOMINATOR = 75, 100
@@ -407,10 +407,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """`docs`, all columns, without the lines that `decisions` (line_dedup) removes from them."""
-    gone = decisions.filter("n_removed > 0").groupBy("doc_id").agg(F.first("removed_lines").alias("_gone")).withColumnRenamed("doc_id", "_of")
-    out = docs.join(gone, docs["doc_id"] == gone["_of"], "left")
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return out.withColumn("text", F.when(F.col("_of").isNull(), F.col("text")).otherwise(rest)).drop("_gone", "_of")
+    of, lines = unused(docs, "_of", "_gone")
+    gone = decisions.filter("n_removed > 0").groupBy("doc_id").agg(F.first("removed_lines").alias(lines)).withColumnRenamed("doc_id", of)
+    out = docs.join(gone, docs["doc_id"] == gone[of], "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(lines, i)), "\n")
+    return out.withColumn("text", F.when(F.col(of).isNull(), F.col("text")).otherwise(rest)).drop(lines, of)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

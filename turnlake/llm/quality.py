@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from turnlake.llm.common import documents, whole_text
+from turnlake.llm.common import documents, unused, whole_text
 
 WORD_BITS, BINS, RANK = 14, 12, 4
 SHAPES = 1 << 10
@@ -152,8 +152,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     return [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), q) for i, v, q in found]
 
 
-def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` and _score for every row of `docs` (text, n_chars; others ignored)."""
+def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id",), name: str = "_score") -> DataFrame:
+    """`columns` and the score, as `name`, for every row of `docs` (text, n_chars; others ignored)."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +165,11 @@ def score(docs: DataFrame, machine: Machine, columns: tuple[str, ...] = ("doc_id
                 got = [features(text[i].as_py(), recorded[i].as_py()) for i in range(at, min(at + 64, batch.num_rows))]
                 begin = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])])
                 out[at : at + 64] = own.scores(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), begin)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out)], names=[*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out)], names=[*columns, name])
 
-    sent = docs.select(*columns, whole_text().alias("_text"), F.col("n_chars").cast("double").alias("_n"))
-    return sent.mapInArrow(run, StructType([*sent.schema.fields[:-2], StructField("_score", DoubleType())]))
+    text, recorded = unused(docs, "_text", "_n")
+    sent = docs.select(*columns, whole_text().alias(text), F.col("n_chars").cast("double").alias(recorded))
+    return sent.mapInArrow(run, StructType([*sent.schema.fields[:-2], StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,7 +186,8 @@ def classify(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, thre
 def good_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, that are predicted to be good, each by its own text."""
     machine = fit(training_rows(docs, labels, limit))
-    return score(docs, machine, tuple(docs.columns)).filter(F.col("_score") >= threshold).drop("_score")
+    (name,) = unused(docs, "_score")
+    return score(docs, machine, tuple(docs.columns), name).filter(F.col(name) >= threshold).drop(name)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
