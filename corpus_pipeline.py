@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.llm.bpe import digested
-from turnlake.llm.common import stored, whole_text
+from turnlake.llm.common import stored, unused, whole_text
 from turnlake.llm.exact_dedup import exact_dedup, keep_first
 from turnlake.llm.mixing import mix
 from turnlake.llm.near_dedup import near_dedup
@@ -22,9 +22,10 @@ MAX_REPEATS = 1.5
 
 
 def _of(docs: DataFrame, ids: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows of `docs`, all columns, for the ids in `ids` (_id, others named with an underscore)."""
-    own = ids.columns
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), how).drop(*own)
+    """Rows of `docs`, all columns, for the `doc_id` of `ids`, as often as it stands there."""
+    (key,) = unused(docs, "_id")
+    own = ids.select(F.col("doc_id").alias(key))
+    return docs.join(own, docs["doc_id"].eqNullSafe(own[key]), how).drop(key)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +40,16 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (operator 10); an id that several rows have is judged by each row's text."""
-    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"))
+    key, other = unused(docs, "_key", "_id")
+    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(other))
     if several.isEmpty():
-        dropped = near_dedup(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-        return _of(docs, dropped, "left_anti")
+        return _of(docs, near_dedup(docs).filter("NOT kept"), "left_anti")
     # such rows go by 62 bits of a hash, above usual ids, so that those stay before them
     own = F.shiftrightunsigned(F.xxhash64("doc_id", whole_text()), 2) + F.lit(1 << 62)
-    rows = stored(docs.join(several, docs["doc_id"] == F.col("_id"), "left").withColumn(
-        "_key", F.when(F.col("_id").isNull(), F.col("doc_id")).otherwise(own)).drop("_id"), "near-rows")
-    dropped = near_dedup(rows.select(F.col("_key").alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias("_id"))
-    return rows.join(dropped, F.col("_key") == F.col("_id"), "left_anti").drop("_key")
+    rows = stored(docs.join(several, docs["doc_id"] == several[other], "left").withColumn(
+        key, F.when(F.col(other).isNull(), F.col("doc_id")).otherwise(own)).drop(other), "near-rows")
+    dropped = near_dedup(rows.select(F.col(key).alias("doc_id"), "text")).filter("NOT kept").select(F.col("doc_id").alias(other))
+    return rows.join(dropped, rows[key] == dropped[other], "left_anti").drop(key)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # a repeated row of docs was dealt out for itself; each row takes its share of the copies
     rows = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     more = copies.join(rows, copies["doc_id"].eqNullSafe(rows["doc_id"])).select(
-        copies["doc_id"].alias("_id"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.col("rows")).cast("int"))).alias("_copy"))
+        copies["doc_id"], F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / F.col("rows")).cast("int"))).alias("copy"))
     return _of(docs, stored(more, "mixture"))
 
 
