@@ -84,13 +84,16 @@ def j15_lookup_failures(spark, d):
     return L.lookup_failures(contexts, p.select(F.col("p_partkey").alias("failure_id"), status.alias("status"), F.col("p_name").alias("hint"), F.col("p_type").alias("context"), F.col("p_brand").alias("attempted")))
 
 
-@query(r"""SELECT a, b, CASE WHEN starts_with(x, 'never ') AND y = substr(x, 7) OR starts_with(y, 'never ') AND x = substr(y, 7) THEN 'contradiction' ELSE 'overlap' END AS kind, n / greatest(s, t) AS overlap FROM (
-  SELECT l.id AS a, r.id AS b, l.action AS x, r.action AS y, len(list_intersect(l.k, r.k)) AS n, len(l.k) AS s, len(r.k) AS t FROM h l JOIN h r ON l.id < r.id AND l.action <> r.action)
-  WHERE n > 0 AND n / greatest(s, t) >= 0.5""".replace("FROM h l JOIN h r", "FROM (@) l JOIN (@) r").replace("@", """SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(user_message), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS k,
-  CASE WHEN line_start % 4 = 1 THEN 'never ' ELSE '' END || 'run ' || project AS action FROM v_exchanges"""))
+@query(r"""WITH v_h AS (SELECT id, user_message AS c, CASE WHEN line_start % 4 = 1 THEN 'never ' ELSE '' END || 'run ' || project AS action FROM v_exchanges
+  UNION ALL SELECT id || 'x', 'again ' || user_message, CASE WHEN line_end % 3 = 0 THEN 'walk ' ELSE 'never run ' END || project FROM v_exchanges),
+v_k AS (SELECT id, action, list_distinct(list_filter(regexp_split_to_array(lower(c), '[^a-z0-9]+'), lambda t: length(t) >= 2)) AS k FROM v_h)
+SELECT a, b, CASE WHEN starts_with(x, 'never ') AND y = substr(x, 7) OR starts_with(y, 'never ') AND x = substr(y, 7) THEN 'contradiction' ELSE 'overlap' END AS kind, n / greatest(s, t) AS overlap FROM (
+  SELECT l.id AS a, r.id AS b, l.action AS x, r.action AS y, len(list_intersect(l.k, r.k)) AS n, len(l.k) AS s, len(r.k) AS t FROM v_k l JOIN v_k r ON l.id < r.id AND l.action <> r.action) WHERE n > 0 AND n / greatest(s, t) >= 0.5""")
 def j16_heuristic_conflicts(spark, d):
-    action = F.concat(F.when(F.col("line_start") % 4 == 1, "Never  ").otherwise(""), F.lit("run "), "project")
-    return L.heuristic_conflicts(V.exchanges(spark, d).select("id", F.col("user_message").alias("condition"), action.alias("action")))
+    run = F.concat(F.lit("run "), "project")
+    own = V.exchanges(spark, d).select("id", F.col("user_message").alias("condition"), F.concat(F.when(F.col("line_start") % 4 == 1, "Never  ").otherwise(""), run).alias("action"), "line_end", "project")
+    more = own.select(F.concat("id", F.lit("x")).alias("id"), F.concat(F.lit("again "), "condition").alias("condition"), F.concat(F.when(F.col("line_end") % 3 == 0, "walk ").otherwise("Never  run "), "project").alias("action"))
+    return L.heuristic_conflicts(own.select("id", "condition", "action").unionByName(more))
 
 
 @query("""SELECT entry_id, line, condition, action, priority, confidence FROM (SELECT id AS entry_id, project AS condition, CASE version % 2 WHEN 0 THEN 8 ELSE 3 END AS priority, CASE version % 2 WHEN 0 THEN 0.8 ELSE 0.3 END AS confidence,
@@ -107,10 +110,20 @@ def k5_run_budget(spark, d):
     return L.run_budget(a, a.select("run_id").distinct().withColumn("limits", limits))
 
 
-@query("""SELECT run_id, event_type AS split, count(*) FILTER (snapshot_id = f) AS graded_first, count(*) FILTER (snapshot_id = f AND passed) AS passed_first, count(*) FILTER (snapshot_id = l) AS graded_last,
-  count(*) FILTER (snapshot_id = l AND passed) AS passed_last, any_value(calls) AS calls FROM v_attempts JOIN (SELECT run_id, min(snapshot_id) AS f, max(snapshot_id) AS l, count(*) AS calls FROM v_attempts GROUP BY 1) USING (run_id) GROUP BY 1, 2""")
+@query("""WITH v_use AS (SELECT *, turns * 0.25::DOUBLE AS usd FROM v_attempts WHERE id % 7 > 0 OR snapshot_id = 0),
+v_new AS (SELECT task_id, run_id, snapshot_id, arg_max(passed, id) AS passed, arg_max(turns, id) AS turns, arg_max(usd, id) AS usd FROM v_use WHERE passed IS NOT NULL GROUP BY 1, 2, 3),
+v_ends AS (SELECT run_id, min(snapshot_id) AS f, max(snapshot_id) AS l, count(*) AS calls, sum(usd) AS used_usd FROM v_use GROUP BY 1),
+v_cell AS (SELECT run_id, CASE task_id % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split, snapshot_id, kind, tier, count(*) FILTER (passed) AS p, count(*) AS t, coalesce(avg(turns), 0) AS m, coalesce(sum(usd), 0) AS u
+  FROM v_new JOIN v_tasks USING (task_id) WHERE task_id % 5 > 0 GROUP BY GROUPING SETS ((1, 2, 3), (1, 2, 3, 4, 5)))
+SELECT run_id, split, kind, tier, coalesce(max(p) FILTER (snapshot_id = f), 0) AS passed_first, coalesce(max(t) FILTER (snapshot_id = f), 0) AS total_first, round(coalesce(max(m) FILTER (snapshot_id = f), 0), 6) AS mean_turns_first, coalesce(max(u) FILTER (snapshot_id = f), 0) AS usd_first,
+  coalesce(max(p) FILTER (snapshot_id = l), 0) AS passed_last, coalesce(max(t) FILTER (snapshot_id = l), 0) AS total_last, round(coalesce(max(m) FILTER (snapshot_id = l), 0), 6) AS mean_turns_last, coalesce(max(u) FILTER (snapshot_id = l), 0) AS usd_last,
+  max(calls) AS calls, max(used_usd) AS used_usd FROM v_cell JOIN v_ends USING (run_id) GROUP BY 1, 2, 3, 4""")
 def g7_run_report(spark, d):
-    return L.run_report(V.attempts(spark, d).withColumnRenamed("event_type", "split"))
+    status = F.when(F.col("task_id") % 5 > 0, "ok").otherwise("bad")
+    tasks = V.tasks(spark, d).withColumn("status", status).withColumn("split", F.when(F.col("task_id") % 2 == 0, "train").otherwise("test"))
+    used = V.attempts(spark, d).filter("id % 7 > 0 OR snapshot_id = 0").withColumn("usd", F.col("turns") * 0.25)
+    out = L.run_report(tasks, used)
+    return out.select(*[F.round(c, 6).alias(c) if c.startswith("mean") else c for c in out.columns])
 
 
 @query("""SELECT *, gained >= 1 AND regressions = 0 AS keep FROM (SELECT task_id AS candidate, count(*) FILTER (id % 4 > 0 AND passed AND turns % 2 = 1) AS gained, count(*) FILTER (id % 4 = 0 AND turns % 2 = 0 AND NOT passed) AS regressions,
@@ -168,6 +181,13 @@ def e12_evaluation_snapshot(spark, d):
     return L.evaluation_snapshot(e, e.filter("status = 'candidate' AND id % 10 = 1"), ["kind", "project", "slug"])
 
 
+@query("""WITH v_one AS (SELECT * FROM v_entries WHERE id = (SELECT min(id) FROM v_entries WHERE status = 'candidate'))
+SELECT id FROM v_one UNION ALL SELECT id FROM v_entries e WHERE status = 'active' AND id % 4 > 0 AND NOT EXISTS (SELECT 1 FROM v_one o WHERE o.kind = e.kind AND o.project = e.project AND o.slug = e.slug)""")
+def e12_snapshot_ids(spark, d):
+    e = V.entries(spark, d).withColumn("superseded_by", F.when(F.col("id") % 4 == 0, F.col("id") + 1))
+    return L.snapshot_ids(e, e.filter("status = 'candidate'").agg(F.min("id")).first()[0], ["kind", "project", "slug"])
+
+
 @query("""SELECT q.id, CASE WHEN project = 'p3' THEN 'hidden' WHEN e.id IS NULL THEN 'missing' ELSE 'found' END AS status, CASE WHEN project <> 'p3' THEN archive_path END AS archive_path, CASE WHEN project <> 'p3' THEN line_start END AS line_start
   FROM (SELECT CASE WHEN line_start % 4 = 1 THEN md5(id) ELSE id END AS id FROM v_exchanges) q LEFT JOIN v_exchanges e USING (id)""")
 def j9_expand_citation(spark, d):

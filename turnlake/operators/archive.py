@@ -214,10 +214,14 @@ def suspect_tasks(attempts: DataFrame) -> DataFrame:
 
 
 def fold_success_rate(events: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """Exponentially weighted success of each key in order, from 0.5."""
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.col("passed").cast("double").alias("ok"))))
-    return events.groupBy("task_id").agg(ordered.alias("es")).select(
-        "task_id", F.round(F.aggregate("es", F.lit(0.5), lambda r, e: r + (e["ok"] - r) * alpha), 6).alias("rate"), F.size("es").cast("long").alias("n"))
+    """Exponentially weighted success of each key in order, from 0.5, and the events of a key; ungraded ones don't count.
+
+    The weight of an event depends on how many are behind it, so a rank and a sum do, and no key's events have to meet.
+    """
+    graded = events.filter("passed IS NOT NULL").select("task_id", "id", F.col("passed").cast("double").alias("ok"))
+    behind = F.pow(F.lit(1 - alpha), F.col("size") - F.col("rank"))
+    return ranked(graded, ["task_id"], ["id"]).groupBy("task_id").agg(
+        F.round(0.5 * F.pow(F.lit(1 - alpha), F.count(F.lit(1))) + F.sum(alpha * F.col("ok") * behind), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 def plan_compression(entries: DataFrame, today: str, least_sessions: int = 5, least_days: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import replaced
+from turnlake.operators.archive import newest_attempt
 
 #: Shapes of secrets, in the order in which they are replaced.
 SECRETS = (
@@ -135,12 +136,17 @@ def run_budget(attempts: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", zero[0].alias("calls"), zero[1].alias("usd"), F.coalesce((zero[0] >= limit("calls")) | (zero[1] >= limit("usd")), F.lit(False)).alias("over"))
 
 
-def run_report(attempts: DataFrame) -> DataFrame:
-    """run_id, split, graded and passed on the run's first and last snapshot, and its calls; cells without attempts are 0."""
-    ends = attempts.groupBy("run_id").agg(F.min("snapshot_id").alias("first"), F.max("snapshot_id").alias("last"), F.count(F.lit(1)).alias("calls"))
-    cells = attempts.groupBy("run_id", "split", "snapshot_id").agg(F.count(F.lit(1)).alias("graded"), F.count_if("passed").alias("passed"))
-    side = lambda s, c: F.coalesce(F.sum(F.when(F.col("snapshot_id") == F.col(s), F.col(c))), F.lit(0)).alias(f"{c}_{s}")
-    return cells.join(ends, "run_id").groupBy("run_id", "split").agg(*[side(s, c) for s in ("first", "last") for c in ("graded", "passed")], F.max("calls").alias("calls"))
+def run_report(tasks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """By run, split, kind and tier, and by run and split alone: passed, total, mean_turns and usd of the newest attempts of ok tasks on the
+    run's first and last snapshot (one snapshot is both), and all calls and USD that the run used. Cells without attempts are 0."""
+    ends = attempts.groupBy("run_id").agg(F.min("snapshot_id").alias("first"), F.max("snapshot_id").alias("last"), F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("used_usd"))
+    own = tasks.filter("status = 'ok'").select("task_id", "split", "kind", "tier")
+    by = ["run_id", "split", "snapshot_id", "kind", "tier"]
+    cells = newest_attempt(attempts).join(own, "task_id").groupingSets([by[:3], by], *by).agg(
+        F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"), F.coalesce(F.avg("turns"), F.lit(0.0)).alias("mean_turns"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("usd"))
+    side = lambda s, c: F.coalesce(F.max(F.when(F.col("snapshot_id") == F.col(s), F.col(c))), F.lit(0)).alias(f"{c}_{s}")
+    return cells.join(ends, "run_id").groupBy("run_id", "split", "kind", "tier").agg(
+        *[side(s, c) for s in ("first", "last") for c in ("passed", "total", "mean_turns", "usd")], F.max("calls").alias("calls"), F.max("used_usd").alias("used_usd"))
 
 
 def validation_verdict(pairs: DataFrame) -> DataFrame:
@@ -209,6 +215,15 @@ def evaluation_snapshot(entries: DataFrame, candidates: DataFrame, key: list[str
     return plain.unionByName(gone).unionByName(own.select("candidate", F.col("candidate").alias("id"), F.lit(1).alias("sign")))
 
 
+def snapshot_ids(entries: DataFrame, candidate: int | None, key: list[str]) -> DataFrame:
+    """The ids of one snapshot: all active entries that nothing supersedes; for a candidate without other versions of its key, and with itself."""
+    active = entries.filter("status = 'active' AND superseded_by IS NULL")
+    if candidate is None:
+        return active.select("id")
+    one = entries.filter(F.col("id") == candidate)
+    return active.join(F.broadcast(one.select(*key)), key, "left_anti").select("id").unionByName(one.select("id"))
+
+
 def expand_citation(ids: DataFrame, ex: DataFrame, hidden: DataFrame) -> DataFrame:
     """Id, status (found, hidden, missing) with the place of a cited exchange."""
     known = ex.select("id", "archive_path", "line_start", "line_end", "project", "ts_raw", F.lit(True).alias("known"))

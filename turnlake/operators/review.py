@@ -67,15 +67,19 @@ def repair_plan(issues: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def gain_decision(cells: DataFrame, by: list[str], least: float = 10.0) -> DataFrame:
-    """By, side (before/after), graded, passed, turns → saving in turns a task and the decision's reason."""
+    """By, side (before/after), graded, passed, turns, usd → savings in percent in turns and USD a task, whether to keep, and the reason.
+
+    A saving is 0 where a side is unmeasured or nothing was used before. A side with other tasks is no evidence.
+    """
     at = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)))
-    two = cells.groupBy(*by).agg(*[F.coalesce(at(s, c), F.lit(0)).alias(f"{s}_{c}") for s in ("before", "after") for c in ("graded", "passed", "turns")])
-    mean = lambda s: F.col(f"{s}_turns") / F.col(f"{s}_graded")
-    unmeasured = (F.col("before_graded") == 0) | (F.col("after_graded") == 0) | (F.col("before_turns") == 0)
-    saving = F.when(~unmeasured, F.round(100 * (mean("before") - mean("after")) / mean("before"), 4))
-    return two.withColumn("saving", saving).select(
-        *by, "saving", F.when(unmeasured, "unmeasured").when(F.col("before_graded") != F.col("after_graded"), "unequal-coverage")
-        .when(F.col("after_passed") < F.col("before_passed"), "pass-rate-fell").when(F.col("saving") >= least, "saving").otherwise("no-saving").alias("reason"))
+    two = cells.groupBy(*by).agg(*[F.coalesce(at(s, c), F.lit(0)).alias(f"{s}_{c}") for s in ("before", "after") for c in ("graded", "passed", "turns", "usd")])
+    measured = (F.col("before_graded") > 0) & (F.col("after_graded") > 0)
+    mean = lambda s, c: F.col(f"{s}_{c}") / F.col(f"{s}_graded")
+    saved = lambda c: F.when(measured & (F.col(f"before_{c}") > 0), 100 * (mean("before", c) - mean("after", c)) / mean("before", c)).otherwise(0.0)
+    reason = (F.when(~measured, "unmeasured").when(F.col("before_graded") != F.col("after_graded"), "unequal-coverage").when(F.col("after_passed") < F.col("before_passed"), "pass-rate-fell")
+              .when((F.col("turns") >= least) | (F.col("usd") >= least), "saving").otherwise("no-saving"))
+    return two.withColumn("turns", saved("turns")).withColumn("usd", saved("usd")).select(
+        *by, F.round("turns", 4).alias("turn_saving"), F.round("usd", 4).alias("usd_saving"), (reason == "saving").alias("keep"), reason.alias("reason"))
 
 
 def merge_check(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -64,10 +64,12 @@ def a12_conversation_chunks(spark, d):
     return M.conversation_chunks(V.exchanges(spark, d), whole=2, least=2)
 
 
-@query("""SELECT archive_path FROM v_exchanges GROUP BY 1 HAVING count(*) = 1 AND (max(trim(user_message)) = '/exit'
-  OR max(length(user_message) + length(assistant_message)) < 100)""")
+@query("""SELECT archive_path, line_start FROM (SELECT archive_path, line_start, CASE WHEN line_end % 3 = 0 THEN ' /exit ' ELSE user_message END AS u, assistant_message AS a, line_start % 4 = 1 AS twice FROM v_exchanges)
+  WHERE NOT twice AND (trim(u) = '/exit' OR length(u) + length(a) < 100)""")
 def a13_trivial_sessions(spark, d):
-    return M.trivial_sessions(V.exchanges(spark, d))
+    # each exchange is a session of its own here, some of them of two
+    e = V.exchanges(spark, d).withColumn("user_message", F.when(F.col("line_end") % 3 == 0, " /exit ").otherwise(F.col("user_message")))
+    return M.trivial_sessions(e.unionByName(e.filter("line_start % 4 = 1")), ["archive_path", "line_start"])
 
 
 @query("""SELECT id FROM v_exchanges WHERE project = 'p3' AND ts_raw >= '2024-01-02' AND ts_raw <= '2024-01-05'""")

@@ -76,14 +76,17 @@ def e2_repair_plan(spark, d):
     return R.repair_plan(*issues(spark, d))
 
 
-@query("""SELECT run_id, saving, CASE WHEN bg = 0 OR ag = 0 OR bt = 0 THEN 'unmeasured' WHEN bg <> ag THEN 'unequal-coverage' WHEN ap < bp THEN 'pass-rate-fell'
-  WHEN saving >= 10 THEN 'saving' ELSE 'no-saving' END AS reason FROM (SELECT *, CASE WHEN bg > 0 AND ag > 0 AND bt > 0 THEN round(100 * (bt / bg - nt / ag) / (bt / bg), 4) END AS saving FROM (
-  SELECT run_id, count(*) FILTER (snapshot_id = 0) AS bg, count(*) FILTER (snapshot_id = 1) AS ag, count(*) FILTER (snapshot_id = 0 AND passed) AS bp, count(*) FILTER (snapshot_id = 1 AND passed) AS ap,
-  coalesce(sum(turns) FILTER (snapshot_id = 0), 0) AS bt, coalesce(sum(turns) FILTER (snapshot_id = 1), 0) AS nt FROM v_attempts GROUP BY 1))""")
+@query("""WITH v_two AS (SELECT run_id, event_type, id % 11 AS part, count(*) FILTER (snapshot_id = 0) AS bg, count(*) FILTER (snapshot_id = 1) AS ag, count(*) FILTER (snapshot_id = 0 AND passed) AS bp, count(*) FILTER (snapshot_id = 1 AND passed) AS ap,
+  coalesce(sum(turns) FILTER (snapshot_id = 0), 0) AS bt, coalesce(sum(turns) FILTER (snapshot_id = 1), 0) AS nt, coalesce(sum(usd) FILTER (snapshot_id = 0), 0) AS bu, coalesce(sum(usd) FILTER (snapshot_id = 1), 0) AS nu
+  FROM (SELECT *, CASE WHEN id % 3 > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS usd FROM v_attempts) GROUP BY 1, 2, 3),
+v_saved AS (SELECT *, CASE WHEN bg > 0 AND ag > 0 AND bt > 0 THEN 100 * (bt / bg - nt / ag) / (bt / bg) ELSE 0 END AS ts, CASE WHEN bg > 0 AND ag > 0 AND bu > 0 THEN 100 * (bu / bg - nu / ag) / (bu / bg) ELSE 0 END AS us FROM v_two),
+v_told AS (SELECT *, CASE WHEN bg = 0 OR ag = 0 THEN 'unmeasured' WHEN bg <> ag THEN 'unequal-coverage' WHEN ap < bp THEN 'pass-rate-fell' WHEN ts >= 10 OR us >= 10 THEN 'saving' ELSE 'no-saving' END AS reason FROM v_saved)
+SELECT run_id, event_type, part, round(ts, 4) AS turn_saving, round(us, 4) AS usd_saving, reason = 'saving' AS keep, reason FROM v_told""")
 def g8_gain_decision(spark, d):
     side = F.when(F.col("snapshot_id") == 0, "before").otherwise("after").alias("side")
-    cells = V.attempts(spark, d).groupBy("run_id", side).agg(F.count(F.lit(1)).alias("graded"), F.count_if("passed").alias("passed"), F.sum("turns").alias("turns"))
-    return R.gain_decision(cells, ["run_id"])
+    used = V.attempts(spark, d).withColumn("usd", F.when(F.col("id") % 3 > 0, 0.25).otherwise(0.0)).withColumn("part", F.col("id") % 11)
+    cells = used.groupBy("run_id", "event_type", "part", side).agg(F.count(F.lit(1)).alias("graded"), F.count_if("passed").alias("passed"), F.sum("turns").alias("turns"), F.sum("usd").alias("usd"))
+    return R.gain_decision(cells, ["run_id", "event_type", "part"])
 
 
 @query("""SELECT task_id, n.id FROM (SELECT task_id, arg_max(passed, id) AS ok FROM v_attempts WHERE snapshot_id = 0 GROUP BY 1) b
