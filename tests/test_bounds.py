@@ -2,7 +2,7 @@
 
 import random
 
-from turnlake.operators import learning
+from turnlake.operators import learning, search
 
 
 def made_rows(df):
@@ -31,3 +31,21 @@ def test_conflicts_meet_few_pairs(spark):
     want = {(a, b, share(a, b)) for b in range(600) for a in range(b) if a % 7 != b % 7 and share(a, b) >= 0.5}
     assert {(r["a"], r["b"], r["overlap"]) for r in got} == want and len(got) == len(want) > 10
     assert made < 40_000, made
+
+
+def test_entries_meet_by_distinct_texts(spark):
+    bodies = ["red ring", "Red red bolt", "blue", None]
+    rows = [(i, "active" if i % 9 else "retired", i if i % 11 == 0 else None, "s", "t", bodies[i % 4], "p") for i in range(2000)]
+    entries = spark.createDataFrame(rows, "id int, status string, superseded_by int, slug string, title string, body string, project string")
+    asked = [(i, ["red ring", "ring  red", "blue blue", "none", " ", None][i % 6]) for i in range(120)]
+    got, made = made_rows(search.search_entries(spark.createDataFrame(asked, "query_id int, text string"), entries, 5))
+    want = set()
+    for q, text in asked:
+        told = []
+        for i, status, by, *parts in rows:
+            counts = [" ".join(p for p in parts if p is not None).lower().count(w) for w in {*(text or "").split()}]
+            if status == "active" and by is None and any(counts):
+                told.append((-sum(c > 0 for c in counts), -sum(counts), i))
+        want |= {(q, i, -p, -h, r) for r, (p, h, i) in enumerate(sorted(told)[:5], 1)}
+    assert {(r["query_id"], r["id"], r["points"], r["hits"], r["rank"]) for r in got} == want and len(got) == len(want) > 0
+    assert made < 20_000, made
