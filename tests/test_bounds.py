@@ -49,3 +49,21 @@ def test_entries_meet_by_distinct_texts(spark):
         want |= {(q, i, -p, -h, r) for r, (p, h, i) in enumerate(sorted(told)[:5], 1)}
     assert {(r["query_id"], r["id"], r["points"], r["hits"], r["rank"]) for r in got} == want and len(got) == len(want) > 0
     assert made < 20_000, made
+
+
+def test_failures_meet_by_distinct_texts(spark):
+    texts = [("red ring", "big", "x"), ("ring", "red", None), (None, "RED", "red"), ("none", "b", "c")]
+    rows = [(i, "resolved" if i % 9 == 0 else "open", *texts[i % 4]) for i in range(4000)]
+    failures = spark.createDataFrame(rows, "failure_id int, status string, hint string, context string, attempted string")
+    asked = [("a", "red ring red"), ("b", "ring"), ("c", "x nothing")]
+    got, made = made_rows(learning.lookup_failures(spark.createDataFrame(asked, "context_id string, text string"), failures, 5))
+    want = set()
+    for c, text in asked:
+        told = []
+        for i, status, *parts in rows:
+            score = sum(w for word in text.split() if len(word) > 1 for w, p in zip((3, 2, 1), parts) if word in (p or "").lower())
+            if status == "open" and score:
+                told.append((-score, i))
+        want |= {(c, i, -s) for s, i in sorted(told)[:5]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 10
+    assert made < 5_000, made
