@@ -1,7 +1,9 @@
 """Results against brute force, with bounds on the rows that a node of the plan makes."""
 
+import hashlib
 import random
 
+from turnlake import topic_queries
 from turnlake.operators import learning, search
 
 
@@ -67,3 +69,17 @@ def test_failures_meet_by_distinct_texts(spark):
         want |= {(c, i, -s) for s, i in sorted(told)[:5]}
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 10
     assert made < 5_000, made
+
+
+def test_unit_ids_equal_the_sql_where_they_clash(spark, monkeypatch):
+    """Lines whose ids share their first eight digits, found by trying."""
+    found, no = {}, 0
+    while True:
+        h = hashlib.sha1(f"s\0d1\0{no}".encode()).hexdigest()[:8]
+        if h in found:
+            break
+        found[h] = no
+        no += 1
+    rows = [("d1", "s", f"{found[h]}\n\n{no}", 1)]
+    monkeypatch.setattr(topic_queries, "docs", lambda *_: spark.createDataFrame(rows, "slug string, project string, text string, doc_id int"))
+    assert [r["unit_id"] for r in topic_queries.t2_assign_unit_ids(spark, None).collect()] == [h, h]
