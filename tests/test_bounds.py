@@ -83,3 +83,20 @@ def test_unit_ids_equal_the_sql_where_they_clash(spark, monkeypatch):
     rows = [("d1", "s", f"{found[h]}\n\n{no}", 1)]
     monkeypatch.setattr(topic_queries, "docs", lambda *_: spark.createDataFrame(rows, "slug string, project string, text string, doc_id int"))
     assert [r["unit_id"] for r in topic_queries.t2_assign_unit_ids(spark, None).collect()] == [h, h]
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "NEAREST", (7, 150))
+    monkeypatch.setattr(search, "ALL", (9, 100))
+    rnd = random.Random(5)
+    vectors = [(i, f"p{i % 3}", [float(rnd.randint(0, 2)) for _ in range(4)]) for i in range(700)]
+    queries = [(i, [0.5 * rnd.randint(0, 4) for _ in range(4)]) for i in range(30)]
+    v, q = spark.createDataFrame(vectors, "id int, project string, embedding array<double>"), spark.createDataFrame(queries, "query_id int, query array<double>")
+    far = lambda x, y: sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5
+    want = {(n, i, p, round(d, 6), r) for n, y in queries for r, (d, i, p) in enumerate(sorted((far(x, y), i, p) for i, p, x in vectors)[:9], 1)}
+    got, made = made_rows(search.knn_search(q, v, 9))
+    assert {(r["query_id"], r["id"], r["project"], r["distance"], r["rank"]) for r in got} == want and len(got) == len(want)
+    assert made < 5_000, made
+    every = {(r["query_id"], r["id"], r["distance"]) for r in search.all_distances(q, v).collect()}
+    assert every == {(n, i, round(far(x, y), 6)) for n, y in queries for i, _, x in vectors}
+    assert search.knn_search(q.limit(0), v, 9).count() == search.knn_search(q, v.limit(0), 9).count() == search.all_distances(q.limit(0), v).count() == 0
