@@ -5,6 +5,7 @@ import random
 
 from turnlake import topic_queries
 from turnlake.operators import learning, search
+from turnlake.queries import queries
 
 
 def made_rows(df):
@@ -100,3 +101,10 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     every = {(r["query_id"], r["id"], r["distance"]) for r in search.all_distances(q, v).collect()}
     assert every == {(n, i, round(far(x, y), 6)) for n, y in queries for i, _, x in vectors}
     assert search.knn_search(q.limit(0), v, 9).count() == search.knn_search(q, v.limit(0), 9).count() == search.all_distances(q.limit(0), v).count() == 0
+
+
+def test_similarities_are_of_all_pairs(spark):
+    path = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect()]
+    got = {(r["query_id"], r["id"]) for r in queries()["f7_l2_to_cosine"](spark, path).collect()}
+    assert got == {(q, i) for q in ids if q % 50 == 0 for i in ids}
