@@ -1,10 +1,11 @@
 """Results against brute force, with bounds on the rows that a node of the plan makes."""
 
 import hashlib
+import math
 import random
 
 from turnlake import topic_queries
-from turnlake.operators import learning, search
+from turnlake.operators import learning, search, text_index
 from turnlake.queries import queries
 
 
@@ -108,3 +109,22 @@ def test_similarities_are_of_all_pairs(spark):
     ids = [r[0] for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect()]
     got = {(r["query_id"], r["id"]) for r in queries()["f7_l2_to_cosine"](spark, path).collect()}
     assert got == {(q, i) for q in ids if q % 50 == 0 for i in ids}
+
+
+def test_scores_cost_no_row_for_each_document_of_a_frequent_term(spark):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(["the", "of", *(f"w{rnd.randint(0, 99)}" for _ in range(6))])) for i in range(900)]
+    asked = [(i, ["the of w3", "W3 the of", "the w7 w8", "of nowhere", "w5 w5"][i % 5]) for i in range(100)]
+    postings = text_index.build_postings(spark.createDataFrame(docs, "id int, text string"), "id", ["text"])
+    queries_ = spark.createDataFrame(asked, "query_id int, text string")
+    got, made = made_rows(text_index.bm25_search(queries_, postings, "id", 4))
+    words = [t.split() for _, t in docs]
+    want, mean = set(), sum(map(len, words)) / len(words)
+    for q, text in asked:
+        terms = {*text.lower().split()}
+        df = {t: sum(t in w for w in words) for t in terms}
+        score = lambda w: sum(math.log((900 - df[t] + 0.5) / (df[t] + 0.5) + 1) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms)
+        told = sorted((-round(score(w), 6), i) for i, w in enumerate(words) if terms <= {*w})[:4]
+        want |= {(q, i, -s, r) for r, (s, i) in enumerate(told, 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
+    assert made < 20_000, made
