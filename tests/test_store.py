@@ -115,3 +115,21 @@ def test_ingest_of_growing_transcripts(spark, tmp_path, monkeypatch):
     # a batch that had been taken in before its commit was noted
     assert not store.ingest_messages(archive, lines.limit(3), ("t", 0))
     assert sorted(map(tuple, archive.read("messages").select(lines.columns).collect())) == sorted(said)
+
+
+def test_a_batch_puts_its_exchanges_together_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda i: seen.add(1) or i, "string").asNondeterministic()
+    monkeypatch.setattr(store, "assemble_exchanges", lambda lines: assemble_exchanges(lines).withColumn("id", counted("id")))
+    rows = [(f"/{p}", "p", p, n, "user" if n % 2 else "assistant", f"text {n}", "2024-01-01T00:00:00Z", False) for p in "abcde" for n in range(1, 9)]
+    lines = spark.createDataFrame(rows, "path string, project string, session_id string, line_no int, role string, text string, ts_raw string, is_sidechain boolean")
+    archive = store.Archive(spark, str(tmp_path / "archive"), buckets=4)
+    store.ingest_messages(archive, lines, ("s", 0))
+    assert archive.read("exchanges").count() == seen.value == 20
+    assert archive.read("postings").select("id").distinct().count() == 20
+
+
+def test_postings_of_other_buckets_stop_a_commit(spark, archive):
+    rows = spark.createDataFrame([(f"{i}", "user_message", 0, "x") for i in range(40)], "id string, field string, pos int, term string")
+    with pytest.raises(ValueError):
+        archive.commit({"postings": (rows.limit(1).select("id"), rows)})

@@ -34,6 +34,9 @@ class Archive:
     each stream that was taken in, so that a batch which runs again after a failure is left out.
     """
 
+    #: Tables whose new rows come from exchanges among a change's keys, so that they need not be made to find their buckets.
+    DERIVED = ("postings",)
+
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self._jvm = spark._jvm
@@ -98,7 +101,7 @@ class Archive:
             key, at = KEYS[table], uuid.uuid4().hex
             if rows is None and table not in tables:
                 continue
-            both = [x.select(key) for x in (keys, rows) if x is not None]
+            both = [x.select(key) for x in (keys, None if table in self.DERIVED and keys is not None else rows) if x is not None]
             touched = both[0] if len(both) == 1 else both[0].unionByName(both[1])
             buckets = {r["b"] for r in touched.select(self._bucket(key).alias("b")).distinct().collect()}
             old = self._rows(now, table, buckets)
@@ -107,6 +110,8 @@ class Archive:
             new = rows if old is None else old if rows is None else old.unionByName(rows, allowMissingColumns=True)
             new.withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{table}/{at}")
             there = {x.getPath().getName() for x in self._files.listStatus(self._path(f"{table}/{at}"))}
+            if not {f"bucket={b}" for b in buckets} >= {x for x in there if x.startswith("bucket=")}:
+                raise ValueError(f"{table}: new rows lie in other buckets than their keys")
             held = {b: v for b, v in tables.get(table, {"buckets": {}})["buckets"].items() if int(b) not in buckets}
             tables[table] = {"schema": new.schema.jsonValue(), "buckets": held | {str(b): at for b in sorted(buckets) if f"bucket={b}" in there}}
         self._swap({"version": now["version"] + 1, "tables": tables, "batches": now["batches"] | ({batch[0]: batch[1]} if batch else {})})
@@ -149,13 +154,16 @@ def upsert_exchanges(archive: Archive, exchanges: DataFrame, vectors: DataFrame,
         raise ValueError(f"vectors must hold {width} numbers")
     rows = _last(exchanges, seq).persist()
     ids = rows.select("id")
-    own = lambda df, key: df.join(ids.withColumnRenamed("id", key), key, "left_semi")
+    # what comes is made once, for its buckets and itself
+    own = lambda df, key: df.join(ids.withColumnRenamed("id", key), key, "left_semi").persist()
+    found, calls = own(vectors, "id"), own(tool_calls, "exchange_id")
     try:
         return archive.commit({
-            "exchanges": (ids, rows), "vectors": (ids, own(vectors, "id")), "tool_calls": (ids.withColumnRenamed("id", "exchange_id"), own(tool_calls, "exchange_id")),
+            "exchanges": (ids, rows), "vectors": (ids, found), "tool_calls": (ids.withColumnRenamed("id", "exchange_id"), calls),
             "postings": (ids, exchange_postings(rows))}, batch)
     finally:
-        rows.unpersist()
+        for df in (rows, found, calls):
+            df.unpersist()
 
 
 def _without(archive: Archive, gone: Callable[[DataFrame], DataFrame]) -> Callable[[dict], dict[str, Change]]:
@@ -219,13 +227,15 @@ def ingest_messages(archive: Archive, messages: DataFrame, batch: tuple[str, int
 
     Exchanges that a longer transcript ends elsewhere have other ids, so those of a touched path are all replaced.
     """
-    fresh = messages.persist()
+    fresh, made = messages.persist(), []
     try:
         def changes(now: dict) -> dict[str, Change]:
             paths = fresh.select("path").distinct()
             held = archive._rows(now, "messages")
             lines = fresh if held is None else held.join(paths, "path", "left_semi").join(fresh.select("path", "line_no"), ["path", "line_no"], "left_anti").unionByName(fresh)
-            rows = assemble_exchanges(lines)
+            # the exchanges are put together once, for their ids, themselves and their postings
+            rows = assemble_exchanges(lines).persist()
+            made.append(rows)
             out: dict[str, Change] = {"messages": (paths, lines), "exchanges": (rows.select("id"), rows), "postings": (rows.select("id"), exchange_postings(rows))}
             before = archive._rows(now, "exchanges")
             if before is not None:
@@ -235,7 +245,8 @@ def ingest_messages(archive: Archive, messages: DataFrame, batch: tuple[str, int
 
         return archive.commit(changes, batch)
     finally:
-        fresh.unpersist()
+        for df in (fresh, *made):
+            df.unpersist()
 
 
 def stream_ingest(stream: DataFrame, archive: Archive, name: str) -> None:
