@@ -128,3 +128,12 @@ def test_scores_cost_no_row_for_each_document_of_a_frequent_term(spark):
         want |= {(q, i, -s, r) for r, (s, i) in enumerate(told, 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 0
     assert made < 20_000, made
+
+
+def test_search_makes_rows_of_chosen_documents_only(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(100)) + (" rare" if i == 7 else "")) for i in range(400)], "id int, text string")
+    texts = text_index.analysed_texts(docs, "id", ["text"]).persist()
+    asked = spark.createDataFrame([(1, "rare w5")], "query_id int, text string")
+    got, made = made_rows(text_index.text_search(asked, text_index.postings_of(texts, "id"), "id", 5))
+    assert [(r["query_id"], r["id"], r["rank"]) for r in got] == [(1, 7, 1)]
+    assert made < 1_000, made
