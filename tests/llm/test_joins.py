@@ -87,6 +87,25 @@ def test_lines_equal_all_pairs(spark, monkeypatch, kept, hot):
     assert got == want and sum(map(len, want.values())) > 150
 
 
+def test_lines_are_decided_without_a_join(spark):
+    """All lines meet their decisions in one shuffle by document, a frequent line too; a repeated id has each line once."""
+    docs = [(1, "a b c d\n\nx y z"), (1, "q r s t"), (2, "a b c d\na  b c d"), (2, "a b c d\na  b c d"), (3, "x y z\n \nnew words here\n")] + [(i, "the very same line") for i in range(10, 400)]
+    out = line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    got = sorted(map(tuple, out.collect()))
+    same = [(i, 0, i > 10) for i in range(10, 400)]
+    assert got == [(1, 0, False), (1, 2, False), (2, 0, True), (2, 1, True), (3, 0, True), (3, 2, False), *same]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_wanted_lines_are_cut(spark):
+    texts = ["", "a\n\nb b c\n", "", "d\n", "\n\n e f", "g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    every = [(d, k) for d, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+    size = lambda wanted: {(r["doc_id"], r["line"]): len(r["tokens"]) // 8 for r in line_dedup.line_sets(docs, spark.createDataFrame(wanted, "doc_id bigint, line int")).collect()}
+    assert size(every) == {(1, 0): 1, (1, 2): 2, (3, 0): 1, (4, 2): 2, (5, 0): 1}
+    assert size([(1, 2), (4, 2), (4, 0)]) == {(1, 2): 2, (4, 2): 2}
+
+
 def test_sketches_bound_the_difference():
     rnd = np.random.default_rng(3)
     for _ in range(200):

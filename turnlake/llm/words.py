@@ -86,8 +86,8 @@ class Words:
             self.breaks = np.flatnonzero(data == 10)
 
 
-def chunks(texts: pa.Array, lower: bool = False, lines: bool = False, between: np.ndarray = _WHITE) -> Iterator[tuple[int, int, Words]]:
-    """(from, to, words of the texts from..to) over an Arrow string array without nulls."""
+def byte_chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, bytes, bounds of the texts in them) of runs of texts of about `size` bytes, over an Arrow string array without nulls."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     wide = pa.types.is_large_string(texts.type)
@@ -98,11 +98,17 @@ def chunks(texts: pa.Array, lower: bool = False, lines: bool = False, between: n
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, "right")) - 1)
-        yield at, to, Words(raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at], lower, lines, between)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
+        yield at, raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
 
 
+def chunks(texts: pa.Array, lower: bool = False, lines: bool = False, between: np.ndarray = _WHITE, size: int | None = None) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words of the texts from..to) over an Arrow string array without nulls."""
+    for at, data, bounds in byte_chunks(texts, size or CHUNK):
+        yield at, at + len(bounds) - 1, Words(data, bounds, lower, lines, between)
+
+
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words inside a text, and the first gram of each text (n_texts + 1 entries).
 
