@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.text import is_valid_slug
 from turnlake.operators import learned as L
+from turnlake.operators.prompts import gate_cited_lines
 
 ENTRY = "id int, kind string, project string, slug string, description string, body string, status string, superseded_by int, confidence string, version int, scope string, run_id string"
 A, B = "a" * 32, "b" * 32
@@ -95,6 +96,21 @@ def test_slugs(spark):
     assert {r["s"] for r in got if r["v"]} == set(good)
 
 
+def test_cited_text_meets_an_answer_once(spark):
+    """All lines of an answer meet the text that they cite in one row; line breaks and blanks are those of Spark's patterns."""
+    lines = ["- alpha beta gamma [#A]", "alpha beta gamma [#A,#B]", "\t", "* said [#A] more: delta1  omega1 third1 [#B] \r", "alpha beta gamma \u2028", "gamma beta alpha [@1]", "alpha beta gamma [@9, #A]",
+             "[#A] [#A]", "[#A]", "alpha beta gamma [x] [@1,#A]\u2028", "alpha [#C] beta gamma [#A]", "only alpha [@1] [#A]"]
+    answers = spark.createDataFrame([(1, "\n".join(lines).replace("A]", A + "]").replace("A,", A + ",").replace("#B", "#" + B).replace("#C", "#" + "c" * 32)), (2, None), (3, "")], "key int, text string")
+    ex = spark.createDataFrame([(A, "Alpha beta, gamma"), (B, "delta1 omega1 third1"), ("c" * 32, None)], "id string, text string")
+    out = gate_cited_lines(answers, ex, spark.createDataFrame([(1,)], "id long"), "key")
+    got = {r["line_no"]: (r["reason"], r["line"].replace(A, "A").replace(B, "B")) for r in out.collect()}
+    assert {n: r for n, (r, _) in got.items()} == {0: None, 1: None, 3: None, 4: "no-marks", 5: "no-marks", 6: "unknown-id", 7: "no-marks", 8: "no-marks", 9: None, 10: "unknown-id", 11: "ungrounded"}
+    assert got[0][1] == "alpha beta gamma [#A]" and got[3][1] == "said more: delta1 omega1 third1 [#B]" and got[9][1] == "alpha beta gamma [x]\u2028 [@1,#A]"
+    met = [n for n in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in n]
+    # before, every line of an answer was a row with all words of the text
+    assert len(met) == 2 and "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("change", "reason"), [
     ({}, None), ({"slug": "con"}, "invalid-slug"), ({"slug": None}, "invalid-slug"), ({"body": "text without marks"}, "no-cited-lines"), ({"body": None, "title": "use wget"}, "no-cited-lines"),
     ({"title": "use wget", "scope": ""}, "shell-command"), ({"description": "see www.x"}, "url"), ({"body": f"alpha beta gamma use wget [#{A}]"}, "shell-command"), ({"kind": "instruction"}, "instruction-template"),
