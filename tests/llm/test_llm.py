@@ -5,6 +5,8 @@ import random
 import re
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -126,6 +128,43 @@ def test_edits_meet_the_whole_count():
         assert encoded[-1] < len(texts[-1]) / 2
 
 
+def test_counts_meet_the_library(monkeypatch):
+    """White space of all kinds, marks and special strings; pieces of a text without special strings aren't cut one by one."""
+    own, tok = random.Random(7), Tokenizer.from_file(bpe.tokenizer_path())
+    encoder = bpe.Encoder(bpe.load_vocabulary(bpe.tokenizer_path()), lexicon.compile_lexicon({}))
+    parts = ["alpha", " ", "  ", " beta", "\n", "\r\n", "\t", "'s", "don't", "'tis", "12", "...", "x" * 70, "é", "É,", "\x1c", "\x1c ", "\u00a0", "\u2003",
+             "\u3000", "\x85", "—", "—,", "日本", "\U0001f600", "_", "a_b", "\x0b", "\u200b", "a\u0301", "Ⅷ", "\u1680", "\u2028", "ß"]
+    random_text = lambda n: "".join(own.choice(parts) for _ in range(n))
+    texts = ["", " ", *(random_text(own.choice([1, 2, 3, 5, 9, 40, 300])) for _ in range(1500)), ""]
+    special = [random_text(9) + "<|endoftext|>" + random_text(9), "<|endoftext|>"]
+    cut = []
+    monkeypatch.setattr(bpe.Encoder, "cut", lambda self, text, whole=bpe.Encoder.cut: cut.append(text) or whole(self, text))
+    trees = [token_counts.Tree([], []) for _ in texts + special]
+    got, _ = token_counts.edit_all([""] * len(trees), trees, [[{"start": 0, "stop": 0, "by": t}] for t in texts + special], encoder)
+    assert got == texts + special
+    assert [t.tokens[1] for t in trees] == [len(tok.encode(t, add_special_tokens=False).ids) for t in got]
+    assert all("<|endoftext|>" in t for t in cut)
+    assert encoder.count_all([]) == [] and encoder.count_all(["", ""]) == [0, 0]
+
+
+def test_merges_of_rows_and_pairs():
+    """Merges in columns equal those by a heap; each pair of a full table is found, others are not."""
+    own, vocabulary = random.Random(8), bpe.load_vocabulary(bpe.tokenizer_path())
+    words = [bytes(own.choices(b"abethion 'THE\xc3\xa9\x00\xff01,.", k=n)) for n in range(70) for _ in range(20)]
+    assert bpe.merge_all(words, vocabulary) == [bpe.id_bytes(bpe._merge_long([vocabulary["bytes"][b] for b in w], vocabulary["merges"])) for w in words]
+    left, right = (np.array(x, np.int32) for x in zip(*((a, b) for a in range(60) for b in range(60))))
+    held = (left * 7 + right) % 3 > 0
+    table = {"table": bpe.pair_table((left[held].astype(np.int64) << 32) | right[held], np.arange(held.sum(), dtype=np.int32))}
+    ranks = bpe._ranks(left, right, table)
+    assert ranks[held].tolist() == list(range(held.sum())) and (ranks[~held] == bpe.NO_MERGE).all()
+    assert (bpe._ranks(np.array([-1, 5, -1]), np.array([5, -1, -1]), table) == bpe.NO_MERGE).all()
+
+
+def test_lists_of_numbers():
+    column = pa.array([[1, 2], None, [], [3], [4, 5]], pa.list_(pa.int32()))
+    assert token_counts.lists(column) == [[1, 2], [], [], [3], [4, 5]] and token_counts.lists(column.slice(1, 3)) == [[], [], [3]]
+
+
 def test_token_counts_query(spark, tmp_path):
     """The query's own edits against a new count of the edited text; under half of longer texts is encoded again."""
     tok = Tokenizer.from_file(bpe.tokenizer_path())

@@ -29,8 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 GROUPS, FREQUENT, TRACKED = 32, 1000, 2048
 #: Encoded pieces that a worker remembers, and as many older ones: some 20 MB each.
 REMEMBERED = 100_000
-#: Behind every rank of a merge.
+#: Behind every rank of a merge, and the key of a place where none begins. In a table of pairs, a slot without one.
 NO_MERGE = (1 << 31) - 1
+NO_PLACE, FREE = NO_MERGE << 8, -2
 #: Longer words are merged with a heap; of the others so many at once, those of like lengths together.
 LONG, TOGETHER = 64, 1 << 13
 #: Text that is encoded at once, and decoded text that is given back at once.
@@ -63,11 +64,10 @@ def load_vocabulary(path: str) -> dict:
         a, b = pair if isinstance(pair, list) else pair.split(" ")
         merges[(vocab[a], vocab[b])] = (rank, vocab[a + b])
     first = [vocab[byte_alphabet()[b]] for b in range(256)]
-    order = sorted(merges)
     return {
         "tokens": tokens, "bytes": first, "merges": merges, "special": special, "byte_ids": np.array(first, np.int32),
-        # the same merges for look-ups of many pairs at once: sorted pairs, their ranks, and what each rank gives
-        "pairs": np.array([(a << 32) | b for a, b in order], np.int64), "ranks": np.array([merges[p][0] for p in order], np.int32),
+        # the same merges for look-ups of many pairs at once: a table of pairs and their ranks, and what each rank gives
+        "table": pair_table(np.array([(a << 32) | b for a, b in merges], np.int64), np.array([rank for rank, _ in merges.values()], np.int32)),
         "merged": np.array([i for _, i in sorted(merges.values())], np.int32),
     }
 
@@ -75,16 +75,18 @@ def load_vocabulary(path: str) -> dict:
 def merge_all(words: list[bytes], vocabulary: dict) -> list[bytes]:
     """Id bytes of pre-tokens: in each always the pair of the lowest rank, the leftmost first; all words at once."""
     found: list = [b""] * len(words)
-    order = sorted((i for i, w in enumerate(words) if w), key=lambda i: len(words[i]))
-    while order and len(words[order[-1]]) > LONG:
-        i = order.pop()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for i in np.flatnonzero(sizes > LONG).tolist():
         found[i] = id_bytes(_merge_long([vocabulary["bytes"][b] for b in words[i]], vocabulary["merges"]))
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.searchsorted(sizes[order], 1) : np.searchsorted(sizes[order], LONG, "right")].tolist()
     for at in range(0, len(order), TOGETHER):
         own = order[at : at + TOGETHER]
         ids = _merge_rows(byte_matrix([words[i] for i in own]), vocabulary)
-        sizes, width, raw = (ids >= 0).sum(axis=1).tolist(), 4 * ids.shape[1], ids.astype("<i4").tobytes()
-        for row, (i, n) in enumerate(zip(own, sizes)):
-            found[i] = raw[row * width : row * width + 4 * n]
+        held = ids >= 0
+        ends, raw = (4 * held.sum(axis=1).cumsum()).tolist(), ids[held].astype("<i4").tobytes()
+        for i, start, end in zip(own, [0, *ends], ends):
+            found[i] = raw[start:end]
     return found
 
 
@@ -96,42 +98,74 @@ def byte_matrix(words: list[bytes]) -> np.ndarray:
     return out
 
 
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Where look-ups of packed pairs begin in a table of 2^bits slots."""
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def pair_table(pairs: np.ndarray, ranks: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bits, pairs, ranks) by slot: a pair lies in its first slot or one of those behind it, none of them free."""
+    bits = max(4, (4 * len(pairs)).bit_length())
+    # taken slots may run beyond the last
+    keys, values = np.full((1 << bits) + len(pairs) + 1, FREE, np.int64), np.full((1 << bits) + len(pairs) + 1, NO_MERGE, np.int32)
+    at = _slots(pairs, bits)
+    while len(pairs):
+        free = keys[at] == FREE
+        keys[at[free]], values[at[free]] = pairs[free], ranks[free]
+        # of several pairs that took one slot, the last has it
+        left = keys[at] != pairs
+        values[at[~left]] = ranks[~left]
+        at, pairs, ranks = at[left] + 1, pairs[left], ranks[left]
+    return bits, keys, values
+
+
 def _ranks(left: np.ndarray, right: np.ndarray, vocabulary: dict) -> np.ndarray:
-    """Ranks of pairs of ids, NO_MERGE for those that don't merge."""
-    pairs, ranks = vocabulary["pairs"], vocabulary["ranks"]
+    """Ranks of pairs of ids, NO_MERGE for those that don't merge or have a -1."""
+    bits, keys, values = vocabulary["table"]
     wanted = (left.astype(np.int64) << 32) | right
-    at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
-    return np.where((pairs[at] == wanted) & (right >= 0), ranks[at], NO_MERGE).astype(np.int32)
+    at = _slots(wanted, bits)
+    held = keys[at]
+    out = np.where(held == wanted, values[at], NO_MERGE)
+    going = np.flatnonzero((held != wanted) & (held != FREE))
+    while len(going):
+        at[going] += 1
+        held = keys[at[going]]
+        same = held == wanted[going]
+        out[going[same]] = values[at[going[same]]]
+        going = going[~same & (held != FREE)]
+    return out
 
 
 def _merge_rows(raw: np.ndarray, vocabulary: dict) -> np.ndarray:
-    ids = np.where(raw < 0, -1, vocabulary["byte_ids"][raw])
-    out, rows, merged = ids.copy(), np.arange(len(ids)), vocabulary["merged"]
-    # the last column never has a pair
-    rank = np.full(ids.shape, NO_MERGE, np.int32)
-    rank[:, :-1] = _ranks(ids[:, :-1], ids[:, 1:], vocabulary) if len(vocabulary["pairs"]) else NO_MERGE
+    """Ids of rows of at most LONG bytes, with -1 between and behind them.
+
+    A column holds a word between two places that hold none; places are linked with those before and behind. The key of
+    a place is the rank of the pair that begins there, then the place, so the least key of a column is the next merge.
+    """
+    n, width = raw.shape
+    ids = np.full((width + 2, n), -1, np.int32)
+    ids[1:-1] = np.where(raw < 0, -1, vocabulary["byte_ids"][raw]).T
+    key = np.full(ids.shape, NO_PLACE, np.int64)
+    places = np.arange(width + 2, dtype=np.int64)[:, None]
+    key[1:-1] = (_ranks(ids[1:-1].ravel(), ids[2:].ravel(), vocabulary).reshape(width, n).astype(np.int64) << 8) | places[1:-1]
+    before, after = (np.repeat(places + d, n, axis=1).ravel() for d in (-1, 1))
+    merged, flat_ids, flat_key = vocabulary["merged"], ids.ravel(), key.ravel()
     while True:
-        best = rank.argmin(axis=1)
-        least = rank[np.arange(len(ids)), best]
-        going = least < NO_MERGE
-        if not going.all():
-            out[rows[~going]] = ids[~going]
-            ids, rank, rows, best, least = ids[going], rank[going], rows[going], best[going], least[going]
-        if not len(ids):
-            return out
-        every, width = np.arange(len(ids)), ids.shape[1]
-        # what stands behind the pair moves up
-        place = np.arange(width)[None, :]
-        source = np.minimum(place + (place > best[:, None]), width - 1)
-        ended = ids[:, -1].copy()
-        ids = np.take_along_axis(ids, source, axis=1)
-        ids[:, -1] = np.where(best == width - 1, ended, -1)
-        ids[every, best] = merged[least]
-        rank = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width - 1), axis=1)
-        behind = np.minimum(best + 1, width - 1)
-        rank[every, best] = np.where(best + 1 < width, _ranks(ids[every, best], ids[every, behind], vocabulary), NO_MERGE)
-        some = np.flatnonzero(best)
-        rank[some, best[some] - 1] = _ranks(ids[some, best[some] - 1], ids[some, best[some]], vocabulary)
+        least = key.min(axis=0)
+        column = np.flatnonzero(least < NO_MERGE << 8)
+        if not len(column):
+            return ids[1:-1].T
+        least = least[column]
+        place = least & 255
+        at = place * n + column
+        gone = after[at] * n + column
+        behind, ahead = after[gone], before[at]
+        flat_ids[at], flat_ids[gone], flat_key[gone] = merged[least >> 8], -1, NO_PLACE
+        after[at], before[behind * n + column] = behind, place
+        own = flat_ids[at]
+        flat_key[at] = (_ranks(own, flat_ids[behind * n + column], vocabulary).astype(np.int64) << 8) | place
+        at = ahead * n + column
+        flat_key[at] = (_ranks(flat_ids[at], own, vocabulary).astype(np.int64) << 8) | ahead
 
 
 def _merge_long(ids: list[int], merges: dict) -> list[int]:
@@ -227,6 +261,58 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def count_all(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts; they are cut and their pieces told apart in Arrow, each different one is met once."""
+        column = pa.array(texts, pa.string())
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(texts) + 1)
+        if not ends[-1]:
+            return [0] * len(texts)
+        begins = piece_starts(np.frombuffer(data, np.uint8, ends[-1]))
+        begins[ends] = True
+        bounds = np.flatnonzero(begins).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), data).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.learn(set(pieces))
+        sizes = np.fromiter(map(len, map(known.__getitem__, pieces)), np.int64, len(pieces))
+        sums = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])[np.searchsorted(bounds, ends)]
+        out = (np.diff(sums) // 4).tolist()
+        for special in self.fixed:
+            for i in np.flatnonzero(pc.match_substring(column, special).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = len(self.encode(texts[i])) // 4
+        return out
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: white space, mark, digit, letter, part of a longer character, or none of these."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = MARK
+    kinds[[*range(9, 14), 32]] = WHITE
+    for kind, first, last in ((DIGIT, "0", "9"), (LETTER, "A", "Z"), (LETTER, "a", "z")):
+        kinds[ord(first) : ord(last) + 1] = kind
+    kinds[128:] = LONGER
+    return kinds
+
+
+WHITE, MARK, DIGIT, LETTER, LONGER = 1, 2, 3, 4, 5
+_KINDS = _kinds()
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Whether a piece may begin at each byte of UTF-8 and at the end: at white space behind what is none, and at a mark
+    behind a letter. No pre-token crosses these borders or depends on what is on their other side.
+    """
+    out = np.zeros(len(data) + 1, bool)
+    kinds = _KINDS[data]
+    before, own = kinds[:-1], kinds[1:]
+    white = own == WHITE
+    out[1:-1] = (white & (before >= MARK)) | ((own == MARK) & (before == LETTER))
+    # longer white space is U+0085, U+00A0, or begins with E1, E2 or E3; nothing that begins so counts as visible
+    at = np.flatnonzero(white & (before == LONGER)) + 1
+    second, third = data[at - 2], data[np.maximum(at - 3, 0)]
+    out[at] = (second >= 0xC3) | ((second < 0xC0) & ((third < 0xE1) | (third > 0xE3)))
+    return out
+
 
 def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of `most` characters in sum or little more; a longer row is alone."""

@@ -12,16 +12,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.bpe import TOGETHER_BYTES, Encoder, build, groups, tokenizer_path, worker_encoder
+from turnlake.llm.bpe import Encoder, build, groups, tokenizer_path, worker_encoder
 from turnlake.llm.common import documents, stored, whole_text
 
 #: Code points that a new leaf holds at least, if the text has places to cut, and those up to which it grows.
 LEAF, SPLIT = 128, 512
+#: Text whose leaves are counted at once.
+TOGETHER_BYTES = 1 << 22
 _CUT = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 
 
@@ -135,11 +138,18 @@ def edit_all(texts: list[str], trees: list[Tree], edits: list[list[dict]], encod
                 encoded[i] += n
                 waiting += [(trees[i], leaf) for leaf, _ in pieces]
                 leaves += [p for _, p in pieces]
-        for (tree, leaf), ids, p in zip(waiting, encoder.encode_all(leaves), leaves):
-            tree.put(leaf, len(p), len(ids) // 4)
+        for (tree, leaf), n, p in zip(waiting, encoder.count_all(leaves), leaves):
+            tree.put(leaf, len(p), n)
     return texts, encoded
 
 
+def lists(column: pa.ListArray) -> list[list[int]]:
+    """Lists of numbers, with none for a null one; far cheaper than a scalar for each number."""
+    flat = column.flatten().to_numpy().tolist()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+    return [flat[start:end] for start, end in zip([0, *ends], ends)]
+
+
 TREE = "doc_id bigint, text string, node_chars array<int>, node_tokens array<int>"
 _SUMS = pa.list_(pa.int32())
 
@@ -153,7 +163,7 @@ def build_trees(docs: DataFrame, shared) -> DataFrame:
             for at, to in groups(pc.binary_length(batch.column(1)).to_pylist(), TOGETHER_BYTES):
                 own = batch.slice(at, to - at)
                 pieces = [cut(t) for t in own.column(1).to_pylist()]
-                counts = [len(ids) // 4 for ids in encoder.encode_all([p for ps in pieces for p in ps])]
+                counts = encoder.count_all([p for ps in pieces for p in ps])
                 trees, k = [], 0
                 for ps in pieces:
                     trees.append(Tree.over([len(p) for p in ps], counts[k : k + len(ps)]))
@@ -184,8 +194,8 @@ def edit_listed(rows: DataFrame, shared) -> DataFrame:
         for batch in batches:
             for at, to in groups(pc.binary_length(batch.column(1)).to_pylist(), TOGETHER_BYTES):
                 own = batch.slice(at, to - at)
-                chars, tokens, edits = (own.column(i).to_pylist() for i in (2, 3, 4))
-                trees = [Tree(c, t) for c, t in zip(chars, tokens)]
+                edits = own.column(4).to_pylist()
+                trees = [Tree(c, t) for c, t in zip(lists(own.column(2)), lists(own.column(3)))]
                 before = [t.tokens[1] for t in trees]
                 texts, encoded = edit_all(own.column(1).to_pylist(), trees, [e or [] for e in edits], encoder)
                 yield pa.RecordBatch.from_arrays([
