@@ -5,7 +5,7 @@ import math
 import random
 
 from turnlake import topic_queries
-from turnlake.operators import learning, search, text_index
+from turnlake.operators import learning, search, text_index, topics
 from turnlake.queries import queries
 
 
@@ -130,6 +130,42 @@ def test_scores_cost_no_row_for_each_document_of_a_frequent_term(spark):
     assert made < 20_000, made
 
 
+def test_pairs_of_frequent_terms_are_no_rows(spark):
+    rnd = random.Random(8)
+    docs = [(i, " ".join(w for j in rnd.sample(range(24), 12) for w in [f"w{j}"] * rnd.randint(1, 3))) for i in range(400)]
+    asked = [(i, " ".join(f"w{j}" for j in rnd.sample(range(24), 6))) for i in range(60)]
+    postings = text_index.build_postings(spark.createDataFrame(docs, "id int, text string"), "id", ["text"])
+    queries_ = spark.createDataFrame(asked, "query_id int, text string")
+    got, made = made_rows(text_index.bm25_scores(queries_, postings, "id"))
+    words, want = [t.split() for _, t in docs], {}
+    mean = sum(map(len, words)) / 400
+    df = {f"w{j}": sum(f"w{j}" in w for w in words) for j in range(24)}
+    part = lambda t, w: math.log((400 - df[t] + 0.5) / (df[t] + 0.5) + 1) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    for q, text in asked:
+        want |= {(q, i): sum(part(t, w) for t in text.split()) for i, w in enumerate(words) if {*text.split()} <= {*w}}
+    assert {(r["query_id"], r["id"]) for r in got} == {*want} and len(got) == len(want) > 20
+    assert all(abs(r["score"] - want[r["query_id"], r["id"]]) < 1e-5 for r in got)
+    # about 11,000 pairs share the rarest term of the query
+    assert made < 6_000, made
+    few = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "id int")
+    some = text_index.bm25_scores(queries_, postings, "id", among=few).collect()
+    assert {tuple(r) for r in some} == {tuple(r) for r in got if r["id"] % 3 == 0} and len(some) > 20
+
+
+def test_units_of_a_range_are_those_of_all_hits(spark, monkeypatch):
+    rnd = random.Random(9)
+    units = spark.createDataFrame([(f"u{i}", " ".join(f"w{rnd.randint(0, 9)}" for _ in range(8))) for i in range(200)], "unit_id string, text string")
+    asked = spark.createDataFrame([(i, f"w{i % 10} w{i % 7}") for i in range(40)], "query_id int, text string")
+    events = spark.createDataFrame([(f"u{i}", f"2024-0{rnd.randint(1, 9)}") for i in range(0, 200, 2) for _ in range(2)], "unit_id string, time string")
+    postings = text_index.build_postings(units, "unit_id", ["text"])
+    found = lambda df: {(r["query_id"], r["unit_id"], tuple(r["times"]), r["rank"]) for r in df.collect()}
+    for limit in (text_index.TERM_LIMIT, 0):
+        monkeypatch.setattr(text_index, "TERM_LIMIT", limit)
+        for span in ((), ("2024-02", "2024-03")):
+            want = found(topics.search_topics(text_index.bm25_scores(asked, postings, "unit_id"), events, 3, *span))
+            assert found(topics.search_units(asked, postings, events, 3, *span)) == want and len(want) > 40
+
+
 def test_search_makes_rows_of_chosen_documents_only(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(100)) + (" rare" if i == 7 else "")) for i in range(400)], "id int, text string")
     texts = text_index.analysed_texts(docs, "id", ["text"]).persist()
