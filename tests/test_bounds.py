@@ -4,7 +4,10 @@ import hashlib
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from turnlake import topic_queries
+from turnlake.functions.text import rounded
 from turnlake.operators import learning, search, text_index, topics
 from turnlake.queries import queries
 
@@ -104,6 +107,48 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
     assert search.knn_search(q.limit(0), v, 9).count() == search.knn_search(q, v.limit(0), 9).count() == search.all_distances(q.limit(0), v).count() == 0
 
 
+def moved_rows(df):
+    """Rows of df, and the rows that the exchanges of its plan wrote."""
+    rows, seen = df.collect(), {}
+
+    def of(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return of(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(plan.plan())
+        if name == "ShuffleExchangeExec":
+            seen[plan.id()] = plan.metrics().get("shuffleRecordsWritten").get().value()
+        for i in range(plan.children().size()):
+            of(plan.children().apply(i))
+
+    of(df._jdf.queryExecution().executedPlan())
+    return rows, sum(seen.values())
+
+
+def test_distances_move_no_copies(spark, monkeypatch):
+    monkeypatch.setattr(search, "ALL", (3, 20))
+    monkeypatch.setattr(search, "NEAREST", (3, 20))
+    rnd = random.Random(7)
+    vectors = [(i, None if i == 9 else [float(rnd.randint(0, 3)) for _ in range(3)]) for i in range(300)]
+    v, q = spark.createDataFrame(vectors, "id int, embedding array<double>"), spark.createDataFrame([(i, x) for i, x in vectors if i < 30], "query_id int, query array<double>")
+    far = {(n, i): round(math.dist(x, y), 6) for n, y in vectors[:30] if y for i, x in vectors if x}
+    for limit in (search.VECTOR_LIMIT, 0) if hasattr(search, "VECTOR_LIMIT") else (None,):
+        monkeypatch.setattr(search, "VECTOR_LIMIT", limit, raising=False)
+        got, moved = moved_rows(search.all_distances(q, v))
+        assert {(r["query_id"], r["id"]): r["distance"] for r in got} == far and len(got) == len(far)
+        assert moved < 2 * 330, moved
+        best = {(r["query_id"], r["id"], r["rank"]) for r in search.knn_search(q, v, 4).collect()}
+        assert best == {(n, i, k) for n in range(30) if n != 9 for k, (_, i) in enumerate(sorted((d, i) for (m, i), d in far.items() if m == n)[:4], 1)}
+
+
+def test_halves_are_rounded_away_from_zero(spark):
+    values = [2.5, -2.5, 0.5, -0.5, 0.49999999999999994, 1.4, -1.6, 0.0, None]
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [r[0] for r in rows.select(rounded(F.col("x"), 0)).collect()] == [3.0, -3.0, 1.0, -1.0, 0.0, 1.0, -2.0, 0.0, None]
+    assert [r[0] for r in rows.select(rounded(F.col("x") / 1e6, 6)).collect()][:4] == [3e-6, -3e-6, 1e-6, -1e-6]
+
+
 def test_similarities_are_of_all_pairs(spark):
     path = "/root/testdata/sf0.01"
     ids = [r[0] for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect()]
